@@ -28,6 +28,27 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.read_table(spark, sf_dir, "documents"), tokenizer_path("words"), capacity=4096, end_id=1)
 
 
+def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    return sharding.shard_documents(spark, common.read_table(spark, sf_dir, "documents"), shards=40)
+
+
+def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    found = simhash.near_duplicates(common.read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    rows = common.materialise(mixing.sizes(common.read_table(spark, sf_dir, "documents")), "sizes")
+    taken = mixing.copies(rows, mixing.mix(rows))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import dac
 
@@ -39,7 +60,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_hypergeometric_shards": op5_hypergeometric_shards,
+        "op7_simhash_near_duplicates": op7_simhash_near_duplicates,
         "op8_token_files": op8_token_files,
+        "op9_entropy_mix": op9_entropy_mix,
     }
 
 
