@@ -22,6 +22,12 @@ def tokenizer_path(kind: str) -> str:
     return public_tokenizers.path(TOKENIZERS[kind])
 
 
+def op1_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neighbours
+
+    return neighbours.nearest(common.read_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -34,6 +40,12 @@ def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(spark, common.read_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    return secrets.digest(secrets.scan(common.read_table(spark, sf_dir, "documents")))
+
+
 def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -57,15 +69,26 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.digest(dac.read(spark, path))
 
 
+def op10_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk
+
+    return topk.top_products(common.read_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_projected_neighbours": op1_projected_neighbours,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_hypergeometric_shards": op5_hypergeometric_shards,
+        "op6_secret_scan": op6_secret_scan,
         "op7_simhash_near_duplicates": op7_simhash_near_duplicates,
         "op8_token_files": op8_token_files,
         "op9_entropy_mix": op9_entropy_mix,
+        "op10_impact_topk": op10_impact_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import topk
+
+    return {"op10_impact_topk": topk.ORACLE_SQL}
