@@ -28,6 +28,19 @@ def op1_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(common.read_table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.find(common.read_table(spark, sf_dir, "documents"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+
+    docs = common.read_table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -78,6 +91,8 @@ def op10_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_projected_neighbours": op1_projected_neighbours,
+        "op2_personal_data": op2_personal_data,
+        "op3_language": op3_language,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_hypergeometric_shards": op5_hypergeometric_shards,
         "op6_secret_scan": op6_secret_scan,

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .components import components
@@ -180,9 +181,39 @@ def _edges(made: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa
 def near_duplicates(docs: DataFrame, words: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, fp and component_id of every row of ``docs``."""
     rows = common.materialise(fingerprints(docs, words, id_column, text_column), "fingerprints")
-    classes = common.materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    joined = components(links(classes.select("fp")))
-    whole = classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    whole = _grouped(rows)
     ids = whole.groupBy("component").agg(F.min("least").alias("component_id"))
     named = whole.join(ids, "component").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """fp, least (doc_id) and component (a fingerprint) of each distinct fingerprint."""
+    classes = common.materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    joined = components(links(classes.select("fp")))
+    return classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+
+
+def keep_one(docs: DataFrame, words: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each group of near copies, all columns: the least doc_id's, of its least fingerprint.
+
+    Of rows equal in both, any one stays; they are aggregated before they are shuffled.
+    """
+    common.bounded_batches(docs.sparkSession)
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.array([fingerprint(x, words) for x in batch.column(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.view(np.int64))], [*batch.schema.names, "__fp"])
+
+    marked = common.materialise(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])), "marked")
+    whole = _grouped(marked.select(F.col(id_column).cast("long").alias("doc_id"), F.col("__fp").alias("fp")))
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("first")
+    kept = whole.groupBy("component").agg(first).select(F.col("first.least").alias("__id"), F.col("first.fp").alias("__kept"))
+    same = (F.col("__fp") == F.col("__kept")) & F.col(id_column).cast("long").eqNullSafe(F.col("__id"))
+    found = marked.join(kept, same).drop("__id", "__kept")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return found.groupBy("__fp").agg(F.first(row).alias("__row")).select("__row.*")
+
+
