@@ -1,15 +1,309 @@
-"""Queries of the engine's own operators and the SQL they must agree with."""
+"""Queries of the engine's own operators and the SQL they must agree with.
+
+``SQL`` holds statements that Spark and DuckDB both run as they are: the
+delegated surface is SQL text.  ``BUILT`` pairs DataFrame operators with SQL.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions.calendar import month_order, quarter_order
+from .functions.naming import clean_name_column, measure_label_column, reason_count_column
+from .functions.types import xsd_column
+from .operators import charts, facts, infer, r2rml, rdf
+from .plans import guard
+from .sources.catalog import STAR_TABLES, Catalog, load_parquet
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+MULTI_FACT = """
+SELECT n_name AS nation, ROUND(SUM(customer_balance), 2) AS customer_balance, ROUND(SUM(supplier_balance), 2) AS supplier_balance
+FROM (
+  SELECT c_nationkey AS nationkey, c_acctbal AS customer_balance, 0 AS supplier_balance FROM customer
+  UNION ALL
+  SELECT s_nationkey AS nationkey, 0 AS customer_balance, s_acctbal AS supplier_balance FROM supplier
+) f JOIN nation ON nation.n_nationkey = f.nationkey
+GROUP BY n_name
+"""
+
+SQL: dict[str, str] = {
+    # scans, projections, filters
+    "scan_projection": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net_price FROM lineitem",
+    "literal_projection": "SELECT s_suppkey, 'SUPPLIER' AS fact_type, 0 AS returned FROM supplier",
+    "filter_compare": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 300000 AND o_orderstatus <> 'P'",
+    "filter_boolean": "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE (c_acctbal < 0 AND c_mktsegment = 'BUILDING') OR c_acctbal > 9000",
+    "filter_in_like": "SELECT p_partkey, p_brand, p_type FROM part WHERE p_size NOT IN (1, 2, 3) AND p_brand NOT LIKE '%1'",
+    "distinct_rows": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
+    "case_bucket": "SELECT CASE WHEN o_totalprice > 200000 THEN 'large' ELSE 'small' END AS bucket, COUNT(*) AS n, ROUND(SUM(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END), 2) AS finished FROM orders GROUP BY CASE WHEN o_totalprice > 200000 THEN 'large' ELSE 'small' END",
+    "cte_pipeline": "WITH per AS (SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS spent FROM orders GROUP BY o_custkey) SELECT c_mktsegment, COUNT(*) AS customers, ROUND(SUM(spent), 2) AS spent FROM per JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment",
+    "having_filter": "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 15",
+    "date_range": "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1998-01-01 00:00:00'",
+    "scalar_subquery": "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > (SELECT AVG(c_acctbal) * 1.8 FROM customer)",
+    # joins
+    "join_inner": "SELECT c_mktsegment, ROUND(SUM(o_totalprice), 2) AS total FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment",
+    "join_left_coalesce": "SELECT o.o_orderkey, COALESCE(l.lines, 0) AS lines FROM orders o LEFT JOIN (SELECT l_orderkey, COUNT(*) AS lines FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey",
+    "join_right": "SELECT n_name, c_custkey FROM customer RIGHT JOIN nation ON c_nationkey = n_nationkey AND c_acctbal > 9900",
+    "join_full": "SELECT COALESCE(c.k, s.k) AS nationkey, c.n AS customers, s.n AS suppliers FROM (SELECT c_nationkey AS k, COUNT(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY c_nationkey) c FULL OUTER JOIN (SELECT s_nationkey AS k, COUNT(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY s_nationkey) s ON c.k = s.k",
+    "join_star": "SELECT r_name, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY r_name",
+    "join_semi": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)",
+    "join_anti": "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
+    "join_self": "SELECT a.n_name AS nation, b.n_name AS neighbour FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
+    "join_theta_range": "SELECT r.r_name, n.n_name FROM region r JOIN nation n ON n.n_nationkey >= r.r_regionkey * 5 AND n.n_nationkey < r.r_regionkey * 5 + 5",
+    # aggregates
+    "agg_basic": "SELECT l_returnflag, l_linestatus, ROUND(SUM(l_quantity), 2) AS sum_qty, ROUND(SUM(l_extendedprice), 2) AS sum_price, ROUND(AVG(l_discount), 6) AS avg_disc, MIN(l_tax) AS min_tax, MAX(l_tax) AS max_tax, COUNT(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus",
+    "agg_sum_distinct": "SELECT l_suppkey, ROUND(SUM(DISTINCT l_quantity), 2) AS qty, COUNT(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY l_suppkey",
+    "agg_window_distinct": "SELECT DISTINCT c_nationkey, ROUND(SUM(c_acctbal) OVER (PARTITION BY c_nationkey), 2) AS balance FROM customer",
+    "agg_rollup": "SELECT r_name, n_name, COUNT(*) AS n FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY ROLLUP (r_name, n_name)",
+    "agg_category": "SELECT p_brand, ROUND(SUM(p_retailprice), 2) AS total, ROUND(AVG(p_retailprice), 4) AS mean, COUNT(*) AS n FROM part GROUP BY p_brand",
+    "fan_trap_naive": "SELECT ROUND(SUM(c_acctbal), 2) AS customer_balance, ROUND(SUM(s_acctbal), 2) AS supplier_balance FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey",
+    "multi_fact_totals": MULTI_FACT,
+    # windows
+    "win_partition_sum": "SELECT o_orderkey, o_custkey, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS customer_total FROM orders",
+    "win_row_number": "SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS rn FROM orders) t WHERE rn <= 3",
+    "win_rank": "SELECT c_custkey, CAST(RANK() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS rnk, CAST(NTILE(4) OVER (ORDER BY c_acctbal, c_custkey) AS BIGINT) AS quartile FROM customer",
+    "win_running_total": "SELECT o_custkey, o_orderkey, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running FROM orders",
+    # order, limits, sets
+    "topk_orders": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5",
+    "sample_limit": "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 10",
+    "set_union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier",
+    "set_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier",
+    "set_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier",
+    "set_except": "SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING'",
+    # scalars
+    "fn_round": "SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice * l_tax, 1) AS tax FROM lineitem WHERE l_quantity > 45",
+    "fn_coalesce": "SELECT o_orderkey, COALESCE(NULLIF(o_orderstatus, 'P'), 'pending') AS status FROM orders",
+    # data behind the declared keys
+    "pk_uniqueness": "SELECT 'orders' AS table_name, COUNT(*) AS n, COUNT(DISTINCT o_orderkey) AS distinct_keys FROM orders UNION ALL SELECT 'customer' AS table_name, COUNT(*) AS n, COUNT(DISTINCT c_custkey) AS distinct_keys FROM customer",
+}
+
+
+def _views(spark: SparkSession, sf_dir: str, sql: str) -> Catalog:
+    words = set(re.findall(r"\w+", sql))
+    return load_parquet(spark, sf_dir, [t for t in STAR_TABLES if t in words])
+
+
+def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A statement that the guard lets through, over the tables it names."""
+    _views(spark, sf_dir, sql)
+    verdict = guard.inspect(spark, sql)
+    if not verdict.is_safe:
+        raise ValueError(verdict.error)
+    return spark.sql(sql)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances of two facts by nation: guarded, checked for fan-traps, then run."""
+    from .plans.check import Checker
+
+    catalog = _views(spark, sf_dir, MULTI_FACT)
+    report = Checker(spark, catalog.analyse()).validate(MULTI_FACT)
+    if not report.valid or report.fan_trap_risk:
+        raise ValueError("; ".join(i.message for i in report.issues))
+    return run_sql(spark, sf_dir, MULTI_FACT)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _nation_facts(spark: SparkSession, d: str) -> dict[str, facts.Fact]:
+    return {
+        "CUSTOMER": (_t(spark, d, "customer"), "c_nationkey", {"customer_balance": "c_acctbal"}),
+        "SUPPLIER": (_t(spark, d, "supplier"), "s_nationkey", {"supplier_balance": "s_acctbal"}),
+    }
+
+
+def agg_union_facts(spark: SparkSession, d: str) -> DataFrame:
+    made = facts.total_by_key("nationkey", _nation_facts(spark, d))
+    return made.select("nationkey", F.round("customer_balance", 2).alias("customer_balance"), F.round("supplier_balance", 2).alias("supplier_balance"))
+
+
+def agg_preaggregated(spark: SparkSession, d: str) -> DataFrame:
+    spine = _t(spark, d, "nation").select(F.col("n_nationkey").alias("nationkey"), "n_name")
+    made = facts.preaggregate_facts(spine, "nationkey", _nation_facts(spark, d))
+    return made.select("n_name", F.round("customer_balance", 2).alias("customer_balance"), F.round("supplier_balance", 2).alias("supplier_balance"))
+
+
+def verify_total(spark: SparkSession, d: str) -> DataFrame:
+    orders = _t(spark, d, "orders")
+    joined = orders.join(_t(spark, d, "lineitem"), orders.o_orderkey == F.col("l_orderkey"))
+    found = facts.verify_total(joined, "o_totalprice", orders, "o_totalprice")
+    return found.select(F.round("result_total", 2).alias("result_total"), F.round("base_total", 2).alias("base_total"), F.round("difference", 2).alias("difference"))
+
+
+def _month(c: str):
+    return F.date_trunc("month", c).cast("timestamp_ntz")
+
+
+def win_lag_growth(spark: SparkSession, d: str) -> DataFrame:
+    by = _t(spark, d, "orders").groupBy(_month("o_orderdate").alias("month")).agg(F.sum("o_totalprice").alias("total"))
+    before = F.lag("total").over(Window.orderBy("month"))
+    return by.select("month", F.round("total", 2).alias("total"), F.round(100 * (F.col("total") - before) / before, 2).alias("growth"))
+
+
+def fn_date_trunc(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "orders").groupBy(_month("o_orderdate").alias("month")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+def fn_label(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "part").select("p_partkey", measure_label_column(F.concat(F.lit("net_"), F.lower(F.translate("p_type", " ", "_")))).alias("label"))
+
+
+def fn_clean_name(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "part").select("p_partkey", clean_name_column(F.concat_ws("-", F.col("p_size").cast("string"), "p_name")).alias("name"))
+
+
+def chart_bar(spark: SparkSession, d: str) -> DataFrame:
+    return charts.group_sum(_t(spark, d, "customer"), "c_mktsegment", "c_acctbal").withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
+def chart_grouped(spark: SparkSession, d: str) -> DataFrame:
+    rows = charts.group_sum(_t(spark, d, "orders"), "o_orderpriority", "o_totalprice", "o_orderstatus")
+    made = charts.with_totals(rows, "o_orderpriority", "o_totalprice")
+    return made.select("o_orderpriority", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"), F.round("category_total", 2).alias("category_total"), "category_rank")
+
+
+def chart_month_order(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "orders").select(F.date_format("o_orderdate", "MMM").alias("month"), "o_totalprice")
+    made = charts.group_sum(rows, "month", "o_totalprice")
+    return made.select("month", month_order(F.col("month")).cast("long").alias("place"), F.round("o_totalprice", 2).alias("total"))
+
+
+def chart_quarter_order(spark: SparkSession, d: str) -> DataFrame:
+    label = F.concat(F.lit("Q"), F.quarter("o_orderdate").cast("string"), F.lit(" "), F.year("o_orderdate").cast("string"))
+    made = charts.group_sum(_t(spark, d, "orders").select(label.alias("quarter"), "o_totalprice"), "quarter", "o_totalprice")
+    return made.select("quarter", quarter_order(F.col("quarter")).cast("long").alias("place"), F.round("o_totalprice", 2).alias("total"))
+
+
+def chart_heatmap_counts(spark: SparkSession, d: str) -> DataFrame:
+    return charts.cross_tab(_t(spark, d, "orders"), "o_orderstatus", "o_orderpriority")
+
+
+def chart_corr_matrix(spark: SparkSession, d: str) -> DataFrame:
+    made = charts.correlations(_t(spark, d, "lineitem"), list(_MEASURES))
+    return made.select("col_a", "col_b", F.round("r", 6).alias("r"))
+
+
+def chart_multi_measure(spark: SparkSession, d: str) -> DataFrame:
+    by = _t(spark, d, "lineitem").groupBy(_month("l_shipdate").alias("month"))
+    return by.agg(F.round(F.sum("l_extendedprice"), 2).alias("price"), F.round(100 * F.sum(F.col("l_extendedprice") * F.col("l_discount")) / F.sum("l_extendedprice"), 4).alias("discount_pct"))
+
+
+def fk_orphans(spark: SparkSession, d: str) -> DataFrame:
+    lineitem, parts = _t(spark, d, "lineitem"), []
+    for column, table, key in (("l_orderkey", "orders", "o_orderkey"), ("l_partkey", "part", "p_partkey"), ("l_suppkey", "supplier", "s_suppkey")):
+        lone = lineitem.join(_t(spark, d, table).select(F.col(key).alias(column)), column, "left_anti")
+        parts.append(lone.agg(F.lit(column).alias("fk"), F.count("*").alias("orphans")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def fk_cardinality(spark: SparkSession, d: str) -> DataFrame:
+    per = _t(spark, d, "orders").join(_t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n")), "o_orderkey", "left")
+    n = F.coalesce("n", F.lit(0))
+    return per.agg(F.min(n).alias("least"), F.max(n).alias("most"), F.round(F.avg(n), 4).alias("mean"))
+
+
+def column_profile(spark: SparkSession, d: str) -> DataFrame:
+    orders = _t(spark, d, "orders")
+    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    sums = orders.agg(*(x for c in names for x in (F.count(F.when(F.col(c).isNull(), 1)).alias(f"{c}_nulls"), F.count_distinct(c).alias(f"{c}_distinct"), F.min(c).cast("string").alias(f"{c}_min"), F.max(c).cast("string").alias(f"{c}_max"))))
+    rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"{c}_nulls").alias("nulls"), F.col(f"{c}_distinct").alias("distinct_values"), F.col(f"{c}_min").alias("least"), F.col(f"{c}_max").alias("most")) for c in names]
+    return sums.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def r2rml_apply(spark: SparkSession, d: str) -> DataFrame:
+    catalog = load_parquet(spark, d, ["nation", "region"])
+    return r2rml.apply(catalog.table("nation"), spark.table("nation"), "http://example.com/")
+
+
+def _catalog(spark: SparkSession, d: str) -> Catalog:
+    return load_parquet(spark, d)
+
+
+def catalog_columns(spark: SparkSession, d: str) -> DataFrame:
+    return _catalog(spark, d).columns_df().select("table_name", "column_name", "data_type", "is_primary_key", "is_foreign_key")
+
+
+def infer_fk(spark: SparkSession, d: str) -> DataFrame:
+    return infer.embedded_links_df(_catalog(spark, d).columns_df())
+
+
+def name_quality(spark: SparkSession, d: str) -> DataFrame:
+    made = _catalog(spark, d).columns_df().select("table_name", "column_name", reason_count_column(F.col("column_name")).cast("long").alias("reasons"))
+    return made.where("reasons > 0")
+
+
+def xsd_types(spark: SparkSession, d: str) -> DataFrame:
+    return _catalog(spark, d).columns_df().select("data_type", xsd_column(F.col("data_type")).alias("xsd"), xsd_column(F.col("data_type"), "r2rml").alias("r2rml_xsd")).distinct()
+
+
+def ontology_triples(spark: SparkSession, d: str) -> DataFrame:
+    made = rdf.triples_df(spark, rdf.schema_triples(_catalog(spark, d).analyse()))
+    return made.groupBy("predicate").agg(F.count("*").alias("n"))
+
+
+def fan_trap_hints(spark: SparkSession, d: str) -> DataFrame:
+    return _catalog(spark, d).keys_df().groupBy("table_name").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    from .streaming import windowed_totals
+
+    made = windowed_totals(_t(spark, d, "events"))
+    return made.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("value", 2).alias("value"))
+
+
+_MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_XSD_CASES = [("int", "integer", "integer"), ("bigint", "integer", "integer"), ("string", "string", "string"), ("double", "double", "double"), ("timestamp_ntz", "dateTime", "dateTime"), ("array<float>", "float", "float")]
+
+BUILT: dict[str, tuple[Query, str | None]] = {
+    "agg_union_facts": (agg_union_facts, "SELECT nationkey, ROUND(SUM(c), 2) AS customer_balance, ROUND(SUM(s), 2) AS supplier_balance FROM (SELECT c_nationkey AS nationkey, c_acctbal AS c, 0 AS s FROM customer UNION ALL SELECT s_nationkey, 0, s_acctbal FROM supplier) GROUP BY nationkey"),
+    "agg_preaggregated": (agg_preaggregated, "SELECT n_name, ROUND(COALESCE(c.v, 0), 2) AS customer_balance, ROUND(COALESCE(s.v, 0), 2) AS supplier_balance FROM nation LEFT JOIN (SELECT c_nationkey AS k, SUM(c_acctbal) AS v FROM customer GROUP BY 1) c ON c.k = n_nationkey LEFT JOIN (SELECT s_nationkey AS k, SUM(s_acctbal) AS v FROM supplier GROUP BY 1) s ON s.k = n_nationkey"),
+    "verify_total": (verify_total, "SELECT ROUND(a, 2) AS result_total, ROUND(b, 2) AS base_total, ROUND(a - b, 2) AS difference FROM (SELECT SUM(o_totalprice) AS a FROM orders JOIN lineitem ON l_orderkey = o_orderkey), (SELECT SUM(o_totalprice) AS b FROM orders)"),
+    "win_lag_growth": (win_lag_growth, "SELECT month, ROUND(total, 2) AS total, ROUND(100 * (total - LAG(total) OVER (ORDER BY month)) / LAG(total) OVER (ORDER BY month), 2) AS growth FROM (SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, SUM(o_totalprice) AS total FROM orders GROUP BY 1)"),
+    "fn_date_trunc": (fn_date_trunc, "SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, ROUND(SUM(o_totalprice), 2) AS total FROM orders GROUP BY 1"),
+    "fn_label": (fn_label, "SELECT p_partkey, array_to_string([upper(w[1]) || lower(w[2:]) for w in string_split(replace('net_' || lower(replace(p_type, ' ', '_')), '_', ' '), ' ')], ' ') AS label FROM part"),
+    "fn_clean_name": (fn_clean_name, "SELECT p_partkey, '_' || regexp_replace(p_size || '-' || p_name, '[^A-Za-z0-9_]', '_', 'g') AS name FROM part"),
+    "chart_bar": (chart_bar, "SELECT c_mktsegment, ROUND(SUM(c_acctbal), 2) AS c_acctbal FROM customer GROUP BY 1"),
+    "chart_grouped": (chart_grouped, "WITH g AS (SELECT o_orderpriority, o_orderstatus, SUM(o_totalprice) AS v FROM orders GROUP BY 1, 2), t AS (SELECT o_orderpriority, SUM(v) AS total FROM g GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY total DESC, o_orderpriority) AS category_rank FROM t) SELECT o_orderpriority, o_orderstatus, ROUND(v, 2) AS o_totalprice, ROUND(total, 2) AS category_total, category_rank FROM g JOIN r USING (o_orderpriority)"),
+    "chart_month_order": (chart_month_order, "SELECT strftime(o_orderdate, '%b') AS month, MIN(month(o_orderdate)) AS place, ROUND(SUM(o_totalprice), 2) AS total FROM orders GROUP BY 1"),
+    "chart_quarter_order": (chart_quarter_order, "SELECT 'Q' || quarter(o_orderdate) || ' ' || year(o_orderdate) AS quarter, MIN(year(o_orderdate) * 4 + quarter(o_orderdate)) AS place, ROUND(SUM(o_totalprice), 2) AS total FROM orders GROUP BY 1"),
+    "chart_heatmap_counts": (chart_heatmap_counts, "SELECT s.o_orderstatus, p.o_orderpriority, (SELECT COUNT(*) FROM orders o WHERE o.o_orderstatus = s.o_orderstatus AND o.o_orderpriority = p.o_orderpriority) AS n FROM (SELECT DISTINCT o_orderstatus FROM orders) s, (SELECT DISTINCT o_orderpriority FROM orders) p"),
+    "chart_corr_matrix": (chart_corr_matrix, " UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, " + ("1.0::DOUBLE AS r" if a == b else f"ROUND(CORR({a}, {b}), 6) AS r FROM lineitem") for a in _MEASURES for b in _MEASURES)),
+    "chart_multi_measure": (chart_multi_measure, "SELECT date_trunc('month', l_shipdate)::TIMESTAMP AS month, ROUND(SUM(l_extendedprice), 2) AS price, ROUND(100 * SUM(l_extendedprice * l_discount) / SUM(l_extendedprice), 4) AS discount_pct FROM lineitem GROUP BY 1"),
+    "fk_orphans": (fk_orphans, " UNION ALL ".join(f"SELECT '{c}' AS fk, COUNT(*) AS orphans FROM lineitem WHERE {c} NOT IN (SELECT {k} FROM {t})" for c, t, k in (("l_orderkey", "orders", "o_orderkey"), ("l_partkey", "part", "p_partkey"), ("l_suppkey", "supplier", "s_suppkey")))),
+    "fk_cardinality": (fk_cardinality, "SELECT MIN(n) AS least, MAX(n) AS most, ROUND(AVG(n), 4) AS mean FROM (SELECT o_orderkey, COUNT(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)"),
+    "column_profile": (column_profile, " UNION ALL ".join(f"SELECT '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS nulls, COUNT(DISTINCT {c}) AS distinct_values, MIN({c})::VARCHAR AS least, MAX({c})::VARCHAR AS most FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))),
+    "r2rml_apply": (
+        r2rml_apply,
+        "WITH s AS (SELECT 'http://example.com/nation/' || n_nationkey AS subject, * FROM nation) "
+        f"SELECT subject, '{rdf.RDF}type' AS predicate, 'http://example.com/Nation' AS object, 'iri' AS object_kind, NULL::VARCHAR AS datatype FROM s UNION ALL "
+        f"SELECT subject, 'http://example.com/n_nationkey', n_nationkey::VARCHAR, 'literal', '{rdf.XSD}integer' FROM s UNION ALL "
+        f"SELECT subject, 'http://example.com/n_name', n_name, 'literal', '{rdf.XSD}string' FROM s UNION ALL "
+        "SELECT subject, 'http://example.com/n_regionkey', 'http://example.com/region/' || n_regionkey, 'iri', NULL FROM s",
+    ),
+    "fan_trap_hints": (fan_trap_hints, "SELECT 'lineitem' AS table_name, 3::BIGINT AS n"),
+    "infer_fk": (infer_fk, "SELECT 'embeddings' AS table_name, 'label' AS column_name, 'labels' AS target"),
+    "xsd_types": (xsd_types, "SELECT * FROM (VALUES " + ", ".join(map(str, _XSD_CASES)) + ") t(data_type, xsd, r2rml_xsd)"),
+    "event_windows": (event_windows, "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, COUNT(*) AS n, ROUND(SUM(value), 2) AS value FROM events GROUP BY 1, 2"),
+    "catalog_columns": (catalog_columns, None),
+    "name_quality": (name_quality, None),
+    "ontology_triples": (ontology_triples, None),
+}
+
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def _sql_query(text: str) -> Query:
+    return lambda spark, sf_dir: run_sql(spark, sf_dir, text)
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: _sql_query(v) for k, v in SQL.items()} | {k: f for k, (f, _) in BUILT.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return SQL | {k: v for k, (_, v) in BUILT.items() if v}
