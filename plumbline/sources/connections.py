@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 NEEDED = {
     "postgresql": ("host", "port", "database", "username", "password"),
     "snowflake": ("account", "username", "password", "warehouse", "database"),
-    "clickhouse": ("host", "database", "username"),
+    "clickhouse": ("host",),
     "dremio": ("host", "port"),
 }
 _URL = {
