@@ -1,16 +1,21 @@
-"""Tokenising whole texts with the ``tokenizers`` library, a word at a time.
+"""Tokenising whole texts with the ``tokenizers`` library, a chunk at a time.
 
 A BPE tokenizer splits a text into pre-tokens and encodes each alone, so the
 ids of a text are the ids of its space-separated chunks in a row.  Chunks
 repeat, so their ids are kept in a bounded table per worker process; every
-entry is made by the library itself.
+entry is made by the library itself.  The table is a set of flat arrays, and
+chunks are hashed, looked up and put together many at a time: hundreds of
+millions of lookups in a Python dict would cost more than the tokenizer.
+
+A chunk is found by a 64-bit polynomial hash of its bytes and length.  Chunks
+over ``LONGEST`` bytes, where such hashes can be made to collide, are encoded
+each time instead.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
 
 import numpy as np
 
@@ -18,6 +23,74 @@ _PAIR = re.compile(r"\s\s")
 #: Punctuation that a tokenizer never joins to the word before it (an apostrophe it may).
 _TAIL = "!#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_BASE, _MIX, _FIRST = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA5A5A5A55A5A5A5A
+LONGEST, GROUP_BYTES = 64, 1 << 20
+
+
+class _Powers:
+    """Powers of the hash base and of its inverse, as long as the longest group so far."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def reach(self, n: int) -> None:
+        if n <= len(self.up):
+            return
+        n = max(n, 2 * len(self.up), 1 << 16)
+        with np.errstate(over="ignore"):
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x % (1 << 64), np.uint64)])) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+class _Table:
+    """Open addressing from chunk hashes to runs of ids in one pool."""
+
+    def __init__(self, bits: int = 22):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.offsets, self.lengths, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
+        self.n = self.filled = 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entry of each hash, or -1."""
+        slots = (hashes >> self.shift).astype(np.int64)
+        seen = self.keys[slots]
+        out = np.where(seen == hashes, self.values[slots], -1)
+        open_ = np.flatnonzero((seen != hashes) & (seen != 0))
+        while len(open_):
+            slots[open_] = (slots[open_] + 1) & self.mask
+            seen = self.keys[slots[open_]]
+            hit = seen == hashes[open_]
+            out[open_[hit]] = self.values[slots[open_[hit]]]
+            open_ = open_[~hit & (seen != 0)]
+        return out
+
+    def run(self, entry: int) -> bytes:
+        start = self.offsets[entry]
+        return self.pool[start : start + self.lengths[entry]].tobytes()
+
+    def add(self, hashes: np.ndarray, runs: list[bytes]) -> None:
+        """Put in new, distinct hashes with the bytes of their ids."""
+        lengths = np.fromiter(map(len, runs), np.int32, len(runs)) // 4
+        total, n = int(lengths.sum()), len(runs)
+        for name, used, more in (("offsets", self.n, n), ("lengths", self.n, n), ("pool", self.filled, total)):
+            held = getattr(self, name)
+            if used + more > len(held):
+                grown = np.zeros(max(2 * len(held), used + more), held.dtype)
+                grown[:used] = held[:used]
+                setattr(self, name, grown)
+        self.offsets[self.n : self.n + n] = self.filled + np.cumsum(lengths) - lengths
+        self.lengths[self.n : self.n + n] = lengths
+        if total:
+            self.pool[self.filled : self.filled + total] = np.frombuffer(b"".join(runs), np.uint32)
+        entries = np.arange(self.n, self.n + n, dtype=np.int32)
+        self.n, self.filled = self.n + n, self.filled + total
+        slots, left = (hashes >> self.shift).astype(np.int64), np.arange(n)
+        while len(left):
+            free = left[self.keys[slots[left]] == 0]
+            free = free[np.unique(slots[free], return_index=True)[1]]
+            self.keys[slots[free]], self.values[slots[free]] = hashes[free], entries[free]
+            left = left[self.keys[slots[left]] != hashes[left]]
+            slots[left] = np.where(self.keys[slots[left]] != 0, (slots[left] + 1) & self.mask, slots[left])
 
 
 class ChunkEncoder:
@@ -34,78 +107,153 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dropped, self.limit = spaces_dropped, limit
-        self.known: dict[str, bytes] = {}
+        self.dropped, self.limit, self.powers, self.table = spaces_dropped, limit, _Powers(), _Table()
         vocabulary = self.tokenizer.get_vocab()
         self.marked = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, at in vocabulary.items():
-            self.marked[at] = token.endswith("</w>") if spaces_dropped else token.startswith("\u0120")
+            self.marked[at] = token.endswith("</w>") if spaces_dropped else token.startswith("Ġ")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        group: list[str] = []
+        held = 0
+        for text in texts:
+            group.append(text)
+            held += len(text)
+            if held >= GROUP_BYTES:
+                out += self._group(group)
+                group, held = [], 0
+        return out + self._group(group)
 
-    def _chunks(self, text: str) -> list[str]:
+    # ---- a group of texts
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        if self.table.n > self.limit:
+            self.table = _Table()
         if self.dropped:
-            return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
-        if _PAIR.search(text):
-            first, *rest = _SINGLE_SPACE.split(text)
+            shown = [(x.lower() if x.isascii() else x).replace("\n", " ") for x in texts]
+            odd = []
         else:
-            first, *rest = text.split(" ")
-        # "\0" marks the first chunk of a text, which has no space before it.
-        return [f"\0{first}", *rest]
+            odd = [n for n, x in enumerate(texts) if _PAIR.search(x)]
+            shown = ["" if n in set(odd) else x for n, x in enumerate(texts)] if odd else texts
+        counts = np.fromiter((x.count(" ") + 1 for x in shown), np.int64, len(shown))
+        last = np.cumsum(counts)
+        raw, starts, ends, hashes = self._hash(" ".join(shown), None if self.dropped else last - counts)
+        sizes = ends - starts
+        entries = self.table.find(hashes)
+        lost = np.flatnonzero(((entries < 0) | (sizes > LONGEST)) & (sizes > 0) if self.dropped else (entries < 0) | (sizes > LONGEST))
+        extra: dict[int, np.ndarray] = {}
+        if len(lost):
+            firsts = set((last - counts).tolist())
+            short = lost[sizes[lost] <= LONGEST]
+            keys, at = np.unique(hashes[short], return_index=True)
+            where = short[at]
+            chunks = [(raw[s:e].decode("utf-8", "surrogatepass"), int(n) in firsts) for n, s, e in zip(where, starts[where].tolist(), ends[where].tolist(), strict=True)]
+            self._learn(chunks, keys)
+            entries[short] = self.table.find(hashes[short])
+            for n in lost[sizes[lost] > LONGEST].tolist():
+                extra[n] = self._ids(self._plain(raw[starts[n] : ends[n]].decode("utf-8", "surrogatepass"), n in firsts))
+        table = self.table
+        lengths = np.where(entries >= 0, table.lengths[entries], 0).astype(np.int64)
+        for n in extra:
+            lengths[n] = 0
+        upto = np.cumsum(lengths)
+        first = np.where(entries >= 0, table.offsets[entries], 0) - (upto - lengths)
+        ids = table.pool[np.repeat(first, lengths) + np.arange(int(upto[-1]))]
+        if extra:
+            places = sorted(extra)
+            ids = np.insert(ids, np.repeat([int(upto[n] - lengths[n]) for n in places], [len(extra[n]) for n in places]), np.concatenate([extra[n] for n in places]))
+            for n in places:
+                lengths[n] = len(extra[n])
+            upto = np.cumsum(lengths)
+        data, cuts = ids.astype("<u4").tobytes(), np.concatenate([[0], upto[last - 1]]).tolist()
+        out = [data[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        for n in odd:
+            first_piece, *rest = _SINGLE_SPACE.split(texts[n])
+            made = self.tokenizer.encode_batch_fast([first_piece, *(f" {x}" for x in rest)], add_special_tokens=False)
+            out[n] = b"".join(np.array(x.ids, "<u4").tobytes() for x in made)
+        return out
 
-    def _plain(self, chunk: str) -> str:
-        if self.dropped:
-            return chunk
-        return chunk[1:] if chunk[:1] == "\0" else f" {chunk}"
+    def _hash(self, text: str, firsts: np.ndarray | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, and starts, ends and hashes of the chunks; no hash is 0."""
+        raw = text.encode("utf-8", "surrogatepass")
+        octets = np.frombuffer(raw, np.uint8)
+        spaces = np.flatnonzero(octets == 0x20)
+        starts, ends = np.concatenate([[0], spaces + 1]), np.append(spaces, len(raw))
+        self.powers.reach(len(raw) + 1)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum((octets.astype(np.uint64) + np.uint64(1)) * self.powers.up[: len(raw)], out=sums[1:])
+            hashes = (sums[ends] - sums[starts]) * self.powers.down[starts]
+            hashes ^= (ends - starts).astype(np.uint64) * np.uint64(_BASE)
+            if firsts is not None:
+                hashes[firsts] ^= np.uint64(_FIRST)
+            hashes ^= hashes >> np.uint64(29)
+            hashes *= np.uint64(_MIX)
+            hashes ^= hashes >> np.uint64(32)
+            hashes *= np.uint64(_MIX)
+        hashes[hashes == 0] = 1
+        return raw, starts, ends, hashes
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._chunks(x) for x in texts]
-        if len(self.known) > self.limit:
-            self.known = {}
-        known = self.known
-        found = [list(map(known.get, x)) for x in split]
-        gaps = [at for at, x in enumerate(found) if None in x]
-        new = list({c for at in gaps for c, ids in zip(split[at], found[at], strict=True) if ids is None})
-        self._learn(new)
-        for at in gaps:
-            found[at] = map(known.__getitem__, split[at])
-        return [b"".join(x) for x in found]
-
-    def _learn(self, chunks: list[str]) -> None:
+    # ---- new chunks
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _plain(self, chunk: str, first: bool) -> str:
+        return chunk if self.dropped or first else f" {chunk}"
+
+    def _learn(self, chunks: list[tuple[str, bool]], keys: np.ndarray) -> None:
         """Put the ids of new chunks into the table.
 
         A run of Latin letters is one pre-token whatever punctuation follows,
         so words are encoded in one long text and told apart by the mark that
         the vocabulary puts on a word's first or last token.
         """
-        known, words, tails, whole = self.known, set(), [], []
-        for chunk in chunks:
+        made: list[bytes] = [b""] * len(chunks)
+        uses: list[tuple[int, str, str]] = []
+        whole, words, tails, alone = [], {}, {"": b""}, set()
+        for n, (chunk, first) in enumerate(chunks):
             word = chunk.rstrip(_TAIL)
-            if not (word.isalpha() and (word.isascii() or max(word) <= "\xff")):
-                whole.append(chunk)
+            if first and not self.dropped or not (word.isalpha() and (word.isascii() or max(word) <= "\xff")):
+                whole.append(n)
                 continue
-            if len(word) < len(chunk):
-                tails.append((chunk, word, chunk[len(word) :]))
-            if word not in known:
-                words.add(word)
-        for part in _parts(list(words)):
-            ids = np.array(self.tokenizer.encode_batch_fast([self._joined(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(self.marked[ids]) + self.dropped
-            edges = [*cut, len(ids)] if not self.dropped else [0, *cut]
-            assert len(edges) == len(part) + 1
-            raw = ids.tobytes()
-            known.update((w, raw[4 * x : 4 * y]) for w, x, y in zip(part, edges, edges[1:], strict=False))
-        marks = {tail: b"" for _, _, tail in tails}
-        for tail in marks:
-            marks[tail] = array("I", self.tokenizer.encode(tail, add_special_tokens=False).ids).tobytes()
-        known.update((chunk, known[word] + marks[tail]) for chunk, word, tail in tails)
+            tail = chunk[len(word) :]
+            uses.append((n, word, tail))
+            words[word] = None
+            if not tail:
+                alone.add(word)
+            elif tail not in tails:
+                tails[tail] = self._ids(tail).tobytes()
+        if words:
+            names = list(words)
+            hashes = self._hash(" ".join(names), None)[3]
+            entries = self.table.find(hashes)
+            fresh = [n for n, e in enumerate(entries.tolist()) if e < 0]
+            for n in np.flatnonzero(entries >= 0).tolist():
+                words[names[n]] = self.table.run(entries[n])
+            for part in _parts([names[n] for n in fresh]):
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part) if self.dropped else f" {' '.join(part)}"], add_special_tokens=False)[0].ids, np.uint32)
+                cut = np.flatnonzero(self.marked[ids])
+                edges = 4 * (np.concatenate([[0], cut + 1]) if self.dropped else np.append(cut, len(ids)))
+                assert len(edges) == len(part) + 1
+                raw, edges = ids.tobytes(), edges.tolist()
+                words.update((w, raw[a:b]) for w, a, b in zip(part, edges, edges[1:], strict=False))
+            for n, word, tail in uses:
+                made[n] = words[word] + tails[tail]
+            # Words met only with punctuation so far are kept too.
+            only = [n for n in fresh if names[n] not in alone and len(names[n]) <= LONGEST // 2]
+            self.table.add(hashes[only], [words[names[n]] for n in only])
         for part in _parts(whole):
-            made = self.tokenizer.encode_batch_fast([self._plain(x) for x in part], add_special_tokens=False)
-            known.update(zip(part, (array("I", x.ids).tobytes() for x in made), strict=True))
-
-    def _joined(self, words: list[str]) -> str:
-        return " ".join(words) if self.dropped else f" {' '.join(words)}"
+            got = self.tokenizer.encode_batch_fast([self._plain(*chunks[n]) for n in part], add_special_tokens=False)
+            for n, x in zip(part, got, strict=True):
+                made[n] = np.array(x.ids, np.uint32).tobytes()
+        self.table.add(keys, made)
 
 
-def _parts(items: list[str], size: int = 4096) -> list[list[str]]:
+def _parts(items: list, size: int = 4096) -> list[list]:
     return [items[at : at + size] for at in range(0, len(items), size)]
 
 
