@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 
-DIRECTIONS, CONFIDENCE, LEAF, SEED = 8, 0.97, 32, 5
+DIRECTIONS, CONFIDENCE, LEAF, FIRST_LEAVES, SEED = 8, 0.97, 64, 4, 5
 
 
 def chi_square_quantile(p: float, freedom: int) -> float:
@@ -57,12 +57,13 @@ class KdTree:
         gap = np.maximum(np.maximum(self.low - query, query - self.high), 0)
         bounds = (gap * gap).sum(axis=1)
         order = np.argsort(bounds, kind="stable")
-        near, far = np.empty(0, int), np.empty(0)
-        for n, leaf in enumerate(order):
-            own = self.leaves[leaf]
+        near, far, at, take = np.empty(0, int), np.empty(0), 0, FIRST_LEAVES
+        while at < len(order):
+            own = np.concatenate([self.leaves[n] for n in order[at : at + take]])
             off = self.points[own] - query
-            near, far = np.concatenate([near, own]), np.concatenate([far, (off * off).sum(axis=1)])
-            bound = bounds[order[n + 1]] if n + 1 < len(order) else np.inf
+            near, far = np.concatenate([near, own]), np.concatenate([far, np.einsum("ij,ij->i", off, off)])
+            at, take = at + take, 2 * take
+            bound = bounds[order[at]] if at < len(order) else np.inf
             ready = far <= bound
             if ready.any():
                 yield bound, near[ready]
