@@ -1,18 +1,19 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
-A component x of dimension d is kept as its distance from the dimension's least
-(or, for queries negative there, greatest) value, so that every contribution to
-a score is at least zero.  Distances are quantised; a posting segment lists the
-rows of one dimension and level.  A query processes segments by descending
-quantised impact (weight times level), adding it to the rows' accumulators.  It
-stops once the rows whose score can still reach the k-th best are few, or all
-segments are done, and those possible members are scored exactly.  Whatever the
-stopping point, a row left out is proven to score less than k others.
+A component is kept as its distance from the middle of its dimension's range,
+quantised; a posting segment lists the rows of one dimension and level.  Levels
+are processed by descending distance, which is the quantised impact, for a
+group of queries at a time: a segment adds weight times level to the rows'
+accumulators.  What the open levels and the rounding can still change bounds
+every score from both sides; a query stops once the rows whose score can still
+reach the k-th best are few, or all segments are done, and those possible
+members are scored exactly.  Whatever the stopping point, a row left out is
+proven to score less than k others.
 
 Defined results: vectors that are null or hold null or non-finite components
 take no part, nor do null ids; ties go to the smaller id; with fewer than k
 candidates all are returned; an empty table gives no rows; columns not named
-are not read.
+are not read.  Scores are exact while below 2^53.
 """
 
 from __future__ import annotations
@@ -26,56 +27,61 @@ from pyspark.sql import functions as F
 from . import blocks
 from .neighbours import finite
 
-LEVELS, LOOK_EVERY, FEW = 16, 96, 64
+LEVELS, FEW, GROUP = 32, 32, 512
 
 
 class ImpactIndex:
+    """Posting segments of a block of rows."""
+
     def __init__(self, rows: np.ndarray):
-        self.rows = rows
-        self.low, self.high = rows.min(axis=0), rows.max(axis=0)
-        self.step = np.maximum(1, -(-(self.high - self.low + 1) // LEVELS))
-        self.segments: list[list[list[np.ndarray]]] = []
-        for far in (rows - self.low, self.high - rows):
-            level = far // self.step
-            order = np.argsort(level, axis=0, kind="stable")
-            ends = [np.searchsorted(level[order[:, d], d], np.arange(LEVELS + 1)) for d in range(rows.shape[1])]
-            self.segments.append([[order[e[x] : e[x + 1], d] for x in range(LEVELS)] for d, e in enumerate(ends)])
-
-    def possible(self, query: np.ndarray, barred: np.ndarray, k: int) -> np.ndarray:
-        """Rows that may be among the best k."""
-        n, weight = len(self.rows), np.abs(query)
-        unit = weight * self.step
-        impact = (unit[:, None] * np.arange(LEVELS)).ravel()
-        order = np.argsort(-impact, kind="stable")
-        score = np.zeros(n, np.int64)
-        score[barred] = np.iinfo(np.int64).min // 2
-        if n - int(barred.sum()) <= k:
-            return np.flatnonzero(~barred)
-        open_level = np.full(len(query), LEVELS)
-        for turn, at in enumerate(order.tolist()):
-            d, level = divmod(at, LEVELS)
-            if not impact[at]:
-                break  # what is left adds its rounding only
-            rows = self.segments[0 if query[d] > 0 else 1][d][level]
-            if len(rows):
-                score[rows] += impact[at]
-            open_level[d] = level
-            if turn % LOOK_EVERY == LOOK_EVERY - 1:
-                # A row may still get, in each dimension, the next level's impact and the rounding.
-                slack = int((unit * np.maximum(open_level, 1)).sum() - weight.sum())
-                kth = np.partition(score, n - k)[n - k]
-                if np.count_nonzero(score + slack >= kth) <= FEW:
-                    break
-        slack = int((unit * np.maximum(open_level, 1)).sum() - weight.sum())
-        kth = np.partition(score, n - k)[n - k]
-        return np.flatnonzero((score + slack >= kth) & ~barred)
+        self.rows = rows.astype(np.float64)
+        low, high = rows.min(axis=0), rows.max(axis=0)
+        self.step = np.maximum(1, -(-(high - low + 1) // LEVELS)).astype(np.float64)
+        self.middle = low + self.step * LEVELS / 2
+        level = ((rows - low) // self.step).astype(np.int64)
+        order = np.argsort(level, axis=0, kind="stable")
+        ends = [np.searchsorted(level[order[:, d], d], np.arange(LEVELS + 1)) for d in range(rows.shape[1])]
+        self.segments = [[order[e[x] : e[x + 1], d] for x in range(LEVELS)] for d, e in enumerate(ends)]
+
+    def members(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each query, the rows that may be among its best k."""
+        n, dims = self.rows.shape
+        out: list[np.ndarray] = [np.arange(n)] * len(queries)
+        if n <= k:
+            return out
+        active = np.arange(len(queries))
+        score = np.zeros((n, len(queries)))
+        slack = np.abs(queries) @ self.step  # of one whole step in each dimension
+        for rank in range(LEVELS // 2 - 1, -1, -1):
+            for level in {LEVELS // 2 + rank, LEVELS // 2 - 1 - rank}:
+                impact = queries[active] * (self.step * (level - LEVELS / 2 + 0.5))
+                for d in range(dims):
+                    if len(rows := self.segments[d][level]):
+                        score[rows] += impact[:, d]
+            # Rows of open levels are within ``rank`` steps of the middle, those of done ones within half a step.
+            room = slack[active] * max(rank, 0.5)
+            if rank and rank > LEVELS // 8:
+                continue
+            kth = np.partition(score, n - k, axis=0)[n - k]
+            may = score >= kth - 2 * room
+            done = (may.sum(axis=0) <= FEW) | (rank == 0)
+            for at in np.flatnonzero(done).tolist():
+                out[active[at]] = np.flatnonzero(may[:, at])
+            if done.all():
+                break
+            active, score = active[~done], np.ascontiguousarray(score[:, ~done])
+        return out
 
 
 def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     index = ImpactIndex(rows)
-    for name, query in zip(query_ids.tolist(), queries, strict=True):
-        members = index.possible(query, ids == name, k)
-        yield name, ids[members], rows[members] @ query
+    for low in range(0, len(queries), GROUP):
+        some = queries[low : low + GROUP].astype(np.float64)
+        # One more than k: a query's own row may be among them, and takes no part.
+        shared = int(np.unique(ids, return_counts=True)[1].max())
+        for name, query, found in zip(query_ids[low : low + GROUP].tolist(), some, index.members(some, k + shared), strict=True):
+            found = found[ids[found] != name]
+            yield name, ids[found], (index.rows[found] @ query).astype(np.int64)
 
 
 def top_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
