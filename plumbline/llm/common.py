@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +26,9 @@ def scratch_root(spark: SparkSession) -> str:
     if root:
         return root.rstrip("/")
     local = os.path.join(tempfile.gettempdir(), f"plumbline-{os.getpid()}")
-    os.makedirs(local, exist_ok=True)
+    if not os.path.isdir(local):
+        os.makedirs(local)
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
     return f"file://{local}"
 
 

@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS, CENTROIDS, PER_LANGUAGE, ROUNDS = 4096, 4, 1000, 12
+BUCKETS, CENTROIDS, PER_LANGUAGE, ROUNDS = 4096, 4, 500, 12
 #: A text is rejected at this share of the least usual cosine of sampled texts of its length.
-TOLERANCE, USUAL = 0.6, 0.002
+TOLERANCE, USUAL = 0.5, 0.002
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -127,11 +127,10 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     model.centroids = np.concatenate(groups).astype(np.float32)
     model.owner = np.repeat(np.arange(len(languages)), [len(g) for g in groups])
     best, classes = (full @ model.centroids.T).max(axis=1), _size_class(total)
+    # Without enough sampled texts of a length nothing shorter is rejected, and longer ones as the length before.
     for n in range(16):
-        if len(own := best[classes == n]) >= 20:
-            model.floors[n] = TOLERANCE * np.quantile(own, USUAL)
-    model.floors = np.minimum.accumulate(np.where(model.floors > 0, model.floors, np.inf)[::-1])[::-1]
-    model.floors[~np.isfinite(model.floors)] = 0
+        own = best[classes == n]
+        model.floors[n] = TOLERANCE * np.quantile(own, USUAL) if len(own) >= 50 else model.floors[n - 1] if n else 0.0
     return model
 
 
