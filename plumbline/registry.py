@@ -247,6 +247,22 @@ def ontology_triples(spark: SparkSession, d: str) -> DataFrame:
     return made.groupBy("predicate").agg(F.count("*").alias("n"))
 
 
+def ontology_counts(spark: SparkSession, d: str) -> DataFrame:
+    made = rdf.triples_df(spark, rdf.schema_triples(_catalog(spark, d).analyse()))
+    kinds = rdf.match(made, predicate=f"{rdf.RDF}type").groupBy(F.regexp_extract("object", "#(.*)$", 1).alias("kind"))
+    return kinds.agg(F.count_distinct("subject").alias("n"))
+
+
+def type_overrides(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(x["table"], x["column"], x["sql_type"]) for x in infer.type_overrides(_catalog(spark, d).analyse())]
+    return spark.createDataFrame(rows, "table_name string, column_name string, sql_type string")
+
+
+def information_schema(spark: SparkSession, d: str) -> DataFrame:
+    _catalog(spark, d).register_information_schema()
+    return spark.sql("SELECT table_name, COUNT(*) AS columns FROM information_schema_columns GROUP BY table_name")
+
+
 def fan_trap_hints(spark: SparkSession, d: str) -> DataFrame:
     return _catalog(spark, d).keys_df().groupBy("table_name").agg(F.count("*").alias("n")).where("n > 1")
 
@@ -291,6 +307,9 @@ BUILT: dict[str, tuple[Query, str | None]] = {
     "infer_fk": (infer_fk, "SELECT 'embeddings' AS table_name, 'label' AS column_name, 'labels' AS target"),
     "xsd_types": (xsd_types, "SELECT * FROM (VALUES " + ", ".join(map(str, _XSD_CASES)) + ") t(data_type, xsd, r2rml_xsd)"),
     "event_windows": (event_windows, "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, COUNT(*) AS n, ROUND(SUM(value), 2) AS value FROM events GROUP BY 1, 2"),
+    "ontology_counts": (ontology_counts, "SELECT * FROM (VALUES ('Ontology', 1::BIGINT), ('Class', 14), ('DatatypeProperty', 63), ('ObjectProperty', 18)) t(kind, n)"),
+    "type_overrides": (type_overrides, "SELECT * FROM (VALUES ('lineitem', 'l_quantity', 'double'), ('lineitem', 'l_discount', 'double')) t(table_name, column_name, sql_type)"),
+    "information_schema": (information_schema, " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS columns FROM (DESCRIBE {t})" for t in STAR_TABLES)),
     "catalog_columns": (catalog_columns, None),
     "name_quality": (name_quality, None),
     "ontology_triples": (ontology_triples, None),

@@ -95,7 +95,8 @@ class Catalog:
         """Base tables and this session's temp views, sorted; permanent views are left out."""
         if self._fixed:
             return sorted(t.name for t in self._fixed.values())
-        return sorted({t.name for t in self.spark.catalog.listTables(schema) if t.isTemporary or t.tableType != "VIEW"})
+        held = self.spark.catalog.listTables(schema)
+        return sorted({t.name for t in held if (t.isTemporary or t.tableType != "VIEW") and not t.name.startswith("information_schema_")})
 
     def containers(self, depth: int = 3) -> list[str]:
         """Catalogs and their databases as dotted paths."""
