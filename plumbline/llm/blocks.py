@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 BLOCK_ROWS, GROUP_ROWS = 8192, 1024
 
 #: (query ids, queries, row ids, rows) to (query, row, score) arrays.
@@ -27,6 +29,7 @@ def best(rows: DataFrame, every: int, k: int, search: Search, score_type: str) -
     result; vectors meet those of their length only; ties go to the smaller id.
     Of repeated query ids the least vector asks.
     """
+    common.ship_package(rows.sparkSession)
     rows = rows.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "e")
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("e").alias("e"))
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))

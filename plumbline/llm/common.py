@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
+import io
 import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +18,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _written: list[str] = []
+_shipped: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -57,8 +62,34 @@ def release_scratch(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever they run and whatever their search path.
+
+    Once per application an archive goes to the shared folder, from which each
+    executor fetches it, those that replace a lost one too.
+    """
+    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    if not package.is_dir():  # imported from an archive that Spark has shipped itself
+        return
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.writestr(zipfile.ZipInfo(str(file.relative_to(package.parent))), file.read_bytes())
+    raw = held.getvalue()
+    name = f"{scratch_root(spark)}/{package.name}-{hashlib.sha256(raw).hexdigest()[:16]}-{context.applicationId}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    out.write(raw)
+    out.close()
+    context.addPyFile(name)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches small enough for whole long texts."""
+    """Arrow batches small enough for whole long texts, for workers that have this package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

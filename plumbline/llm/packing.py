@@ -148,6 +148,7 @@ def islands(spark: SparkSession, total: Counter, capacity: int, seed: int) -> li
     first = best_fit(sorted(total.elements(), reverse=True), capacity)
     if len(first) <= least:
         return first
+    common.ship_package(spark)
     elites = [_pack(first)] * ISLANDS
 
     def grow(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

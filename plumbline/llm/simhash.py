@@ -135,6 +135,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
     ``distinct`` holds every fingerprint once, as ``fp``.
     """
+    common.ship_package(distinct.sparkSession)
     limit = LIST
     posted = distinct.select("fp", F.explode(F.array(*(_key(t, n) for n, t in enumerate(TRIPLES)))).alias("key"))
     parts = posted.repartition(common.shuffle_partitions(distinct.sparkSession), "key").sortWithinPartitions("key")
