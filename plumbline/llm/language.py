@@ -4,8 +4,9 @@ A text is a vector of hashed letter trigrams, weighted by TF-IDF and scaled to
 length one.  Each language has several centroids, clustered by spherical
 k-means on a bounded sample of labelled documents (PER_LANGUAGE of each, picked
 by a hash of the id); a text takes the language of the centroid nearest by
-cosine.  A text farther from all centroids than nearly every sampled text of
-about its length is rejected.  Prediction reads whole texts and nothing else.
+cosine.  A text farther from all centroids than nearly every labelled training
+text of about its length is rejected; the scores of all of these are counted,
+not those of the sample.  Prediction reads whole texts and nothing else.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0,
 as is every text if nothing was learned; ties go to the first language by name;
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS, CENTROIDS, PER_LANGUAGE, ROUNDS = 4096, 4, 500, 12
-#: A text is rejected at this share of the least usual cosine of sampled texts of its length.
+#: A text is rejected at this share of the least usual cosine of training texts of its length.
 TOLERANCE, USUAL = 0.5, 0.002
+#: Classes of length, texts that fill one, and steps in which scores are counted.
+SIZES, FILLED, STEPS = 16, 50, 4096
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -55,20 +58,24 @@ class Model:
         weighted = np.log1p(counts) * self.idf
         return weighted / np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-12)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Languages, scores, and which texts are rejected."""
+    def measure(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which texts have a letter; their nearest centroids, scores and classes of length."""
         known = np.array([bool(x) and bool(_LETTER.search(x)) for x in texts], bool)
-        if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts)), ~known
         counts = np.array([trigrams(x) if k else np.zeros(BUCKETS, np.int64) for x, k in zip(texts, known, strict=True)])
         near = self.vectors(counts.astype(np.float32)) @ self.centroids.T
-        at, score = near.argmax(axis=1), np.clip(near.max(axis=1), 0, 1).astype(float)
-        far = score < self.floors[_size_class(counts.sum(axis=1))]
+        return known, near.argmax(axis=1), np.clip(near.max(axis=1), 0, 1).astype(float), _size_class(counts.sum(axis=1))
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores, and which texts are rejected."""
+        if not self.languages:
+            return ["und"] * len(texts), np.zeros(len(texts)), np.array([not x or not _LETTER.search(x) for x in texts], bool)
+        known, at, score, sizes = self.measure(texts)
+        far = score < self.floors[sizes]
         return [self.languages[self.owner[a]] if k else "und" for a, k in zip(at, known, strict=True)], np.where(known, score, 0.0), ~known | far
 
 
 def _size_class(total: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(total, 1)).astype(int), 15)
+    return np.minimum(np.log2(np.maximum(total, 1)).astype(int), SIZES - 1)
 
 
 def _cluster(rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -82,6 +89,24 @@ def _cluster(rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return middle
 
 
+def floors(scores: np.ndarray) -> np.ndarray:
+    """Least accepted score of each class of length, from counts of scores by class and step.
+
+    A class that is not filled takes the floor of the nearest one that is (of
+    the fullest if none is).  Cosines of short texts go with the root of their
+    length, so for shorter texts the floor is scaled by it; for longer ones, which are
+    nearer to a centroid, it stays.
+    """
+    held = scores.sum(axis=1)
+    if not held.any():
+        return np.zeros(SIZES)
+    full = np.flatnonzero(held >= min(FILLED, held.max()))
+    # The first step up to which more than the share USUAL of the class lies; its middle is never 0.
+    usual = [(int((np.cumsum(scores[n]) > USUAL * held[n]).argmax()) + 0.5) / STEPS for n in full]
+    near = [int(np.abs(full - n).argmin()) for n in range(SIZES)]
+    return np.array([TOLERANCE * usual[k] * min(1.0, 2.0 ** ((n - full[k]) / 2)) for n, k in enumerate(near)])
+
+
 def held_out(id_column: str = "doc_id") -> Column:
     key = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
     return F.crc32(F.encode(key, "UTF-8")) % 4 == 2
@@ -90,7 +115,8 @@ def held_out(id_column: str = "doc_id") -> Column:
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model:
     """A model of the labelled documents that are not held out.
 
-    The driver gets PER_LANGUAGE sparse vectors of a language at most, about.
+    The driver gets PER_LANGUAGE sparse vectors of a language at most, about,
+    and counts of the scores of all texts, of SIZES by STEPS cells at most.
     """
     common.bounded_batches(docs.sparkSession)
     train = docs.where(~held_out(id_column) & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
@@ -111,7 +137,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
 
     rows = sorted((r.lang, bytes(r.counts)) for r in picked.where(F.col("text") != "").select("text", "lang").mapInArrow(sparse, "lang string, counts binary").collect())
     if not rows:
-        return Model([], np.zeros(BUCKETS), np.zeros((0, BUCKETS)), np.zeros(0, int), np.zeros(16))
+        return Model([], np.zeros(BUCKETS), np.zeros((0, BUCKETS)), np.zeros(0, int), np.zeros(SIZES))
     full = np.zeros((len(rows), BUCKETS), np.float32)
     for n, (_, raw) in enumerate(rows):
         at, held = np.frombuffer(raw, "<u4").reshape(2, -1)
@@ -119,18 +145,26 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     languages = sorted({x for x, _ in rows})
     label = np.array([languages.index(x) for x, _ in rows])
     idf = np.log((1 + len(rows)) / (1 + (full > 0).sum(axis=0))).astype(np.float32) + 1
-    model = Model(languages, idf, np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(16))
-    total = full.sum(axis=1)
+    model = Model(languages, idf, np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(SIZES))
     full = model.vectors(full)
     rng = np.random.default_rng(3)
     groups = [_cluster(full[label == n], rng) for n in range(len(languages))]
     model.centroids = np.concatenate(groups).astype(np.float32)
     model.owner = np.repeat(np.arange(len(languages)), [len(g) for g in groups])
-    best, classes = (full @ model.centroids.T).max(axis=1), _size_class(total)
-    # Without enough sampled texts of a length nothing shorter is rejected, and longer ones as the length before.
-    for n in range(16):
-        own = best[classes == n]
-        model.floors[n] = TOLERANCE * np.quantile(own, USUAL) if len(own) >= 50 else model.floors[n - 1] if n else 0.0
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = np.zeros(SIZES * STEPS, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                known, _, score, sizes = model.measure(batch.column(0).to_pylist())
+                scores += np.bincount((sizes * STEPS + np.minimum((score * STEPS).astype(int), STEPS - 1))[known], minlength=len(scores))
+        at = np.flatnonzero(scores)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(scores[at], pa.int64())], ["cell", "n"])
+
+    scores = np.zeros(SIZES * STEPS, np.int64)
+    for r in train.select("text").mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        scores[r.cell] = r.n
+    model.floors = floors(scores.reshape(SIZES, STEPS))
     return model
 
 

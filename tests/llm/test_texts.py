@@ -247,6 +247,29 @@ def test_language(spark):
     assert language.identify(empty_documents(spark), nothing).collect() == []
 
 
+def test_short_texts_are_rejected_by_distance(spark, monkeypatch):
+    """Few texts are short and few are sampled; what is far from every centroid goes all the same."""
+    monkeypatch.setattr(language, "PER_LANGUAGE", 30)
+    alphabets = {"aa": "abcdehilm", "bb": "nopqrstuvw", "cc": "xyzkjgf"}
+    rows = [(n * 3 + k, words(3 + n % 6 if n < 12 else 100 + n % 40, n * 3 + k, letters), lang) for n in range(120) for k, (lang, letters) in enumerate(alphabets.items())]
+    alien = ["привет", "今日は", "Это предложение написано на русском языке", "これは日本語で書かれた文章です。", "ьъ " * 300]
+    docs = spark.createDataFrame([*rows, *((9000 + n, x, None) for n, x in enumerate(alien))], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert (model.floors > 0).all()
+    rejected = {r.doc_id for r in language.identify(docs, model).collect() if r.rejected}
+    assert rejected >= set(range(9000, 9000 + len(alien))) and len(rejected) <= len(alien) + 0.02 * len(rows)
+
+
+def test_rejection_floors():
+    scores = np.zeros((language.SIZES, language.STEPS), np.int64)
+    scores[6, 2048], scores[6, 400], scores[9, 3000], scores[3, 1] = 10_000, 15, 60, 2
+    low, high = language.TOLERANCE * 2048.5 / 4096, language.TOLERANCE * 3000.5 / 4096
+    made = language.floors(scores)
+    assert np.allclose(made[[4, 5, 6, 7, 9, 15]], [low / 2, low / 2**0.5, low, low, high, high]) and np.isclose(made[8], high / 2**0.5)
+    scores[6, 400] = 25
+    assert np.isclose(language.floors(scores)[6], language.TOLERANCE * 400.5 / 4096) and not language.floors(scores * 0).any()
+
+
 def test_sharding(spark):
     docs = odd_documents(spark)
     made = sharding.shard_documents(spark, docs, shards=5).collect()
