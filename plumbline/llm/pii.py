@@ -2,10 +2,13 @@
 
 Regex, gazetteer and context labelers vote for, against, or not at all on every
 candidate span of the corpus.  Expectation maximisation on the counts of vote
-patterns (a table of bounded size, summed over all documents) estimates how
-reliable each labeler is; the posterior it gives to each pattern trains a
-logistic span classifier on the votes, the kind and the shape of a span.  The
-classifier decides on the candidates beyond the base spans, which always stay.
+patterns (a table of bounded size, summed over all documents) estimates for
+each kind how reliable each labeler is; the posterior it gives to each pattern
+trains a logistic span classifier on the votes, the kind and the shape of a
+span.  The classifier decides on the candidates beyond the base spans, which
+always stay.  All kinds have equal weight: with the same shares of patterns
+within each kind, neither the size of the corpus nor the number of spans of any
+kind changes what is taken.
 
 Defined results: a null text is empty; spans are in code points, end exclusive;
 equal rows give equal rows; an empty table gives no rows; columns not named are
@@ -51,6 +54,8 @@ _FOR = re.compile(r"\b(?:call|tel|phone|fax|mobile|contact|mail|email|e-mail|wri
 _AGAINST = re.compile(r"\b(?:isbn|issn|version|page|chapter|figure|table|section|order|invoice|serial|part|score|lines?)\b", re.I)
 LABELERS = 6
 ACCEPT = 0.9
+#: Weight of each kind, whatever its number of spans: what the prior counts and the penalty are held against.
+KIND_WEIGHT = 1000.0
 
 
 def base_spans(text: str) -> list[Span]:
@@ -173,7 +178,7 @@ def _features(places: np.ndarray, votes: np.ndarray, shapes: np.ndarray) -> np.n
 
 def classifier(x: np.ndarray, y: np.ndarray, counts: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Weights of a ridge logistic regression on soft labels, by Newton steps."""
-    w, counts = np.zeros(x.shape[1]), counts / counts.sum() * min(counts.sum(), 1e4)
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (counts * (y - p)) - penalty * w
@@ -188,7 +193,11 @@ def accepted(histogram: dict[str, int]) -> set[str]:
     keys = sorted(histogram)
     places, votes, shapes = (np.array(x) for x in zip(*map(_parse, keys), strict=True))
     counts = np.array([histogram[k] for k in keys], float)
-    post, _ = reliabilities(votes, counts)
+    post = np.zeros(len(keys))
+    for kind in np.unique(places):
+        own = places == kind
+        counts[own] *= KIND_WEIGHT / counts[own].sum()
+        post[own], _ = reliabilities(votes[own], counts[own])
     x = _features(places, votes, shapes)
     p = 1 / (1 + np.exp(-x @ classifier(x, post, counts)))
     return {k for k, score in zip(keys, p, strict=True) if score >= ACCEPT}

@@ -211,6 +211,16 @@ def test_labelers_are_weighed():
     assert pii.accepted({strong: 500, weak: 500}) == {strong} and pii.accepted({}) == set()
 
 
+@pytest.mark.parametrize("times", [1, 1000, 1_000_000])
+def test_many_base_spans_hide_no_rare_kind(times):
+    base = {"0|1,1,0,1,0,0|2": 400, "0|1,1,0,1,1,0|2": 100, "0|1,1,0,-1,0,0|2": 40, "1|1,1,1,0,0,0|1": 340, "2|1,1,1,0,0,0|2": 170, "3|1,1,1,0,0,0|2": 80, "3|1,1,1,0,1,0|2": 20}
+    good = {"5|0,1,1,0,0,1|1": 42, "6|0,1,1,0,1,0|1": 20, "6|0,1,1,0,0,0|1": 15, "7|0,1,1,1,1,0|2": 10, "7|0,1,1,1,0,0|2": 10, "8|0,1,0,1,0,0|1": 30}
+    bad = {"6|0,1,-1,0,0,0|1": 8, "6|0,1,-1,0,-1,0|1": 5, "7|0,1,-1,-1,0,0|2": 12}
+    taken = pii.accepted({k: n * times for k, n in base.items()} | good | bad)
+    assert taken >= set(good) and not taken & set(bad)
+    assert taken == pii.accepted({k: n * times for k, n in (base | good | bad).items()})
+
+
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 
 
