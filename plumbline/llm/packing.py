@@ -4,7 +4,8 @@ Pieces of one length are interchangeable, so the search works on how many
 pieces each length has: a table of at most ``capacity`` rows, whatever the
 corpus.  Counts are split into levels: at level M a *pattern* (a packing of a
 bounded number of lengths) is used M times, and what a level does not place in
-well-filled bins goes down to the next; at level 1 everything left is packed.
+well-filled bins goes down to the next, as far as that stays within the bound
+(beyond it the fullest other bins are used too); at level 1 everything left is packed.
 Patterns are searched by islands, one Spark task each: crossover injects whole
 well-filled bins of one parent, keeps the other parent's bins that need no
 piece twice, and best-fits the displaced pieces; after each epoch the elites
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 from .tokenize import encoder
 
-#: Pieces that a pattern may hold; bounds every search and what is sent to the executors.
+#: Pieces that a pattern may hold (see ``most_pieces``); bounds every search and what is sent to the executors.
 PATTERN_PIECES = 32_768
 RATIO = 8
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 2, 5, 5
@@ -167,6 +168,22 @@ def islands(spark: SparkSession, total: Counter, capacity: int, seed: int) -> li
     return max((_unpack(x) for x in elites), key=lambda x: fitness(x, capacity))
 
 
+def most_pieces(capacity: int) -> int:
+    """What a pattern holds at most: fewer than RATIO of each length are left where every bin is used."""
+    return max(PATTERN_PIECES, (RATIO - 1) * (capacity - 1))
+
+
+def used_bins(bins: list[Bin], left: dict[int, int], capacity: int, times: int) -> list[Bin]:
+    """The bins used at a level above 1: the well-filled ones, and the fullest others while the next pattern would hold too many pieces."""
+    used, lower = set(), sum(n // (times // RATIO) for n in left.values())
+    for n in sorted(range(len(bins)), key=lambda n: -sum(bins[n])):
+        if sum(bins[n]) < WELL_FILLED * capacity and lower <= most_pieces(capacity):
+            break
+        used.add(n)
+        lower -= RATIO * len(bins[n])
+    return [x for n, x in enumerate(bins) if n in used]
+
+
 def plan(spark: SparkSession, counts: dict[int, int], capacity: int, seed: int = 7) -> list[tuple]:
     """Rows (length, level rows) from piece counts; see ``assign``.
 
@@ -183,9 +200,11 @@ def plan(spark: SparkSession, counts: dict[int, int], capacity: int, seed: int =
         times *= RATIO
     while left:
         total = Counter({k: n // times for k, n in left.items() if n >= times})
+        if total.total() > most_pieces(capacity):
+            raise AssertionError(f"a pattern of {total.total()} pieces")
         bins = islands(spark, total, capacity, seed + times) if total else []
         if times > 1:
-            bins = [x for x in bins if sum(x) >= WELL_FILLED * capacity]
+            bins = used_bins(bins, left, capacity, times)
         slots: dict[int, list[tuple[int, int]]] = {}
         for n, items in enumerate(bins):
             at = 0
@@ -245,7 +264,7 @@ def pack(rows: DataFrame, capacity: int) -> DataFrame:
     counts = {r.length: r["count"] for r in rows.groupBy("length").count().collect()}
     schema = "length long, buckets int, levels array<struct<first: long, n: long, times: long, sequence: long, bins: long, slots: array<struct<bin: long, at: long>>>>"
     table = spark.createDataFrame([(k, -(-counts[k] // RANK_ROWS), v) for k, v in plan(spark, counts, capacity)], schema)
-    table = F.broadcast(table)  # a row for each length and at most PATTERN_PIECES slots a level
+    table = F.broadcast(table)  # a row for each length and at most most_pieces(capacity) slots a level
     salted = rows.join(table.select("length", "buckets"), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("buckets")))
     sizes = salted.groupBy("length", "bucket").agg(F.count("*").alias("held"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -99,6 +99,19 @@ def test_packing_search(spark):
     assert placed == Counter(many)
 
 
+def test_unfillable_lengths_stay_within_the_bound(spark, monkeypatch):
+    """Pieces of 30 of 40 leave gaps that the short ones cannot fill; the patterns stay small all the same."""
+    monkeypatch.setattr(packing, "PATTERN_PIECES", 300)
+    many, placed, sequences = {30: 20_000, 25: 3_001, 4: 777, 3: 5}, Counter(), 0
+    assert packing.most_pieces(40) == 300
+    for length, levels in packing.plan(spark, many, 40):
+        for first, n, times, sequence, bins, places in levels:
+            assert first == placed[length] and n == len(places) <= 300
+            placed[length] += n * times
+            sequences = max(sequences, sequence + times * bins)
+    assert placed == Counter(many) and sequences <= 23_001 * 1.01
+
+
 def brute_fingerprint(text):
     tokens = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(tokens[i : i + 4]) for i in range(max(1, len(tokens) - 3))] if tokens else []
