@@ -58,10 +58,8 @@ def with_totals(grouped: DataFrame, x: str, y: str) -> DataFrame:
 def cross_tab(df: DataFrame, x: str, y: str) -> DataFrame:
     """Counts of each (y, x) pair in long form, 0 where there is none."""
     cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("n"))
-    columns = [r[0] for r in cells.select(x).distinct().orderBy(x).limit(CAP).collect()]
-    wide = cells.groupBy(y).pivot(x, columns).agg(F.sum("n")).na.fill(0)
-    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias(x), F.col(f"`{c}`").alias("n")) for c in columns))) if columns else None
-    return wide.select(y, pairs.alias("cell")).select(F.col(f"cell.{x}").alias(x), y, F.col("cell.n").cast("long").alias("n")) if columns else cells
+    pairs = cells.select(x).distinct().crossJoin(cells.select(y).distinct())
+    return pairs.join(cells, [x, y], "left").select(x, y, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

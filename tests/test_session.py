@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from plumbline.operators import charts
 from plumbline.session import Session, clamp_limit, clamp_sample
 from plumbline.sources import connections
 
@@ -90,3 +91,13 @@ def test_charts(session):
     for wrong in ({"chart_type": "pie"}, {"x_column": "q"}, {"y_column": ["v"], "chart_type": "bar"}, {"chart_type": "bar", "x_column": "kind", "sort_by": "month"}):
         assert "error" in session.generate_chart(**({"data_source": ROWS, "chart_type": "scatter", "x_column": "month", "y_column": "v"} | wrong))
     assert "error" in session.generate_chart([], "bar", "a", "b") and "error" in session.generate_chart("{bad", "bar", "a", "b")
+
+
+def test_heatmap_counts_every_value(spark):
+    df = spark.range(charts.CAP + 1).selectExpr("id AS a", "'one' AS b")
+    made = charts.cross_tab(df, "a", "b")
+    assert made.columns == ["a", "b", "n"] and made.count() == charts.CAP + 1
+    assert "error" in charts.figure(df, "heatmap", "a", "b")
+    few = spark.createDataFrame([("p", 1), ("p", 1), ("q", 2), (None, 3), ("r", None)], "a string, b int")
+    assert sorted(map(tuple, charts.cross_tab(few, "a", "b").collect())) == [("p", 1, 2), ("p", 2, 0), ("q", 1, 0), ("q", 2, 1)]
+    assert charts.cross_tab(few.limit(0), "a", "b").collect() == []
