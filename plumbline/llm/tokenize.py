@@ -7,9 +7,14 @@ entry is made by the library itself.  The table is a set of flat arrays, and
 chunks are hashed, looked up and put together many at a time: hundreds of
 millions of lookups in a Python dict would cost more than the tokenizer.
 
-A chunk is found by a 64-bit polynomial hash of its bytes and length.  Chunks
-over ``LONGEST`` bytes, where such hashes can be made to collide, are encoded
-each time instead.
+A chunk is found by a 64-bit hash of its bytes, and what is found counts only
+if the bytes kept with it are the chunk's own; of chunks with equal hashes one
+is kept and the others are encoded each time, as are chunks over ``LONGEST``
+bytes.  A text that holds a special token of the vocabulary goes to the library
+whole.
+
+Defined results: an empty text has no ids; equal texts have equal ids; the ids
+are those of ``encode(text, add_special_tokens=False)`` and nothing else.
 """
 
 from __future__ import annotations
@@ -41,17 +46,38 @@ class _Powers:
             self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x % (1 << 64), np.uint64)])) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _eights(octets: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as one number; the last 7 places have none."""
+    return np.ndarray((len(octets) - 7,), "<u8", octets, strides=(1,))
+
+
+class _Chunks:
+    """Chunks of a text: where their bytes are, their hashes, and which begin a text."""
+
+    def __init__(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, firsts: np.ndarray):
+        self.raw, self.starts, self.ends, self.sizes, self.hashes, self.firsts = raw, starts, ends, ends - starts, hashes, firsts
+        self.octets = np.frombuffer(raw + bytes(8), np.uint8)
+
+    def text(self, n: int) -> str:
+        return self.raw[self.starts[n] : self.ends[n]].decode("utf-8", "surrogatepass")
+
+
 class _Table:
-    """Open addressing from chunk hashes to runs of ids in one pool."""
+    """Open addressing from chunk hashes to the chunks' bytes in one pool and their ids in another."""
 
     def __init__(self, bits: int = 22):
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
         self.offsets, self.lengths, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
-        self.n = self.filled = 0
+        self.places, self.sizes, self.firsts, self.octets = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, bool), np.zeros(4096, np.uint8)
+        self.n = self.filled = self.written = 0
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Entry of each hash, or -1."""
+    def find(self, chunks: _Chunks) -> tuple[np.ndarray, np.ndarray]:
+        """Entry of each chunk, or -1; and whether another chunk of its hash is kept."""
+        hashes = chunks.hashes
         slots = (hashes >> self.shift).astype(np.int64)
         seen = self.keys[slots]
         out = np.where(seen == hashes, self.values[slots], -1)
@@ -62,28 +88,41 @@ class _Table:
             hit = seen == hashes[open_]
             out[open_[hit]] = self.values[slots[open_[hit]]]
             open_ = open_[~hit & (seen != 0)]
-        return out
+        same = (out >= 0) & (self.sizes[out] == chunks.sizes) & (self.firsts[out] == chunks.firsts)
+        held, given, left = _eights(self.octets), _eights(chunks.octets), np.flatnonzero(same)
+        for at in range(0, LONGEST, 8):
+            left = left[chunks.sizes[left] > at]
+            if not len(left):
+                break
+            keep = _KEEP[np.minimum(chunks.sizes[left] - at, 8)]
+            equal = ((held[self.places[out[left]] + at] ^ given[chunks.starts[left] + at]) & keep) == 0
+            same[left[~equal]] = False
+            left = left[equal]
+        return np.where(same, out, -1), (out >= 0) & ~same
 
     def run(self, entry: int) -> bytes:
         start = self.offsets[entry]
         return self.pool[start : start + self.lengths[entry]].tobytes()
 
-    def add(self, hashes: np.ndarray, runs: list[bytes]) -> None:
-        """Put in new, distinct hashes with the bytes of their ids."""
-        lengths = np.fromiter(map(len, runs), np.int32, len(runs)) // 4
-        total, n = int(lengths.sum()), len(runs)
-        for name, used, more in (("offsets", self.n, n), ("lengths", self.n, n), ("pool", self.filled, total)):
-            held = getattr(self, name)
-            if used + more > len(held):
-                grown = np.zeros(max(2 * len(held), used + more), held.dtype)
-                grown[:used] = held[:used]
-                setattr(self, name, grown)
-        self.offsets[self.n : self.n + n] = self.filled + np.cumsum(lengths) - lengths
-        self.lengths[self.n : self.n + n] = lengths
-        if total:
-            self.pool[self.filled : self.filled + total] = np.frombuffer(b"".join(runs), np.uint32)
+    def add(self, chunks: _Chunks, at: np.ndarray, runs: list[bytes]) -> None:
+        """Put in the chunks at ``at``, whose hashes are not kept yet, with the bytes of their ids."""
+        hashes, sizes, lengths = chunks.hashes[at], chunks.sizes[at], np.fromiter(map(len, runs), np.int32, len(runs)) // 4
+        texts = b"".join(chunks.raw[s:e] for s, e in zip(chunks.starts[at].tolist(), chunks.ends[at].tolist(), strict=True))
+        n = len(runs)
+        for names, used, more in ((("offsets", "lengths", "places", "sizes", "firsts"), self.n, n), (("pool",), self.filled, int(lengths.sum())), (("octets",), self.written, len(texts) + 8)):
+            for name in names:
+                held = getattr(self, name)
+                if used + more > len(held):
+                    grown = np.zeros(max(2 * len(held), used + more), held.dtype)
+                    grown[:used] = held[:used]
+                    setattr(self, name, grown)
+        new = slice(self.n, self.n + n)
+        self.offsets[new], self.lengths[new] = self.filled + np.cumsum(lengths) - lengths, lengths
+        self.places[new], self.sizes[new], self.firsts[new] = self.written + np.cumsum(sizes) - sizes, sizes, chunks.firsts[at]
+        self.pool[self.filled : self.filled + int(lengths.sum())] = np.frombuffer(b"".join(runs), np.uint32)
+        self.octets[self.written : self.written + len(texts)] = np.frombuffer(texts, np.uint8)
         entries = np.arange(self.n, self.n + n, dtype=np.int32)
-        self.n, self.filled = self.n + n, self.filled + total
+        self.n, self.filled, self.written = self.n + n, self.filled + int(lengths.sum()), self.written + len(texts)
         slots, left = (hashes >> self.shift).astype(np.int64), np.arange(n)
         while len(left):
             free = left[self.keys[slots[left]] == 0]
@@ -106,7 +145,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [x.content for x in added if not x.normalized]
+        self.special_any_case = re.compile("|".join(re.escape(x.content) for x in added if x.normalized) or r"(?!)", re.I)
         self.dropped, self.limit, self.powers, self.table = spaces_dropped, limit, _Powers(), _Table()
         vocabulary = self.tokenizer.get_vocab()
         self.marked = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -132,33 +173,27 @@ class ChunkEncoder:
             return []
         if self.table.n > self.limit:
             self.table = _Table()
+        whole = [n for n, x in enumerate(texts) if self._has_special(x)]
+        odd = [] if self.dropped else [n for n, x in enumerate(texts) if _PAIR.search(x)]
+        away = {*whole, *odd}
+        shown = ["" if n in away else x for n, x in enumerate(texts)] if away else texts
         if self.dropped:
-            shown = [(x.lower() if x.isascii() else x).replace("\n", " ") for x in texts]
-            odd = []
-        else:
-            odd = [n for n, x in enumerate(texts) if _PAIR.search(x)]
-            shown = ["" if n in set(odd) else x for n, x in enumerate(texts)] if odd else texts
+            shown = [(x.lower() if x.isascii() else x).replace("\n", " ") for x in shown]
         counts = np.fromiter((x.count(" ") + 1 for x in shown), np.int64, len(shown))
         last = np.cumsum(counts)
-        raw, starts, ends, hashes = self._hash(" ".join(shown), None if self.dropped else last - counts)
-        sizes = ends - starts
-        entries = self.table.find(hashes)
-        lost = np.flatnonzero(((entries < 0) | (sizes > LONGEST)) & (sizes > 0) if self.dropped else (entries < 0) | (sizes > LONGEST))
+        chunks = self._cut(" ".join(shown), None if self.dropped else last - counts)
+        sizes = chunks.sizes
+        entries, taken = self.table.find(chunks)
+        lost = np.flatnonzero((entries < 0) & (sizes > 0) if self.dropped else entries < 0)
         extra: dict[int, np.ndarray] = {}
         if len(lost):
-            firsts = set((last - counts).tolist())
-            short = lost[sizes[lost] <= LONGEST]
-            keys, at = np.unique(hashes[short], return_index=True)
-            where = short[at]
-            chunks = [(raw[s:e].decode("utf-8", "surrogatepass"), int(n) in firsts) for n, s, e in zip(where, starts[where].tolist(), ends[where].tolist(), strict=True)]
-            self._learn(chunks, keys)
-            entries[short] = self.table.find(hashes[short])
-            for n in lost[sizes[lost] > LONGEST].tolist():
-                extra[n] = self._ids(self._plain(raw[starts[n] : ends[n]].decode("utf-8", "surrogatepass"), n in firsts))
+            new = lost[(sizes[lost] <= LONGEST) & ~taken[lost]]
+            self._learn(chunks, new[np.unique(chunks.hashes[new], return_index=True)[1]])
+            entries, _ = self.table.find(chunks)
+            for n in lost[entries[lost] < 0].tolist():
+                extra[n] = self._ids(self._plain(chunks, n))
         table = self.table
         lengths = np.where(entries >= 0, table.lengths[entries], 0).astype(np.int64)
-        for n in extra:
-            lengths[n] = 0
         upto = np.cumsum(lengths)
         first = np.where(entries >= 0, table.offsets[entries], 0) - (upto - lengths)
         ids = table.pool[np.repeat(first, lengths) + np.arange(int(upto[-1]))]
@@ -174,14 +209,23 @@ class ChunkEncoder:
             first_piece, *rest = _SINGLE_SPACE.split(texts[n])
             made = self.tokenizer.encode_batch_fast([first_piece, *(f" {x}" for x in rest)], add_special_tokens=False)
             out[n] = b"".join(np.array(x.ids, "<u4").tobytes() for x in made)
+        for n in whole:
+            out[n] = self._ids(texts[n]).astype("<u4").tobytes()
         return out
 
-    def _hash(self, text: str, firsts: np.ndarray | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes, and starts, ends and hashes of the chunks; no hash is 0."""
+    def _has_special(self, text: str) -> bool:
+        """Also if it would have one in lower case, as chunks may be lowered before they are encoded."""
+        if self.dropped:
+            text = text.lower()
+        return any(x.lower() in text if self.dropped else x in text for x in self.special) or bool(self.special_any_case.search(text))
+
+    def _cut(self, text: str, firsts: np.ndarray | None) -> _Chunks:
+        """The space-separated chunks of a text; no hash is 0."""
         raw = text.encode("utf-8", "surrogatepass")
         octets = np.frombuffer(raw, np.uint8)
         spaces = np.flatnonzero(octets == 0x20)
         starts, ends = np.concatenate([[0], spaces + 1]), np.append(spaces, len(raw))
+        begins = np.zeros(len(starts), bool)
         self.powers.reach(len(raw) + 1)
         with np.errstate(over="ignore"):
             sums = np.zeros(len(raw) + 1, np.uint64)
@@ -190,67 +234,72 @@ class ChunkEncoder:
             hashes ^= (ends - starts).astype(np.uint64) * np.uint64(_BASE)
             if firsts is not None:
                 hashes[firsts] ^= np.uint64(_FIRST)
+                begins[firsts] = True
             hashes ^= hashes >> np.uint64(29)
             hashes *= np.uint64(_MIX)
             hashes ^= hashes >> np.uint64(32)
             hashes *= np.uint64(_MIX)
         hashes[hashes == 0] = 1
-        return raw, starts, ends, hashes
+        return _Chunks(raw, starts, ends, hashes, begins)
 
     # ---- new chunks
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _plain(self, chunk: str, first: bool) -> str:
-        return chunk if self.dropped or first else f" {chunk}"
+    def _plain(self, chunks: _Chunks, n: int) -> str:
+        return chunks.text(n) if self.dropped or chunks.firsts[n] else f" {chunks.text(n)}"
 
-    def _learn(self, chunks: list[tuple[str, bool]], keys: np.ndarray) -> None:
-        """Put the ids of new chunks into the table.
+    def _learn(self, chunks: _Chunks, at: np.ndarray) -> None:
+        """Put the ids of the chunks at ``at`` into the table.
 
         A run of Latin letters is one pre-token whatever punctuation follows,
         so words are encoded in one long text and told apart by the mark that
         the vocabulary puts on a word's first or last token.
         """
-        made: list[bytes] = [b""] * len(chunks)
+        made: list[bytes] = [b""] * len(at)
         uses: list[tuple[int, str, str]] = []
-        whole, words, tails, alone = [], {}, {"": b""}, set()
-        for n, (chunk, first) in enumerate(chunks):
+        alone, words, tails, bare = [], {}, {"": b""}, set()
+        for n, place in enumerate(at.tolist()):
+            chunk = chunks.text(place)
             word = chunk.rstrip(_TAIL)
-            if first and not self.dropped or not (word.isalpha() and (word.isascii() or max(word) <= "\xff")):
-                whole.append(n)
+            if chunks.firsts[place] or not (word.isalpha() and (word.isascii() or max(word) <= "\xff")):
+                alone.append(n)
                 continue
             tail = chunk[len(word) :]
             uses.append((n, word, tail))
             words[word] = None
             if not tail:
-                alone.add(word)
+                bare.add(word)
             elif tail not in tails:
                 tails[tail] = self._ids(tail).tobytes()
+        only = None
         if words:
             names = list(words)
-            hashes = self._hash(" ".join(names), None)[3]
-            entries = self.table.find(hashes)
+            cut = self._cut(" ".join(names), None)
+            entries, taken = self.table.find(cut)
             fresh = [n for n, e in enumerate(entries.tolist()) if e < 0]
             for n in np.flatnonzero(entries >= 0).tolist():
                 words[names[n]] = self.table.run(entries[n])
             for part in _parts([names[n] for n in fresh]):
                 ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part) if self.dropped else f" {' '.join(part)}"], add_special_tokens=False)[0].ids, np.uint32)
-                cut = np.flatnonzero(self.marked[ids])
-                edges = 4 * (np.concatenate([[0], cut + 1]) if self.dropped else np.append(cut, len(ids)))
+                marks = np.flatnonzero(self.marked[ids])
+                edges = 4 * (np.concatenate([[0], marks + 1]) if self.dropped else np.append(marks, len(ids)))
                 assert len(edges) == len(part) + 1
                 raw, edges = ids.tobytes(), edges.tolist()
                 words.update((w, raw[a:b]) for w, a, b in zip(part, edges, edges[1:], strict=False))
             for n, word, tail in uses:
                 made[n] = words[word] + tails[tail]
             # Words met only with punctuation so far are kept too.
-            only = [n for n in fresh if names[n] not in alone and len(names[n]) <= LONGEST // 2]
-            self.table.add(hashes[only], [words[names[n]] for n in only])
-        for part in _parts(whole):
-            got = self.tokenizer.encode_batch_fast([self._plain(*chunks[n]) for n in part], add_special_tokens=False)
+            only = np.array([n for n in fresh if names[n] not in bare and not taken[n] and len(names[n]) <= LONGEST // 2], int)
+            only = only[np.unique(cut.hashes[only], return_index=True)[1]]
+        for part in _parts(alone):
+            got = self.tokenizer.encode_batch_fast([self._plain(chunks, at[n]) for n in part], add_special_tokens=False)
             for n, x in zip(part, got, strict=True):
                 made[n] = np.array(x.ids, np.uint32).tobytes()
-        self.table.add(keys, made)
+        self.table.add(chunks, at, made)
+        if only is not None:
+            self.table.add(cut, only, [words[names[n]] for n in only.tolist()])
 
 
 def _parts(items: list, size: int = 4096) -> list[list]:
