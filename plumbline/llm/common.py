@@ -1,4 +1,9 @@
-"""Helpers shared by the training-data operators."""
+"""Helpers shared by the training-data operators.
+
+Intermediate tables go to the folder that the cluster names in
+``spark.checkpoint.dir`` and are deleted when the application ends; nulls,
+repeated rows and empty tables go through all of these as they are.
+"""
 
 from __future__ import annotations
 
@@ -10,26 +15,35 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[str] = []
+#: Rows of one key that one task puts in order.
+TASK_ROWS = 20_000
+
 _shipped: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (local tests) a temporary folder of this machine is used.
+    Only a local master may leave that unset, as tests do; then a temporary
+    folder of this machine is used.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = os.path.join(tempfile.gettempdir(), f"plumbline-{os.getpid()}")
     if not os.path.isdir(local):
         os.makedirs(local)
@@ -38,9 +52,34 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    _written.append(path)
-    return path
+    return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def release_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver delete ``path`` when the application ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of less memory for what runs inside; the session's settings come back after it."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+    held = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -50,16 +89,51 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
+    release_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete every table ``materialise`` wrote; earlier results become unreadable."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+def private(*columns: str) -> str:
+    """A beginning that none of the columns has, for the names of helper columns."""
+    begin = "__"
+    while any(c.lower().startswith(begin) for c in columns):
+        begin += "_"
+    return begin
+
+
+def numbered(df: DataFrame, tag: str, number: str) -> DataFrame:
+    """``df`` materialised, with a number of its own for every row: file, then place in it."""
+    made = materialise(df, tag)
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    more = F.regexp_extract("_metadata.file_name", r"-c(\d+)\.", 1).cast("long")
+    return made.select(*(F.col(f"`{c}`") for c in df.columns), (F.shiftleft(part, 42) + F.shiftleft(more, 32) + F.col("_metadata.row_index")).alias(number))
+
+
+def occurrences(rows: DataFrame, by: list[str], number: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: 0, 1, ... for rows equal in ``by``, in the order of ``number``.
+
+    Which numbers a set of equal rows gets does not depend on where they lie.
+    A group is counted by salts, and each salt's rows are ordered in a task of
+    their own, so a group may hold any share of the rows.
+    """
+    p = private(*rows.columns, name)
+    held = rows.groupBy(*by).agg(F.count("*").alias(f"{p}n")).where(F.col(f"{p}n") > 1)
+    held = materialise(held.select(*(F.col(c).alias(f"{p}{k}") for k, c in enumerate(by)), f"{p}n"), "repeated")
+    total = held.agg(F.sum(f"{p}n")).first()[0]
+    if not total:
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    keys = [f"{p}{k}" for k in range(len(by))]
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)))
+    copies = rows.join(held, same).select(number, *keys, F.pmod(F.xxhash64(number), F.lit(-(-total // TASK_ROWS))).alias(f"{p}salt"))
+    salts = copies.groupBy(*keys, f"{p}salt").agg(F.count("*").alias(f"{p}own"))
+    before = Window.partitionBy(*keys).orderBy(f"{p}salt").rowsBetween(Window.unboundedPreceding, -1)
+    salts = salts.select(*(F.col(k).alias(f"{k}s") for k in keys), F.col(f"{p}salt").alias(f"{p}salts"), F.coalesce(F.sum(f"{p}own").over(before), F.lit(0)).alias(f"{p}ahead"))
+    here = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"{k}s")) for k in keys)) & (F.col(f"{p}salt") == F.col(f"{p}salts"))
+    place = F.row_number().over(Window.partitionBy(*keys, f"{p}salt").orderBy(number)) - 1
+    found = copies.withColumn(f"{p}place", place).join(salts, here).select(F.col(number).alias(f"{p}row"), (F.col(f"{p}place") + F.col(f"{p}ahead")).alias(f"{p}place"))
+    return rows.join(found, F.col(number) == F.col(f"{p}row"), "left").select(*rows.columns, F.coalesce(f"{p}place", F.lit(0)).cast("long").alias(name))
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -87,11 +161,18 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(name)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches small enough for whole long texts, for workers that have this package."""
-    ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Have every executor fetch a file of the driver; returns the name for ``shipped``."""
+    key = f"{spark.sparkContext.applicationId}:{path}"
+    if key not in _shipped:
+        _shipped.add(key)
+        spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def shipped(name: str) -> str:
+    """Where a worker finds a file that ``ship_file`` sent."""
+    return SparkFiles.get(name)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

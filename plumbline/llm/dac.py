@@ -132,10 +132,11 @@ def write(
     One range shuffle of the texts; a segment closes at the first document end
     past ``segment_ids`` ids, so memory follows the longest document only.
     """
-    common.bounded_batches(spark)
+    common.ship_package(spark)
+    file = common.ship_file(spark, tokenizer)
 
     def encode_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, part, begun = encoder(tokenizer, spaces_dropped), TaskContext.get().partitionId(), 0
+        codec, part, begun = encoder(common.shipped(file), spaces_dropped), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         names, raws, held = [], [], 0
 
@@ -147,7 +148,7 @@ def write(
             begun, names, raws, held = begun + held, [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=_arrow_schema())
 
-        for batch in batches:
+        for batch in common.slices(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for name, raw in zip(ids, codec.encode(texts), strict=True):
                 names.append(name)
@@ -161,7 +162,8 @@ def write(
     keyed = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     keyed = keyed.withColumn("tie", F.xxhash64("text"))
     ordered = keyed.repartitionByRange(common.shuffle_partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    ordered.mapInArrow(encode_part, SEGMENTS).write.parquet(path)
+    with common.small_batches(spark):
+        ordered.mapInArrow(encode_part, SEGMENTS).write.parquet(path)
 
 
 def _arrow_schema() -> pa.Schema:
@@ -188,12 +190,12 @@ def digest(segments: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the blobs."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, 1):
             for row in batch.to_pylist():
                 reader, out = Reader(row["blob"]), []
                 for name, start, length in zip(row["doc_ids"], row["doc_starts"], row["doc_lengths"], strict=True):
                     out.append((name, row["start"] + start, length, zlib.crc32(reader.slice(start, length).tobytes())))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    common.bounded_batches(segments.sparkSession, 8)
+    common.ship_package(segments.sparkSession)
     return segments.select("start", "doc_ids", "doc_starts", "doc_lengths", "blob").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -118,7 +118,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     The driver gets PER_LANGUAGE sparse vectors of a language at most, about,
     and counts of the scores of all texts, of SIZES by STEPS cells at most.
     """
-    common.bounded_batches(docs.sparkSession)
+    common.ship_package(docs.sparkSession)
     train = docs.where(~held_out(id_column) & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
     train = train.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"))
     counts = {r.lang: r["count"] for r in train.groupBy("lang").count().collect()}
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     picked = train.where(unit < share[F.col("lang")]) if counts else train.limit(0)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             made = []
             for text in batch.column(0).to_pylist():
                 full = trigrams(text)
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = np.zeros(SIZES * STEPS, np.int64)
-        for batch in batches:
+        for batch in common.slices(batches):
             if batch.num_rows:
                 known, _, score, sizes = model.measure(batch.column(0).to_pylist())
                 scores += np.bincount((sizes * STEPS + np.minimum((score * STEPS).astype(int), STEPS - 1))[known], minlength=len(scores))
@@ -170,10 +170,10 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
 
 def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every row."""
-    common.bounded_batches(docs.sparkSession)
+    common.ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             lang, score, rejected = model.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
@@ -183,11 +183,11 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
 
 def keep_identified(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text is not rejected."""
-    common.bounded_batches(docs.sparkSession)
+    common.ship_package(docs.sparkSession)
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             rejected = model.predict(batch.column(at).to_pylist())[2]
             yield batch.filter(pa.array(~rejected))
 

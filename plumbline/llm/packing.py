@@ -228,18 +228,19 @@ def plan(spark: SparkSession, counts: dict[int, int], capacity: int, seed: int =
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, *, spaces_dropped: bool = True, with_ids: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Token pieces of whole texts: doc_id, piece, start, length, ids_crc32 and, if asked, ids."""
-    common.bounded_batches(docs.sparkSession)
+    common.ship_package(docs.sparkSession)
+    name = common.ship_file(docs.sparkSession, tokenizer)
     kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.list_(pa.int64())} if with_ids else {})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, end = encoder(tokenizer, spaces_dropped), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        codec, end = encoder(common.shipped(name), spaces_dropped), np.array([end_id], "<u4").tobytes()
+        for batch in common.slices(batches):
             out = {k: [] for k in kinds}
-            for name, raw in zip(batch.column(0).to_pylist(), codec.encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), codec.encode(batch.column(1).to_pylist()), strict=True):
                 raw += end
                 for n, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
-                    row = (name, n, at // 4, len(part) // 4, zlib.crc32(part))
+                    row = (doc_id, n, at // 4, len(part) // 4, zlib.crc32(part))
                     for key, value in zip(kinds, row, strict=False):
                         out[key].append(value)
                     if with_ids:

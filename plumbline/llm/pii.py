@@ -211,12 +211,12 @@ _FIELDS = ("start", "place", "kind", "end", "pattern")
 
 def votes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, base spans and candidates with their vote patterns, of every row."""
-    common.bounded_batches(docs.sparkSession)
+    common.ship_package(docs.sparkSession)
     kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()]
     one = [pa.list_(pa.struct(list(zip(_FIELDS[:n], kinds[:n], strict=True)))) for n in (4, 5)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             made = [candidates(x or "") for x in batch.column(1).to_pylist()]
             lists = [[[dict(zip(_FIELDS, s, strict=False)) for s in m[k]] for m in made] for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists[0], one[0]), pa.array(lists[1], one[1])], ["doc_id", "base", "found"])
@@ -236,7 +236,7 @@ def join_spans(spans: list) -> str:
 
 def digest(rows: DataFrame, taken: set[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             out = []
             for name, base, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 spans = [s for s in found if s["place"] < 4 or s["pattern"] in taken]
@@ -268,11 +268,11 @@ def redact_text(text: str, taken: set[str]) -> str:
 
 def redact(docs: DataFrame, taken: set[str], text_column: str = "text", size_column: str = "n_chars") -> DataFrame:
     """``docs``, all columns, with personal data replaced and ``size_column``, if there, kept true."""
-    common.bounded_batches(docs.sparkSession)
+    common.ship_package(docs.sparkSession)
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             clean = [x if x is None else redact_text(x, taken) for x in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array(clean, batch.schema.field(at).type)

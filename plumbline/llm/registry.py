@@ -79,6 +79,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = common.scratch_path(spark, "token-ids")
     dac.write(spark, common.read_table(spark, sf_dir, "documents"), path, tokenizer_path("bytes"), end_id=0)
+    common.release_at_exit(spark, path)
     return dac.digest(dac.read(spark, path))
 
 

@@ -78,10 +78,10 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and fingerprint (as a signed long) of every whole text."""
-    common.bounded_batches(docs.sparkSession)
+    common.ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             made = np.array([fingerprint(x, words) for x in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
 
@@ -200,11 +200,11 @@ def keep_one(docs: DataFrame, words: int = 4, id_column: str = "doc_id", text_co
 
     Of rows equal in both, any one stays; they are aggregated before they are shuffled.
     """
-    common.bounded_batches(docs.sparkSession)
+    common.ship_package(docs.sparkSession)
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             made = np.array([fingerprint(x, words) for x in batch.column(at).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.view(np.int64))], [*batch.schema.names, "__fp"])
 

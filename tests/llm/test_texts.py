@@ -11,9 +11,10 @@ import xxhash
 from fixtures import empty_documents, odd_documents, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plumbline.llm import dac, language, mixing, packing, pii, secrets, sharding, simhash
+from plumbline.llm import common, dac, language, mixing, packing, pii, secrets, sharding, simhash
 from plumbline.llm.registry import tokenizer_path
 from plumbline.llm.tokenize import LONGEST, ChunkEncoder
 
@@ -23,19 +24,40 @@ KINDS = {True: "words", False: "bytes"}
 @pytest.fixture(scope="module")
 def encoders():
     made = {d: (ChunkEncoder(tokenizer_path(k), d, limit=50), Tokenizer.from_file(tokenizer_path(k))) for d, k in KINDS.items()}
-    for _, whole in made.values():
-        whole.encode_special_tokens = True
     return made
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.one_of(st.text(max_size=40), st.text("aZé .,'\n\t  1-", max_size=60), st.just("q" * (LONGEST + 9) + " w " + "z" * LONGEST)), max_size=6))
+@given(st.lists(st.one_of(st.text(max_size=40), st.text("aZé .,'\n\t  1-", max_size=60), st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", " ", "ab", "\n", "é"]), max_size=9).map("".join), st.just("q" * (LONGEST + 9) + " w " + "z" * LONGEST)), max_size=6))
 def test_chunks_encode_like_the_library(encoders, texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
     for mine, whole in encoders.values():
         assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_special_tokens_are_those_of_the_library(encoders):
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>b  <|startoftext|> c"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoders[True][0].encode(texts[:1])] == [[3306, 49407, 1002]]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoders[False][0].encode(texts[:1])] == [[31373, 220, 50256, 995]]
+
+
+@pytest.mark.parametrize("dropped", [True, False])
+def test_colliding_chunks_get_their_own_ids(encoders, dropped):
+    """All chunks share five hashes; the bytes kept tell them apart."""
+    coder, whole = ChunkEncoder(tokenizer_path(KINDS[dropped]), dropped), encoders[dropped][1]
+    cut = coder._cut
+
+    def clash(*given):
+        made = cut(*given)
+        made.hashes = made.hashes % np.uint64(5) + np.uint64(1)
+        return made
+
+    coder._cut = clash
+    texts = [words(80, n) + ", Ärger 12 x." for n in range(4)] * 2
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=700))
 def test_dac_round_trip(ids):
@@ -310,6 +332,21 @@ def test_sharding(spark):
     assert sharding.shard_documents(spark, empty_documents(spark)).collect() == []
 
 
+def test_equal_rows_are_spread_like_others(spark):
+    """A third of the rows and more are one row; each copy is dealt for itself, and counted in tasks of bounded size."""
+    held = spark.range(50_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    docs = held.union(spark.range(50_000).select(F.col("id"), F.concat(F.lit("t"), F.col("id").cast("string"))))
+    made = sharding.shard_documents(spark, docs, shards=40)
+    copies = [r["count"] for r in made.where("doc_id = 7 and size = 20").groupBy("shard").count().collect()]
+    assert sum(copies) == 50_000 and len(copies) == 40 and 1_100 < min(copies) and max(copies) < 1_400
+    chi = sum((x - 1250) ** 2 / 1250 for x in copies)
+    assert chi < 45  # half of what independent draws of 39 degrees of freedom may reach; half of all rows vary half as much
+    rows = common.occurrences(common.numbered(held.limit(30_000), "t", "n"), ["doc_id", "text"], "n", "k")
+    assert [r.k for r in rows.orderBy("k").collect()] == list(range(30_000))
+    halves = [r.n for r in made.where("doc_id = 7 and size = 20").groupBy(F.expr("slot < 1250")).agg(F.count("*").alias("n")).collect()]
+    assert abs(halves[0] - halves[1]) < 1_500
+
+
 def test_communication_matrix_is_exact_and_fair():
     rng = np.random.default_rng(0)
     made = np.array([sharding.communication_matrix(rng, [30, 10, 60], [50, 25, 25]) for _ in range(400)])
