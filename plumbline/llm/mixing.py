@@ -1,18 +1,29 @@
 """Mixing sources to target weights by entropy balancing.
 
-Of all rates that give each source its target of tokens, and keep its
-token-weighted mean log length, those nearest to one (in relative entropy per
-token, none above MOST) are exponentials of a source's two multipliers.  The
-convex dual is solved by Newton steps; a step sums moments over a table of
-(source, size) counts, not over documents.  Rates are then rounded into whole
-copies: every document gets the whole part, and the fraction is given to the
-documents that a hash picks, from long documents to short ones, each class of
-sizes making up for what the one before left over.  Copies depend only on
-doc_id, source and size.
+Every source gets its target of tokens exactly, and the lengths of what is
+taken are drawn towards one mean for all sources: of all rates up to MOST, the
+ones sought have the least relative entropy per token plus a penalty (SOFT) on
+how far the source's mean log length, counted in tokens, stays from that of the
+whole corpus.  They are exponentials of two multipliers, lam and gam, of the
+source: rate = exp(lam + gam * (log length - mean)), at most MOST.  The concave
+dual of a source is
+
+    lam * target - sum of tokens * P(lam + gam z) - SOFT * target * gam^2 / 2
+
+with P' the rate.  It is climbed by Newton steps from gam = 0, halved where the
+dual falls; one pass over a table of (source, size) counts sums the dual, its
+slope and its curvature for all sources at once.
+
+Rates are then rounded into whole copies: every document gets the whole part,
+and the fraction is given to the documents that a hash picks, from long
+documents to short ones, each class of sizes making up for what the one before
+left over.  Copies depend only on doc_id, source, size and, for rows equal in
+these, on which of them it is; so such rows are taken apart, and reruns agree.
 
 Defined results: a null text has size 0 and is never taken; null is a source
-like others and sorts last; equal rows are taken alike; an empty table gives no
-rows; columns not named are not read.
+like others and sorts last; a source whose target is MOST times its size is
+taken MOST times; an empty table gives no rows; columns not named are not read
+or, in ``repeat``, passed through.
 """
 
 from __future__ import annotations
@@ -28,8 +39,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 #: Least sizes of the classes that are rounded one after the other.
 CLASSES = (2048, 512, 128, 32, 0)
-STEPS, PRECISION = 40, 1e-10
-BINS = 4096
+SOFT = 0.5
+STEPS, PRECISION = 100, 1e-10
+#: Steps of a hash in which the edge between taken and not is sought, and parts of each step.
+BINS = 1024
 
 
 def source_key(source: Column) -> Column:
@@ -37,10 +50,17 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source.cast("string")))
 
 
-def sizes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, key and size (words) of every row."""
+def sizes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", whole: bool = False) -> DataFrame:
+    """doc_id, source, key and size (words) of every row and, if ``whole``, the row itself."""
     words = F.coalesce(F.regexp_count(F.col(text_column), F.lit(common.WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), source_key(F.col(source_column)).alias("key"), words.alias("size"), *keep)
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if whole else []
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), source_key(F.col(source_column)).alias("key"), words.alias("size"), *row)
+
+
+def measured(docs: DataFrame, **options) -> DataFrame:
+    """``sizes``, written once, with ``copy``: which of the rows equal in doc_id, source and size it is."""
+    rows = common.numbered(sizes(docs, **options), "sizes", "number")
+    return common.occurrences(rows, ["doc_id", "key", "size"], "number", "copy").drop("number")
 
 
 def targets(histogram: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -70,80 +90,112 @@ def _rate(most: float) -> Column:
     return F.least(F.exp(F.col("lam") + F.col("gam") * (F.log1p("size") - F.col("centre"))), F.lit(most))
 
 
-def balance(histogram: DataFrame, wanted: DataFrame, most: float = MOST) -> DataFrame:
-    """``wanted`` with the multipliers lam and gam of each source.
+def balance(histogram: DataFrame, wanted: DataFrame, most: float = MOST, soft: float = SOFT) -> DataFrame:
+    """``wanted`` with the multipliers lam and gam of each source, the mean log length and the number of steps.
 
     Of a step, the driver sees the largest relative error.
     """
-    token = F.col("size") * F.col("n")
-    centres = histogram.groupBy("key").agg((F.sum(token * F.log1p("size")) / F.greatest(F.sum(token), F.lit(1))).alias("centre"))
-    # Where no rate is capped, the dual's solution is this start; the steps prove it, or go on from it.
+    token, size, top = F.col("size") * F.col("n"), F.log1p("size"), math.log(most)
+    cells = common.materialise(histogram.where("size > 0").groupBy("key", "size").agg(F.sum("n").alias("n")), "cells")
+    centre = cells.agg(F.sum(token * size) / F.sum(token)).first()[0] or 0.0
+    # The solution where all lengths are alike; a source taken MOST times has no other.
     start = F.when(F.col("target") > 0, F.log(F.col("target") / F.col("source_size"))).otherwise(0.0)
-    state = common.materialise(wanted.join(centres, "key").withColumns({"lam": start, "gam": F.lit(0.0)}), "multipliers")
-    for _ in range(STEPS):
-        rows = histogram.join(state, "key").withColumns({"r": _rate(most), "z": F.log1p("size") - F.col("centre")})
-        slope = F.when(F.col("r") < most, F.col("r")).otherwise(0.0)
+    settled = (F.col("target") <= 0) | (F.col("target") >= most * F.col("source_size") * (1 - 1e-12))
+    zero = F.lit(0.0)
+    state = wanted.withColumns({"settled": settled, "lam": start, "gam": zero, "best": F.lit(float("-inf")), "lam_step": zero, "gam_step": zero, "error": F.when(settled, 0.0).otherwise(1.0)})
+    steps = 0
+    while True:
+        state = common.materialise(state, "multipliers")
+        if steps == STEPS or (state.agg(F.max("error")).first()[0] or 0.0) <= PRECISION:
+            break
+        steps += 1
+        tried = state.withColumns({"lam_try": F.col("lam") + F.col("lam_step"), "gam_try": F.col("gam") + F.col("gam_step")})
+        z = size - F.lit(centre)
+        rows = cells.join(tried.where("not settled").select("key", "lam_try", "gam_try"), "key").withColumns({"z": z, "u": F.col("lam_try") + F.col("gam_try") * z})
+        rows = rows.withColumn("e", F.exp(F.least("u", F.lit(top))))
+        slope = F.when(F.col("u") < top, F.col("e")).otherwise(0.0)
         sums = rows.groupBy("key").agg(
-            F.sum(token * F.col("r")).alias("g0"),
-            F.sum(token * F.col("r") * F.col("z")).alias("g1"),
-            *(F.sum(token * slope * F.pow("z", F.lit(k))).alias(f"h{k}") for k in range(3)),
+            F.sum(token * (F.col("e") + most * F.greatest(F.col("u") - top, zero))).alias("area"),
+            F.sum(token * F.col("e")).alias("g0"),
+            F.sum(token * F.col("e") * F.col("z")).alias("g1"),
+            *(F.sum(token * slope * F.pow("z", F.lit(float(k)))).alias(f"h{k}") for k in range(3)),
         )
-        e0, e1 = F.col("target") - F.col("g0"), -F.col("g1")
-        # A saturated source has no curvature; then the step is back into the range of rates.
-        h0, h2 = F.col("h0") + 1e-9 * F.col("source_size") + 1e-300, F.col("h2") + 1e-6 * F.col("source_size") + 1e-300
-        det = h0 * h2 - F.col("h1") * F.col("h1")
-        clip = lambda c: F.greatest(F.least(c, F.lit(0.5)), F.lit(-0.5))
-        lam = F.col("lam") + clip((e0 * h2 - e1 * F.col("h1")) / det)
-        gam = F.col("gam") + clip((e1 * h0 - e0 * F.col("h1")) / det)
-        stepped = state.join(sums, "key").withColumns({"error": F.abs(e0) / F.greatest(F.col("target"), F.lit(1.0)), "lam2": F.least(lam, F.lit(math.log(most) + 0.1)), "gam2": gam})
-        kept = F.col("error") <= PRECISION
-        stepped = stepped.select(*wanted.columns, "centre", F.when(kept, F.col("lam")).otherwise(F.col("lam2")).alias("lam"), F.when(kept, F.col("gam")).otherwise(F.col("gam2")).alias("gam"), "error")
-        state = common.materialise(stepped, "multipliers")
-        if (state.agg(F.max("error")).first()[0] or 0) <= PRECISION:
-            break
-        state = state.drop("error")
-    return state.drop("error")
+        target = F.col("target")
+        joined = tried.join(sums, "key", "left").withColumns(
+            {
+                "dual": F.col("lam_try") * target - F.col("area") - soft / 2 * target * F.col("gam_try") * F.col("gam_try"),
+                "e0": target - F.col("g0"),
+                "e1": -F.col("g1") - soft * target * F.col("gam_try"),
+                # Where all rates are at MOST there is no curvature; a little keeps the step finite.
+                "c0": F.col("h0") + 1e-9 * target,
+                "c2": F.col("h2") + soft * target,
+            }
+        )
+        det = F.col("c0") * F.col("c2") - F.col("h1") * F.col("h1")
+        joined = joined.withColumns({"s0": (F.col("e0") * F.col("c2") - F.col("e1") * F.col("h1")) / det, "s1": (F.col("e1") * F.col("c0") - F.col("e0") * F.col("h1")) / det})
+        short = 1 / F.greatest(F.lit(1.0), F.abs("s0"), F.abs("s1"))
+        better = F.col("dual") >= F.col("best") - 1e-13 * (F.abs("area") + F.abs(F.col("lam_try") * target))
+        pick = lambda new, old: F.when(F.col("settled"), F.col(old)).when(better, new).otherwise(F.col(old))
+        half = lambda step, name: F.when(F.col("settled"), 0.0).when(better, step * short).otherwise(F.col(name) / 2)
+        state = joined.select(
+            *wanted.columns, "settled", pick(F.col("lam_try"), "lam").alias("lam"), pick(F.col("gam_try"), "gam").alias("gam"), pick(F.greatest("dual", "best"), "best").alias("best"),
+            half(F.col("s0"), "lam_step").alias("lam_step"), half(F.col("s1"), "gam_step").alias("gam_step"), pick(F.greatest(F.abs("e0"), F.abs("e1")) / target, "error").alias("error"),
+        )
+    # Sums of doubles depend on their order in the last digits; copies should not.
+    return state.select(*wanted.columns, F.round("lam", 9).alias("lam"), F.round("gam", 9).alias("gam"), F.lit(centre).alias("centre"), F.lit(steps).alias("steps"))
 
 
 def _parts(most: float) -> dict[str, Column]:
     """whole and fraction of a row's rate, its class, and the order in which fractions are given."""
     rate = _rate(most)
     near = F.when(F.abs(rate - F.round(rate)) < 1e-6, F.round(rate)).otherwise(rate)
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "key", "size"), 11) / F.lit(float(1 << 53))
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "key", "size", "copy"), 11) / F.lit(float(1 << 53))
     level = F.lit(len(CLASSES) - 1)
     for n in range(len(CLASSES) - 2, -1, -1):
         level = F.when(F.col("size") >= CLASSES[n], F.lit(n)).otherwise(level)
     return {"whole": F.floor(near), "fraction": near - F.floor(near), "class": level, "unit": unit}
 
 
+def _edge(bins: DataFrame, due: DataFrame) -> DataFrame:
+    """key, the bin in which ``due`` is passed, and what the bins of (key, bin, held) before it hold with ``below``."""
+    upto = F.sum("held").over(Window.partitionBy("key").orderBy("bin"))
+    found = bins.withColumn("upto", upto).join(due, "key").where(F.col("below") + F.col("upto") > F.col("due"))
+    return found.groupBy("key", "due").agg(F.min("bin").alias("edge"), (F.min_by("below", "bin") + F.min("upto") - F.min_by("held", "bin")).alias("below"))
+
+
 def thresholds(rows: DataFrame, state: DataFrame, most: float = MOST) -> DataFrame:
-    """``state`` with ``cuts``: for each class of sizes, the order up to which a copy more is given."""
+    """``state`` with ``cuts``: for each class of sizes, the order up to which a copy more is given.
+
+    The edge is found in counts of BINS steps (2 BINS a source and class at
+    most), then of BINS parts of one step; only the rows of one part are put in order.
+    """
     marked = rows.join(state, "key").withColumns(_parts(most)).where("size > 0 and fraction > 0").withColumn("order", F.col("unit") / F.col("fraction"))
     marked = marked.withColumn("bin", F.least(F.floor(F.col("order") * BINS), F.lit(2 * BINS - 1)))
-    marked = common.materialise(marked.select("key", "class", "bin", "order", "size", "fraction"), "fractions")
-    bins = common.materialise(marked.groupBy("key", "class", "bin").agg(F.sum("size").alias("held"), F.sum(F.col("size") * F.col("fraction")).alias("due")), "bins")
+    # Dues are summed as whole numbers, so that no order of adding them matters.
+    marked = common.materialise(marked.select("key", "class", "bin", "order", "size", F.round(F.col("size") * F.col("fraction") * 1024).cast("long").alias("due")), "fractions")
+    bins = common.materialise(marked.groupBy("key", "class", "bin").agg(F.sum("size").alias("held"), F.sum("due").alias("due")), "bins")
     carry = state.select("key", F.lit(0.0).alias("carry"), F.array().cast("array<double>").alias("cuts"))
     for n in range(len(CLASSES)):
         own = bins.where(F.col("class") == n)
-        due = own.groupBy("key").agg(F.sum("due").alias("due"))
+        due = own.groupBy("key").agg((F.sum("due") / 1024).alias("due"), F.sum("held").alias("all"))
         carry = carry.join(due, "key", "left").withColumn("due", F.coalesce("due", F.lit(0.0)) + F.col("carry"))
-        upto = Window.partitionBy("key").orderBy("bin")
-        edge = own.select("key", "bin", "held").withColumn("upto", F.sum("held").over(upto)).join(carry.select("key", "due"), "key").where("upto > due")
-        edge = edge.groupBy("key").agg(F.min("bin").alias("edge"), (F.min("upto") - F.min_by("held", "bin")).alias("below"))
-        rest = marked.where(F.col("class") == n).join(edge, "key").where(F.col("bin") == F.col("edge")).join(carry.select("key", "due"), "key")
-        inside = Window.partitionBy("key").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, 0)
-        rest = rest.withColumn("run", F.sum("size").over(inside)).where(F.col("below") + F.col("run") - F.col("size") / 2 <= F.col("due"))
+        edge = _edge(own.select("key", "bin", "held"), carry.select("key", "due", F.lit(0).cast("long").alias("below")))
+        inside = marked.where(F.col("class") == n).join(edge, "key").where(F.col("bin") == F.col("edge"))
+        inside = inside.select("key", "order", "size", F.least(F.lit(BINS - 1), F.floor((F.col("order") * BINS - F.col("bin")) * BINS)).alias("bin"))
+        parts = inside.groupBy("key", "bin").agg(F.sum("size").alias("held"))
+        part = _edge(parts, edge.select("key", "due", "below"))
+        run = F.sum("size").over(Window.partitionBy("key").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, 0))
+        rest = inside.join(part, "key").where(F.col("bin") == F.col("edge")).withColumn("run", run).where(F.col("below") + F.col("run") - F.col("size") / 2 <= F.col("due"))
         rest = rest.groupBy("key").agg(F.max("order").alias("last"), F.sum("size").alias("more"))
-        held = own.groupBy("key").agg(F.sum("held").alias("all"))
-        found = carry.join(edge, "key", "left").join(rest, "key", "left").join(held, "key", "left")
-        given = F.when(F.col("edge").isNull(), F.coalesce("all", F.lit(0))).otherwise(F.greatest(F.col("below"), F.lit(0)) + F.coalesce("more", F.lit(0)))
-        cut = F.when(F.col("edge").isNull(), F.lit(float("inf"))).otherwise(F.coalesce("last", F.col("edge") / BINS - 1e-15))
+        found = carry.join(edge.select("key", "edge"), "key", "left").join(part.select("key", "below", F.col("edge").alias("part")), "key", "left").join(rest, "key", "left")
+        given = F.when(F.col("edge").isNull(), F.coalesce("all", F.lit(0))).otherwise(F.col("below") + F.coalesce("more", F.lit(0)))
+        cut = F.when(F.col("edge").isNull(), F.lit(float("inf"))).otherwise(F.coalesce("last", (F.col("edge") + F.col("part") / BINS) / BINS - 1e-15))
         carry = common.materialise(found.select("key", (F.col("due") - given).alias("carry"), F.concat("cuts", F.array(cut)).alias("cuts")), "cuts")
     return state.join(carry.select("key", "cuts"), "key")
 
 
 def copies(rows: DataFrame, plan: DataFrame, most: float = MOST) -> DataFrame:
-    """``rows`` (doc_id, key, size and any others) with ``copies``; no shuffle of rows while the plan is small."""
+    """``rows`` (doc_id, key, size, copy and any others) with ``copies``; no shuffle of rows while the plan is small."""
     joined = rows.join(plan, "key").withColumns(_parts(most))
     more = (F.col("size") > 0) & (F.col("fraction") > 0) & (F.col("unit") / F.col("fraction") <= F.element_at("cuts", (F.col("class") + 1).cast("int")))
     taken = F.when(F.col("size") > 0, F.col("whole") + more.cast("int")).otherwise(0)
@@ -151,16 +203,15 @@ def copies(rows: DataFrame, plan: DataFrame, most: float = MOST) -> DataFrame:
 
 
 def mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """The plan of a corpus of (doc_id, source, key, size) rows."""
+    """The plan of a corpus of ``measured`` rows."""
     histogram = common.materialise(rows.groupBy("key", "source", "size").agg(F.count("*").alias("n")), "histogram")
-    wanted = targets(histogram, weights, most)
+    wanted = common.materialise(targets(histogram, weights, most), "targets")
     state = balance(histogram, wanted, most)
     return common.materialise(thresholds(rows, state, most), "plan")
 
 
-def repeat(docs: DataFrame, plan: DataFrame, most: float = MOST) -> DataFrame:
-    """``docs``, all columns, each row as often as the plan takes it; the texts are not shuffled while the plan is small."""
-    held = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
-    rows = sizes(docs.withColumn("__row", held), keep=("__row",))
-    taken = copies(rows, plan, most).where("copies > 0")
-    return taken.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__row.*")
+def repeat(docs: DataFrame, most: float = MOST, **options) -> DataFrame:
+    """``docs``, all columns, each row as often as the mix takes it; the texts are not shuffled while the plan is small."""
+    rows = measured(docs, whole=True, **options)
+    taken = copies(rows, mix(rows.drop("row"), most=most), most).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

@@ -69,7 +69,7 @@ def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
-    rows = common.materialise(mixing.sizes(common.read_table(spark, sf_dir, "documents")), "sizes")
+    rows = mixing.measured(common.read_table(spark, sf_dir, "documents"))
     taken = mixing.copies(rows, mixing.mix(rows))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 

@@ -373,7 +373,7 @@ def test_mixing(spark):
     rows = [(n, words(5 + n * 7 % 90, n), s) for n in range(400) for s in [["a", "b", "c", None, "tiny"][0 if n % 3 == 0 else n % 4]]]
     rows += [(1000 + n, words(3, n), "Z") for n in range(4)] + [(2000, None, "a"), (2001, "", None), rows[0]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    sizes = mixing.sizes(docs)
+    sizes = mixing.measured(docs)
     made = mixing.copies(sizes, mixing.mix(sizes)).collect()
     held = Counter()
     for r in made:
@@ -387,9 +387,54 @@ def test_mixing(spark):
     assert all(abs(taken[s] - wanted[s]) <= max(40, 0.01 * wanted[s]) for s in held)
     again = mixing.copies(sizes, mixing.mix(sizes)).collect()
     assert Counter(map(tuple, made)) == Counter(map(tuple, again))
-    mixed = mixing.repeat(docs, mixing.mix(sizes))
+    mixed = mixing.repeat(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in made)
     for odd in (odd_documents(spark), empty_documents(spark)):
-        sizes = mixing.sizes(odd)
+        sizes = mixing.measured(odd)
         assert mixing.copies(sizes, mixing.mix(sizes)).count() == odd.count()
-        assert mixing.repeat(odd, mixing.mix(sizes)).columns == odd.columns
+        assert mixing.repeat(odd).columns == odd.columns
+
+
+def brute_multipliers(sizes, target, centre, most=3.0, soft=mixing.SOFT):
+    """The maximum of the dual by bisection in both multipliers."""
+    t, z = np.array(sizes, float), np.log1p(sizes) - centre
+    rate = lambda lam, gam: np.minimum(most, np.exp(lam + gam * z))
+
+    def half(f, low, high):
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if f(mid) > 0 else (low, mid)
+        return low
+
+    best = lambda gam: half(lambda lam: target - t @ rate(lam, gam), -60, 60)
+    gam = half(lambda g: -(t * z) @ rate(best(g), g) - soft * target * g, -20, 20)
+    return best(gam), gam
+
+
+def test_dual_is_solved(spark):
+    rng = np.random.default_rng(5)
+    held = {s: np.maximum(1, rng.lognormal(3 + k, 1, 60 + 40 * k).astype(int)).tolist() for k, s in enumerate("abcd")}
+    held["e"] = [3]
+    rows = [(n, s, "s" + s, x, 0) for s, xs in held.items() for n, x in enumerate(xs)]
+    wanted = brute_targets({s: sum(xs) for s, xs in held.items()})
+    plan = {r.key[1:]: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, key string, size long, copy long")).collect()}
+    every = np.array([x for xs in held.values() for x in xs], float)
+    centre = every @ np.log1p(every) / every.sum()
+    assert all(np.isclose(r.centre, centre) and 3 <= r.steps <= 30 for r in plan.values())
+    for s, xs in held.items():
+        if wanted[s] < 3 * sum(xs) - 1e-6:
+            assert np.allclose((plan[s].lam, plan[s].gam), brute_multipliers(xs, wanted[s], centre), atol=1e-6) and abs(plan[s].gam) > 0.01
+            rate = np.minimum(3, np.exp(plan[s].lam + plan[s].gam * (np.log1p(xs) - centre)))
+            assert abs(np.dot(xs, rate) - wanted[s]) < 1e-6 * wanted[s] and len(set(rate.round(6))) > 10
+
+
+def test_equal_rows_are_taken_apart(spark):
+    rows = [(1, words(6), "a")] * 2000 + [(2 + n, words(12, n), "b") for n in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    sizes = mixing.measured(docs)
+    made = mixing.copies(sizes, mixing.mix(sizes)).groupBy("source", "target", "size").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.countDistinct("copies").alias("kinds")).collect()
+    assert all(abs(sum(r.taken for r in made if r.source == s) - next(r.target for r in made if r.source == s)) <= 12 for s in "ab")
+    assert {r.source: r.kinds for r in made}["a"] == 2
+    again = mixing.measured(docs.repartition(3))
+    count = lambda r: Counter(map(tuple, mixing.copies(r, mixing.mix(r)).select("doc_id", "size", "copies").collect()))
+    assert count(again) == count(sizes)
