@@ -7,12 +7,14 @@ three positional bytes at once: of the 56 triples of positions, 20 chosen ones
 (three groups of positions in a ring) lie in every set of 4, so the guaranteed
 matches always meet in one posting list.  Within a list the positional bytes
 shared by each pair are tallied, pairs under the minimum of 4 dropped, and the
-rest verified on all bits.  A list yields a spanning forest of its links, not
-the links, so a group of n copies costs n edges.
+rest verified on all bits.  A list yields for each member the first one that
+its links lead to, so a group of n copies costs n edges.
 
-Lists longer than ``LIST`` fingerprints are resolved in another exact way:
-fingerprints at most 4 bits apart have a value in common within 2 bits of each,
-so those lists' members are linked through the values around them.
+A list longer than ``LIST`` fingerprints is split by a fourth byte, of each of the
+five positions left, which keeps every link; what four bytes leave longer still is
+resolved in another exact way: fingerprints at most 4 bits apart have a value
+in common within 2 bits of each, so members are linked through the values
+around them.
 
 Defined results: a null or wordless text has fingerprint zero and is linked
 like any other; equal rows and exact copies share a fingerprint; component_id
@@ -88,34 +90,39 @@ def fingerprints(docs: DataFrame, words: int = 4, id_column: str = "doc_id", tex
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def link_list(values: np.ndarray, block: int = 512) -> list[tuple[int, int]]:
-    """A spanning forest of the links in one posting list, as index pairs."""
-    n, parent = len(values), list(range(len(values)))
+def _join(roots: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """``roots`` (of each member, the least known to be joined with it) once the members ``one`` and ``two`` are joined."""
+    while True:
+        a, b = roots[one], roots[two]
+        apart = a != b
+        if not apart.any():
+            return roots
+        np.minimum.at(roots, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (up := roots[roots]).tobytes() != roots.tobytes():
+            roots = up
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    forest, octets = [], values.view(np.uint8).reshape(n, 8)
+def link_list(values: np.ndarray, block: int = 512) -> np.ndarray:
+    """For each member of a posting list, the first member that its links lead to.
+
+    Shared positional bytes are tallied for all pairs, a block of rows at a
+    time; only pairs with the minimum number are verified.
+    """
+    n, roots = len(values), np.arange(len(values))
+    octets = np.ascontiguousarray(values.view(np.uint8).reshape(n, 8).T)
     for low in range(0, n, block):
-        rows = values[low : low + block]
         for col in range(0, low + 1, block):
-            others = values[col : col + block]
-            if n <= 64:
-                tally = (octets[low : low + block, None, :] == octets[None, col : col + block, :]).sum(axis=2)
-                near = (tally >= MATCHES) & (np.bitwise_count(rows[:, None] ^ others[None, :]) <= BITS)
-            else:  # the tally costs more than the verification it saves in long lists
-                near = np.bitwise_count(rows[:, None] ^ others[None, :]) <= BITS
-            for i, j in zip(*np.nonzero(near), strict=True):
-                a, b = low + int(i), col + int(j)
-                if b < a and (x := root(a)) != (y := root(b)):
-                    parent[max(x, y)] = min(x, y)
-                    forest.append((a, b))
-            if len(forest) == n - 1:
-                return forest
-    return forest
+            mine, theirs = roots[low : low + block], roots[col : col + block]
+            if mine.min() == mine.max() == theirs.min() == theirs.max():
+                continue  # all joined already
+            tally = np.zeros((len(mine), len(theirs)), np.uint8)
+            for row in octets:
+                tally += row[low : low + block, None] == row[None, col : col + block]
+            i, j = np.nonzero(tally >= MATCHES)
+            i, j = i + low, j + col
+            near = (j < i) & (np.bitwise_count(values[i] ^ values[j]) <= BITS)
+            roots = _join(roots, i[near], j[near])
+    return roots
 
 
 def _key(triple: tuple[int, int, int], n: int):
@@ -130,48 +137,64 @@ def _around() -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) between fingerprints whose components are those of all links.
-
-    ``distinct`` holds every fingerprint once, as ``fp``.
-    """
-    common.ship_package(distinct.sparkSession)
+def _resolve(posted: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) of the posting lists of (fp, key) up to LIST members; fp and key of the longer ones' members."""
     limit = LIST
-    posted = distinct.select("fp", F.explode(F.array(*(_key(t, n) for n, t in enumerate(TRIPLES)))).alias("key"))
-    parts = posted.repartition(common.shuffle_partitions(distinct.sparkSession), "key").sortWithinPartitions("key")
+    parts = posted.repartition(common.shuffle_partitions(posted.sparkSession), "key").sortWithinPartitions("key")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Edges of the lists up to ``limit``; members of longer ones, with b null."""
-
         def flush(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            pairs = np.array(link_list(values.view(np.uint64)), int).reshape(-1, 2)
-            return values[pairs[:, 0]], values[pairs[:, 1]], np.zeros(len(pairs), bool)
+            roots = link_list(values.view(np.uint64))
+            at = np.flatnonzero(roots != np.arange(len(roots)))
+            return values[at], values[roots[at]], np.full(len(at), -1)
 
-        open_key, held, over = None, [], False
+        open_key, held, count, over = None, [], 0, False
         for batch in batches:
             fps, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = np.flatnonzero(np.diff(keys)) + 1
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
             made = []
-            for values, key in zip(np.split(fps, cuts), keys[np.concatenate([[0], cuts])].tolist() if len(keys) else [], strict=len(keys) > 0):
-                if key != open_key:
-                    if held and not over and sum(map(len, held)) > 1:
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if keys[a] != open_key:
+                    if count > 1 and not over:
                         made.append(flush(np.concatenate(held)))
-                    open_key, held, over = key, [], False
-                held.append(values)
-                if over or sum(map(len, held)) > limit:
+                    open_key, held, count, over = keys[a], [], 0, False
+                held.append(fps[a:b])
+                count += b - a
+                if over or count > limit:
                     values = np.concatenate(held)
-                    made.append((values, values, np.ones(len(values), bool)))
+                    made.append((values, values, np.full(len(values), open_key)))
                     held, over = [], True
             yield from _edges(made)
-        if held and not over and sum(map(len, held)) > 1:
+        if count > 1 and not over:
             yield from _edges([flush(np.concatenate(held))])
 
-    found = common.materialise(parts.mapInArrow(resolve, "a long, b long, long_list boolean"), "links")
-    hot = found.where("long_list").select("a").distinct()
+    found = common.materialise(parts.select("fp", "key").mapInArrow(resolve, "a long, b long, long_list long"), tag)
+    return found.where("long_list < 0").select("a", "b"), found.where("long_list >= 0").select(F.col("a").alias("fp"), F.col("long_list").alias("key"))
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """Edges (a, b) between fingerprints whose components are those of all links.
+
+    ``distinct`` holds every fingerprint once, as ``fp``.
+    """
+    common.ship_package(distinct.sparkSession)
+    posted = distinct.select("fp", F.explode(F.array(*(_key(t, n) for n, t in enumerate(TRIPLES)))).alias("key"))
+    short, rest = _resolve(posted, "links")
+    # Members of a long list have three bytes in common; those that are linked share a fourth.
+    octet = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
+    triple = F.shiftrightunsigned("key", 24)
+    outside = F.element_at(F.array(*(F.array(*(F.struct(F.lit(p).alias("at"), octet(p).alias("byte")) for p in range(8) if p not in t)) for t in TRIPLES)), (triple + 1).cast("int"))
+    fourth = rest.select("fp", "key", F.explode(outside).alias("x"))
+    fourth = fourth.select("fp", (F.shiftleft("key", 11) + F.shiftleft(F.col("x.at").cast("long"), 8) + F.col("x.byte")).alias("key"))
+    split, rest = _resolve(fourth, "fourth")
+    # What even four bytes do not part is linked through the values within 2 bits of each member.
+    hot = rest.select(F.col("fp").alias("a")).distinct()
     near = hot.select("a", F.explode(F.transform(F.lit(_around()), lambda m: F.col("a").bitwiseXOR(m))).alias("value"))
     hubs = near.groupBy("value").agg(F.min("a").alias("b"))
-    through = near.join(hubs, "value").where("a <> b").select("a", "b").distinct()
-    return found.where("not long_list").select("a", "b").distinct().union(through)
+    through = near.join(hubs, "value").where("a <> b").select("a", "b")
+    return short.union(split).union(through).distinct()
 
 
 def _edges(made: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -198,23 +221,21 @@ def _grouped(rows: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of each group of near copies, all columns: the least doc_id's, of its least fingerprint.
 
-    Of rows equal in both, any one stays; they are aggregated before they are shuffled.
+    Of rows equal in both, the first in the files stays.
     """
     common.ship_package(docs.sparkSession)
-    at = docs.columns.index(text_column)
+    at, p = docs.columns.index(text_column), common.private(*docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             made = np.array([fingerprint(x, words) for x in batch.column(at).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.view(np.int64))], [*batch.schema.names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.view(np.int64))], [*batch.schema.names, f"{p}fp"])
 
-    marked = common.materialise(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])), "marked")
-    whole = _grouped(marked.select(F.col(id_column).cast("long").alias("doc_id"), F.col("__fp").alias("fp")))
+    marked = common.numbered(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(f"{p}fp", T.LongType())])), "marked", f"{p}row")
+    name = F.col(f"`{id_column}`").cast("long")
+    whole = _grouped(marked.select(name.alias("doc_id"), F.col(f"{p}fp").alias("fp")))
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("first")
-    kept = whole.groupBy("component").agg(first).select(F.col("first.least").alias("__id"), F.col("first.fp").alias("__kept"))
-    same = (F.col("__fp") == F.col("__kept")) & F.col(id_column).cast("long").eqNullSafe(F.col("__id"))
-    found = marked.join(kept, same).drop("__id", "__kept")
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    return found.groupBy("__fp").agg(F.first(row).alias("__row")).select("__row.*")
-
-
+    kept = whole.groupBy("component").agg(first).select(F.col("first.least").alias(f"{p}least"), F.col("first.fp").alias(f"{p}kept"))
+    only = common.occurrences(marked, [id_column, f"{p}fp"], f"{p}row", f"{p}copy").where(F.col(f"{p}copy") == 0)
+    found = only.join(kept, (F.col(f"{p}fp") == F.col(f"{p}kept")) & name.eqNullSafe(F.col(f"{p}least")))
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -180,9 +181,9 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(wanted.values()))
 
 
-@pytest.mark.parametrize("limit", [16_384, 3])
-def test_all_links_by_both_ways(spark, monkeypatch, limit):
-    """Chains and balls of fingerprints; ``limit`` 3 sends nearly all lists the second way."""
+@pytest.mark.parametrize("limit", [16_384, 12, 2])
+def test_all_links_whatever_the_lists(spark, monkeypatch, limit):
+    """Chains and balls of fingerprints; short limits send lists on to a fourth byte and to the values around them."""
     rng = np.random.default_rng(4)
     values = set()
     for _ in range(6):
@@ -202,6 +203,25 @@ def test_all_links_by_both_ways(spark, monkeypatch, limit):
     assert groups(lambda v: found.get(sign[v], sign[v])) == groups(wanted.get)
 
 
+def test_members_are_led_to_the_first():
+    """All pairs share more bytes than the tally asks for; thousands of near copies take no loop over pairs."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 40, np.uint64)
+    values = np.unique(np.concatenate([base[rng.integers(0, 40, 6000)] ^ (np.uint64(1) << rng.integers(0, 24, 6000).astype(np.uint64)), base]))
+    began = time.perf_counter()
+    roots = simhash.link_list(values)
+    assert time.perf_counter() - began < 20
+    near = lambda i: np.flatnonzero(np.bitwise_count(values ^ values[i]) <= 4)
+    assert all((roots[near(i)] == roots[i]).all() for i in range(len(values))) and (roots <= np.arange(len(values))).all()
+    assert len(set(roots.tolist())) == 40
+
+
+def test_kept_rows_with_clashing_names(spark):
+    docs = odd_documents(spark).withColumnsRenamed({"key": "__fp", "fp": "__id", "slot": "__row", "size": "__copy"})
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == simhash.keep_one(odd_documents(spark)).count()
+
+
 def brute_pii(text):
     out = [(m.start(), 0, "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
