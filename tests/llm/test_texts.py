@@ -1,6 +1,8 @@
 """Operators that read texts, against brute force on small tables."""
 
 import hashlib
+import math
+import random
 import re
 import time
 import zlib
@@ -296,6 +298,77 @@ def test_secrets(spark):
     assert len(secrets.digest(secrets.scan(odd_documents(spark))).collect()) == 16
 
 
+def brute_battery(token, alphabet, classes):
+    """The four p-values, with the error function and a chi-squared tail of the standard library's making."""
+    shown = token.lower() if len(alphabet) == 16 else token.replace("-", "+").replace("_", "/") if len(alphabet) == 64 else token
+    n, k = len(shown), len(alphabet)
+    values = [alphabet.index(c) for c in shown]
+    two = lambda z: math.erfc(abs(z) / 2**0.5)
+
+    def chi(value, freedom):
+        if freedom < 1:
+            return 1.0
+        spread = 2 / (9 * freedom)
+        z = ((value / freedom) ** (1 / 3) - (1 - spread)) / spread**0.5
+        return math.erfc(z / 2**0.5) / 2
+
+    uniform = chi(sum((shown.count(c) - n / k) ** 2 / (n / k) for c in alphabet), k - 1)
+    held = [sum(c.isdigit() for c in shown), sum(c.islower() for c in shown), sum(c.isupper() for c in shown), sum(c in "+/" for c in shown)]
+    parts = [(h - n * c / k) ** 2 / (n * c / k) for h, c in zip(held, classes, strict=True) if c]
+    high = [v >= k / 2 for v in values]
+    turns, ones = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False)), sum(high)
+    both = 2 * ones * (n - ones)
+    var = both * (both - n) / (n * n * (n - 1))
+    runs = two((turns - both / n - 1) / var**0.5) if var > 0 else 0.0
+    middle = (k - 1) / 2
+    serial = two(sum((a - middle) * (b - middle) for a, b in zip(values, values[1:], strict=False)) / ((k * k - 1) / 12 * (n - 1) ** 0.5))
+    return min(uniform, chi(sum(parts), len(parts) - 1), runs, serial)
+
+
+def test_battery(spark):
+    rng = random.Random(4)
+    tokens = [(e, "".join(rng.choice(a[: rng.choice([4, len(a)])]) for _ in range(rng.choice([20, 27, 40, 90])))) for e, (_, a, _) in enumerate(secrets.ENCODINGS) for _ in range(60)]
+    frame = spark.createDataFrame(tokens, "encoding int, text string")
+    for e, (_, alphabet, classes) in enumerate(secrets.ENCODINGS):
+        made = frame.where(F.col("encoding") == e).select("text", secrets.p_value(F.col("text"), F.col("encoding")).alias("p")).collect()
+        assert len(made) == 60 and all(abs(r.p - brute_battery(r.text, alphabet, classes)) < 1e-6 for r in made)
+
+
+def test_random_tokens_have_uniform_p_values(spark):
+    """Other random tokens than the simulated ones, short and long, of all encodings."""
+    rng = random.Random(11)
+    tokens = [(e, "".join(rng.choice(a) for _ in range(length))) for e, (_, a, _) in enumerate(secrets.ENCODINGS) for length in (20, 24, 30, 50) for _ in range(500)]
+    tokens = [(e, t) for e, t in tokens if re.search("[0-9]", t) and re.search("[A-Za-z]", t)]
+    p = np.array([r.p for r in secrets.tested(spark.createDataFrame(tokens, "encoding int, text string")).join(secrets.calibration(spark), ["encoding", "grid", "bin"]).collect()])
+    # The share at or below an attained value is that value; between, it is less by a step at most.
+    assert len(p) == len(tokens) and all(-0.08 < (p <= x).mean() - x < 0.03 for x in (0.02, 0.1, 0.3, 0.5, 0.7, 0.9))
+
+
+def test_share_of_structured_tokens_is_bounded(spark):
+    """Half random, half structured enough to pass the first procedure at times."""
+    rng = np.random.default_rng(1)
+    p = np.concatenate([rng.random(4000), rng.beta(0.5, 6, 4000)]).round(3)
+    good = np.arange(8000) < 4000
+    each = spark.createDataFrame([(0, float(x)) for x in p], "class int, p double").groupBy("class", "p").agg(F.count("*").alias("n"))
+    limit = secrets.thresholds(each).first().limit
+    above = p > limit
+    assert (~good & above).sum() <= 0.08 * above.sum() and (good & above).sum() > 1500
+    alone = spark.createDataFrame([(0, float(x), 1) for x in np.linspace(0.003, 1, 300).round(3)], "class int, p double, n long")
+    assert secrets.thresholds(alone).first().limit < 0.02  # nothing but random ones: next to none goes
+
+
+def test_many_matches_in_one_text(spark):
+    token = "Zx9Qm2Lr8Tb4Wn6Kp1Vd3Hs7Gy5Jc0Fa"
+    text = " ".join(f"token=abcdef{n} {token}" for n in range(20_000)) + secrets.COVER + token + " " + "0" * 30 + token
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    made = secrets.digest(secrets.scan(docs)).first()
+    assert time.perf_counter() - began < 60 and made.n_assign == 20_000
+    base = [(m.start(), f"assign:{m.start()}:{m.end()}") for m in ASSIGN.finditer(text)] + [(text.index("0" * 30), f"hex:{text.index('0' * 30)}:{text.index('0' * 30) + 30}")]
+    assert made.base_sha256 == hashlib.sha256(",".join(x for _, x in sorted(base)).encode()).hexdigest()
+    assert made.spans.count("random:") == 20_001
+
+
 def test_language(spark):
     alphabets = {"aa": "abcdehilm", "bb": "nopqrstuvwäö", "cc": "éèxyzkjgf"}
     rows = [(n * 3 + k, words(30 + n % 40, n * 3 + k, letters), lang) for n in range(80) for k, (lang, letters) in enumerate(alphabets.items())]
