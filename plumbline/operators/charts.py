@@ -6,6 +6,7 @@ rows into a plain description of a figure.
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 from itertools import combinations
 
@@ -90,14 +91,18 @@ def ordered(df: DataFrame, x: str, sort_by: str | None = None, descending: bool
 # ---- figures --------------------------------------------------------------------------------
 
 
+#: Titles, the figure's settings, and its margins and legend beside or above the plot.
+TITLES = {"bar": "{y} by {x}{stacked}", "line": "{y} over {x}", "lines": "Comparison of {y} over {x}", "scatter": "{y} vs {x}", "heatmap": "Heatmap of {x}{and_y}"}
+CONFIG = {"displayModeBar": True, "responsive": True, "scrollZoom": True, "displaylogo": False, "modeBarButtonsToRemove": ["lasso2d", "select2d"]}
+BESIDE = {"margin": {"b": 100, "t": 60, "l": 60, "r": 200}, "legend": {"orientation": "v", "yanchor": "middle", "y": 0.5, "xanchor": "left", "x": 1.02}}
+ABOVE = {"margin": {"b": 100, "t": 120, "l": 60, "r": 60}, "legend": {"orientation": "h", "yanchor": "bottom", "y": 1.0, "xanchor": "center", "x": 0.5}}
+LONG_LABEL, MANY_LABELS, TILT = 10, 8, 45
+
+
 def default_title(kind: str, x: str, y: str | list[str] | None, color: str | None, style: str) -> str:
-    if kind == "bar":
-        return f"{y if isinstance(y, str) else 'Count'} by {x}" + (f" (stacked by {color})" if style == "stacked" and color else "")
-    if kind == "line":
-        return f"Comparison of {', '.join(y)} over {x}" if isinstance(y, list) else f"{y} over {x}"
-    if kind == "scatter":
-        return f"{y} vs {x}"
-    return f"Heatmap of {x}" + (f" and {y}" if y else "")
+    several = isinstance(y, list)
+    words = {"x": x, "y": ", ".join(y) if several else y or "Count", "stacked": f" (stacked by {color})" if color and style == "stacked" else "", "and_y": f" and {y}" if y else ""}
+    return TITLES["lines" if several and kind == "line" else kind].format(**words)
 
 
 def check(df: DataFrame, kind: str, x: str, y: str | list[str] | None) -> str | None:
@@ -125,14 +130,22 @@ def figure(df: DataFrame, kind: str, x: str, y: str | list[str] | None = None, c
     except ValueError as e:
         return {"error": str(e)}
     title = title or default_title(kind, x, y, color, style)
-    layout = {"title": {"text": title}, "width": width, "height": height, "xaxis": {"title": measure_label(x), "categoryarray": labels}, "barmode": "stack" if style == "stacked" else "group", "showlegend": len(traces) > 1}
-    if len(labels) > 8 or any(len(str(v)) > 10 for v in labels):
-        layout["xaxis"]["tickangle"] = -45
+    several = kind == "line" and isinstance(y, list)
+    layout = {"title": {"text": title}, "width": width, "height": height, "xaxis": {"title": measure_label(x)}, "barmode": "stack" if style == "stacked" else "group", "showlegend": bool(color) or several}
+    layout |= {"font": {"size": 12}, "plot_bgcolor": "white", "paper_bgcolor": "white"} | (ABOVE if several else BESIDE)
+    if kind != "heatmap":
+        layout["xaxis"]["categoryarray"] = labels
+        if len(labels) > MANY_LABELS or any(len(v) > LONG_LABEL for v in labels):
+            layout["xaxis"]["tickangle"] = TILT
     if any(t.get("yaxis") == "y2" for t in traces):
         layout["yaxis2"] = {"overlaying": "y", "side": "right"}
-    safe = "".join(c for c in title.replace(" ", "_") if c.isalnum() or c in "_-")
-    name = f"{kind}_{safe}_{datetime.now():%Y%m%d_%H%M%S}"
-    return {"traces": traces, "layout": layout, "config": {"responsive": True, "displaylogo": False}, "metadata": {"chart_id": name, "chart_type": kind, "data_points": sum(len(t.get("x", [])) for t in traces)}}
+    name = f"{kind}_{re.sub(r'[^\w-]', '', title.replace(' ', '_'))}_{datetime.now():%Y%m%d_%H%M%S}"
+    return {
+        "traces": traces,
+        "layout": layout,
+        "config": CONFIG | {"toImageButtonOptions": {"format": "png", "filename": name, "scale": 2}},
+        "metadata": {"chart_id": name, "chart_type": kind, "data_points": sum(len(t.get("x", [])) for t in traces), "library": "plotly"},
+    }
 
 
 def _rows(df: DataFrame, cap: int) -> list:
@@ -178,12 +191,16 @@ def _scatter(df, x, y, color, sort_by, sort_order, cap):
 
 
 def _heatmap(df, x, y, color, sort_by, sort_order, cap):
+    """Counts with x downwards, ascending unless asked otherwise, and y across, descending; correlations in the columns' order unless asked."""
+    upwards = sort_order == "descending"
     if y:
         cells = {(r[x], r[y]): r["n"] for r in _rows(cross_tab(df, x, y), cap)}
+        down = sorted({k[0] for k in cells}, reverse=upwards and sort_by in (None, x))
+        across = sorted({k[1] for k in cells}, reverse=True)
     else:
         cells = {(r.col_a, r.col_b): r.r for r in _rows(correlations(df), cap)}
-    across, down = (sorted({k[n] for k in cells}, key=str) for n in (0, 1))
-    return [{"type": "heatmap", "x": list(map(_plain, across)), "y": list(map(_plain, down)), "z": [[cells.get((a, d), 0) for a in across] for d in down]}], list(map(str, across))
+        down = across = sorted(numeric_columns(df), reverse=upwards) if sort_order else numeric_columns(df)
+    return [{"type": "heatmap", "x": list(map(_plain, across)), "y": list(map(_plain, down)), "z": [[cells.get((d, a), 0) for a in across] for d in down]}], list(map(str, across))
 
 
 def _traces(rows, kind, x, measures, color):

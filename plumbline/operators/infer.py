@@ -33,13 +33,14 @@ class InferredLink:
     confidence: str
 
 
-def link_confidence(column: str, column_type: str, target_name: str, target_column: str, target_type: str | None) -> str:
+def link_confidence(column: str, column_type: str, word: str, target_name: str, target_type: str | None) -> str:
+    """How sure a link is: types that agree, the word found in the column against the table's name, and the column's ending."""
     score = 0
     if target_type is not None:
         a, b = column_type.lower(), target_type.lower()
         score += 2 * (a == b or ("int" in a and "int" in b))
-    lower = target_name.lower()
-    score += 2 if column.lower() == target_column.lower() else 1 if any(f"{w}s" == lower for w in (column.lower(), re.sub("_?(id|sk|fk|key)$", "", column.lower()))) else 0
+    word, name = word.lower(), target_name.lower()
+    score += 2 if word == name else 1 if f"{word}s" == name else 0
     score += column.lower().endswith("id")
     return "high" if score >= 4 else "medium" if score >= 2 else "low"
 
@@ -61,26 +62,26 @@ def implicit_links(tables: list[TableMeta], key_suffix: bool = False) -> list[In
                 continue
             hit = _embedded(c.name.lower(), t.name, variants, tails) or _formed(c.name.lower(), t.name, names)
             if hit:
-                target, pattern = hit
+                target, pattern, word = hit
                 meta = by[target]
                 key = meta.primary_keys[0] if meta.primary_keys else "id"
                 kind = meta.column(key).data_type if meta.primary_keys and meta.column(key) else None
-                out.append(InferredLink(t.name, c.name, target, key, pattern, link_confidence(c.name, c.data_type, target, key, kind)))
+                out.append(InferredLink(t.name, c.name, target, key, pattern, link_confidence(c.name, c.data_type, word, target, kind)))
     return out
 
 
-def _embedded(column: str, own: str, variants: dict[str, str], tails: tuple[str, ...]) -> tuple[str, str] | None:
+def _embedded(column: str, own: str, variants: dict[str, str], tails: tuple[str, ...]) -> tuple[str, str, str] | None:
     for word, table in variants.items():
         if len(word) >= 4 and table != own and word in column and column.split(word, 1)[1] in tails:
-            return table, "embedded_table_name"
+            return table, "embedded_table_name", word
     return None
 
 
-def _formed(column: str, own: str, names: list[str]) -> tuple[str, str] | None:
+def _formed(column: str, own: str, names: list[str]) -> tuple[str, str, str] | None:
     for pattern, form in FORMS:
         m = re.match(form, column)
         if m and len(m[1]) >= 3 and (table := find_table(m[1], names)) and table != own:
-            return table, pattern
+            return table, pattern, m[1]
     return None
 
 

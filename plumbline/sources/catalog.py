@@ -64,7 +64,7 @@ class Catalog:
         self._pk: dict[str, list[str]] = {}
         self._fk: dict[str, list[ForeignKey]] = {}
         self._fixed: dict[str, TableMeta] = {}
-        self._kept: dict[str, tuple[float, TableMeta]] = {}
+        self._kept: dict[tuple[str, str], tuple[float, TableMeta]] = {}
         self._lock = threading.Lock()
 
     # -- declared keys
@@ -112,23 +112,25 @@ class Catalog:
         key = name.lower()
         if key in self._fixed:
             return self._fixed[key]
+        place = ((schema or "").lower(), key)
         with self._lock:
-            kept = self._kept.get(key)
+            kept = self._kept.get(place)
         if kept and time.monotonic() - kept[0] < self.ttl and not (count and kept[1].row_count is None):
             return kept[1]
         full = f"{schema}.{name}" if schema and not self._is_view(name) else name
         if not self.spark.catalog.tableExists(full):
             return None
         frame = self.spark.table(full)
-        pk = [c.lower() for c in self._pk.get(key, [])]
-        fk = {k.column.lower(): k for k in self._fk.get(key, [])}
+        named = f"{schema}.{name}".lower()  # keys declared for one schema's table come before those of any
+        pk = [c.lower() for c in self._pk.get(named, self._pk.get(key, []))]
+        fk = {k.column.lower(): k for k in self._fk.get(named, self._fk.get(key, []))}
         columns = []
         for f in frame.schema.fields:
             link = fk.get(f.name.lower())
             columns.append(ColumnMeta(f.name, f.dataType.simpleString(), f.nullable and f.name.lower() not in pk, f.name.lower() in pk, link is not None, link and link.referenced_table, link and link.referenced_column, f.metadata.get("comment")))
         meta = TableMeta(name, schema or "default", columns, [c.name for c in columns if c.is_primary_key], list(fk.values()), row_count=frame.count() if count else None)
         with self._lock:
-            self._kept[key] = (time.monotonic(), meta)
+            self._kept[place] = (time.monotonic(), meta)
         return meta
 
     def _is_view(self, name: str) -> bool:

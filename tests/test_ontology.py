@@ -15,7 +15,19 @@ def test_implicit_links():
     ]
     (link,) = infer.implicit_links(tables)
     assert (link.table, link.column, link.target, link.target_column) == ("suppliers", "suppliercountryid", "countries", "countryid")
-    assert link.confidence in ("high", "medium")
+    assert link.confidence == "medium"  # the types agree and the column ends in id; the table is called otherwise
+
+
+def test_confidence_of_links():
+    """The word found in the column counts against the table's name, not the column against the key."""
+    key = lambda name, kind="INTEGER": TableMeta(name, columns=[C("id", kind, is_primary_key=True)], primary_keys=["id"])
+    level = lambda column, kind, target: infer.implicit_links([key("orders"), target, TableMeta("facts", columns=[C(column, kind)])])[0].confidence
+    assert level("user_id", "INTEGER", key("user")) == "high"  # 2 + 2 + 1
+    assert level("user_id", "BIGINT", key("users")) == "high"  # 2 + 1 + 1
+    assert level("fk_user", "INTEGER", key("users")) == "medium"  # 2 + 1
+    assert level("user_id", "VARCHAR(9)", key("user", "UUID")) == "medium"  # 2 + 1
+    assert level("user_id", "VARCHAR(9)", TableMeta("users", columns=[C("a", "INTEGER")])) == "medium"  # 1 + 1
+    assert level("user_sk", "VARCHAR(9)", TableMeta("users", columns=[C("a", "INTEGER")])) == "low"  # 1
 
 
 def test_surrogate_keys():

@@ -5,6 +5,7 @@ import pytest
 from plumbline.operators import charts
 from plumbline.session import Session, clamp_limit, clamp_sample
 from plumbline.sources import connections
+from plumbline.sources.catalog import Catalog
 
 
 @pytest.fixture
@@ -84,7 +85,7 @@ def test_charts(session):
     assert made["traces"][0]["x"] == ["Jan", "Feb", "Mar"]
     assert session.generate_chart(ROWS, "bar", "month", "v")["metadata"]["chart_type"] == "line"
     made = session.generate_chart(ROWS, "heatmap", "month", "kind")
-    assert made["traces"][0]["z"] == [[1, 1, 1], [1, 1, 1]]
+    assert made["traces"][0]["z"] == [[1, 1], [1, 1], [1, 1]]  # x_column downwards
     assert session.generate_chart([{"a": 1, "b": 2}, {"a": 2, "b": 4}], "heatmap", "a")["traces"][0]["z"] == [[1.0, 1.0], [1.0, 1.0]]
     made = session.generate_chart([{"t": "2024-02-01", "x": 1, "x_pct": 5}, {"t": "2024-01-01", "x": 2, "x_pct": 6}], "line", "t", ["x", "x_pct"])
     assert made["traces"][0]["x"] == ["2024-01-01", "2024-02-01"] and made["traces"][1]["yaxis"] == "y2"
@@ -93,6 +94,37 @@ def test_charts(session):
     assert "error" in session.generate_chart([], "bar", "a", "b") and "error" in session.generate_chart("{bad", "bar", "a", "b")
 
 
+def test_heatmap_axes(session):
+    rows = [{"a": n, "b": k} for n in (10, 9, 2) for k in ("p", "q", "r")[: n % 4 + 1]]
+    made = session.generate_chart(rows, "heatmap", "a", "b")["traces"][0]
+    assert made["y"] == [2, 9, 10] and made["x"] == ["r", "q", "p"] and made["z"] == [[1, 1, 1], [0, 1, 1], [1, 1, 1]]
+    made = session.generate_chart(rows, "heatmap", "a", "b", sort_order="descending")["traces"][0]
+    assert made["y"] == [10, 9, 2] and made["x"] == ["r", "q", "p"]
+    numbers = [{"z": 1, "a": 2.0, "m": 3}, {"z": 2, "a": 1.0, "m": 5}]
+    assert session.generate_chart(numbers, "heatmap", "z")["traces"][0]["x"] == ["z", "a", "m"]
+    assert session.generate_chart(numbers, "heatmap", "z", sort_order="descending")["traces"][0]["y"] == ["z", "m", "a"]
+
+
+def test_layout(session):
+    made = session.generate_chart(ROWS, "line", "month", ["v"])
+    assert made["layout"]["showlegend"] and made["layout"]["legend"]["orientation"] == "h" and made["layout"]["margin"]["t"] == 120
+    made = session.generate_chart([{"k": f"label number {n}", "v": n} for n in range(3)], "bar", "k", "v")
+    assert not made["layout"]["showlegend"] and made["layout"]["legend"]["x"] == 1.02 and made["layout"]["xaxis"]["tickangle"] == 45
+    assert made["config"]["toImageButtonOptions"]["filename"] == made["metadata"]["chart_id"] and made["metadata"]["library"] == "plotly"
+
+
+def test_schemas_do_not_share_metadata(spark):
+    for schema, column in (("one_shop", "a"), ("two_shop", "b")):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
+        spark.sql(f"DROP TABLE IF EXISTS {schema}.things")
+        spark.sql(f"CREATE TABLE {schema}.things ({column} INT) USING parquet")
+    held = Catalog(spark).declare_pk("one_shop.things", "a")
+    assert [c.name for c in held.table("things", "one_shop").columns] == ["a"] and [c.name for c in held.table("things", "two_shop").columns] == ["b"]
+    assert held.table("things", "one_shop").primary_keys == ["a"] and held.table("things", "two_shop").primary_keys == []
+    for schema in ("one_shop", "two_shop"):
+        spark.sql(f"DROP DATABASE {schema} CASCADE")
+
+
 def test_heatmap_counts_every_value(spark):
     df = spark.range(charts.CAP + 1).selectExpr("id AS a", "'one' AS b")
     made = charts.cross_tab(df, "a", "b")
