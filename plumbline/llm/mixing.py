@@ -41,7 +41,7 @@ MOST = 3.0
 CLASSES = (2048, 512, 128, 32, 0)
 SOFT = 0.5
 STEPS, PRECISION = 100, 1e-10
-#: Steps of a hash in which the edge between taken and not is sought, and parts of each step.
+#: Bins of a hash in which the edge between taken and not is sought, and parts of the bin at which the last class stops.
 BINS = 1024
 
 
@@ -146,59 +146,60 @@ def balance(histogram: DataFrame, wanted: DataFrame, most: float = MOST, soft: f
 
 
 def _parts(most: float) -> dict[str, Column]:
-    """whole and fraction of a row's rate, its class, and the order in which fractions are given."""
+    """whole and fraction of a row's rate, its class, and the place (bin and part of it) in the order in which fractions are given."""
     rate = _rate(most)
     near = F.when(F.abs(rate - F.round(rate)) < 1e-6, F.round(rate)).otherwise(rate)
     unit = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "key", "size", "copy"), 11) / F.lit(float(1 << 53))
     level = F.lit(len(CLASSES) - 1)
     for n in range(len(CLASSES) - 2, -1, -1):
         level = F.when(F.col("size") >= CLASSES[n], F.lit(n)).otherwise(level)
-    return {"whole": F.floor(near), "fraction": near - F.floor(near), "class": level, "unit": unit}
+    order = F.try_divide(unit, near - F.floor(near)) * BINS
+    bin_ = F.least(F.floor(order), F.lit(2 * BINS - 1))
+    return {"whole": F.floor(near), "fraction": near - F.floor(near), "class": level, "bin": bin_, "part": F.least(F.floor((order - bin_) * BINS), F.lit(BINS - 1))}
 
 
-def _edge(bins: DataFrame, due: DataFrame) -> DataFrame:
-    """key, the bin in which ``due`` is passed, and what the bins of (key, bin, held) before it hold with ``below``."""
-    upto = F.sum("held").over(Window.partitionBy("key").orderBy("bin"))
-    found = bins.withColumn("upto", upto).join(due, "key").where(F.col("below") + F.col("upto") > F.col("due"))
-    return found.groupBy("key", "due").agg(F.min("bin").alias("edge"), (F.min_by("below", "bin") + F.min("upto") - F.min_by("held", "bin")).alias("below"))
+def _taken(cells: Column, left: Column) -> Column:
+    """Of (place, held) in order, the place up to which all fit: a cell is taken if more than half of it is still due."""
+    step = lambda s, x: F.when(s["open"] & (x["held"] / 2 <= s["left"]), F.struct(F.lit(True).alias("open"), (s["left"] - x["held"]).alias("left"), (x["place"] + 1).alias("edge"))).otherwise(F.struct(F.lit(False).alias("open"), s["left"].alias("left"), s["edge"].alias("edge")))
+    return F.aggregate(cells, F.struct(F.lit(True).alias("open"), left.cast("double").alias("left"), F.lit(0).cast("long").alias("edge")), step)
 
 
 def thresholds(rows: DataFrame, state: DataFrame, most: float = MOST) -> DataFrame:
-    """``state`` with ``cuts``: for each class of sizes, the order up to which a copy more is given.
+    """``state`` with ``edges`` (of each class of sizes, the bin up to which a copy more is given), and ``last``, ``stop`` and ``upto``: the source's last class, the bin at which it stops, and the part of that bin up to which it goes on.
 
-    The edge is found in counts of BINS steps (2 BINS a source and class at
-    most), then of BINS parts of one step; only the rows of one part are put in order.
+    A source's bins are 2 BINS a class at most and the parts of one bin are
+    BINS, whatever the corpus; they are walked in one pass.
     """
-    marked = rows.join(state, "key").withColumns(_parts(most)).where("size > 0 and fraction > 0").withColumn("order", F.col("unit") / F.col("fraction"))
-    marked = marked.withColumn("bin", F.least(F.floor(F.col("order") * BINS), F.lit(2 * BINS - 1)))
+    marked = rows.join(state, "key").withColumns(_parts(most)).where("size > 0 and fraction > 0")
     # Dues are summed as whole numbers, so that no order of adding them matters.
-    marked = common.materialise(marked.select("key", "class", "bin", "order", "size", F.round(F.col("size") * F.col("fraction") * 1024).cast("long").alias("due")), "fractions")
-    bins = common.materialise(marked.groupBy("key", "class", "bin").agg(F.sum("size").alias("held"), F.sum("due").alias("due")), "bins")
-    carry = state.select("key", F.lit(0.0).alias("carry"), F.array().cast("array<double>").alias("cuts"))
-    for n in range(len(CLASSES)):
-        own = bins.where(F.col("class") == n)
-        due = own.groupBy("key").agg((F.sum("due") / 1024).alias("due"), F.sum("held").alias("all"))
-        carry = carry.join(due, "key", "left").withColumn("due", F.coalesce("due", F.lit(0.0)) + F.col("carry"))
-        edge = _edge(own.select("key", "bin", "held"), carry.select("key", "due", F.lit(0).cast("long").alias("below")))
-        inside = marked.where(F.col("class") == n).join(edge, "key").where(F.col("bin") == F.col("edge"))
-        inside = inside.select("key", "order", "size", F.least(F.lit(BINS - 1), F.floor((F.col("order") * BINS - F.col("bin")) * BINS)).alias("bin"))
-        parts = inside.groupBy("key", "bin").agg(F.sum("size").alias("held"))
-        part = _edge(parts, edge.select("key", "due", "below"))
-        run = F.sum("size").over(Window.partitionBy("key").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, 0))
-        rest = inside.join(part, "key").where(F.col("bin") == F.col("edge")).withColumn("run", run).where(F.col("below") + F.col("run") - F.col("size") / 2 <= F.col("due"))
-        rest = rest.groupBy("key").agg(F.max("order").alias("last"), F.sum("size").alias("more"))
-        found = carry.join(edge.select("key", "edge"), "key", "left").join(part.select("key", "below", F.col("edge").alias("part")), "key", "left").join(rest, "key", "left")
-        given = F.when(F.col("edge").isNull(), F.coalesce("all", F.lit(0))).otherwise(F.col("below") + F.coalesce("more", F.lit(0)))
-        cut = F.when(F.col("edge").isNull(), F.lit(float("inf"))).otherwise(F.coalesce("last", (F.col("edge") + F.col("part") / BINS) / BINS - 1e-15))
-        carry = common.materialise(found.select("key", (F.col("due") - given).alias("carry"), F.concat("cuts", F.array(cut)).alias("cuts")), "cuts")
-    return state.join(carry.select("key", "cuts"), "key")
+    marked = marked.select("key", "class", F.col("bin").cast("long"), F.col("part").cast("long"), "size", F.round(F.col("size") * F.col("fraction") * 1024).cast("long").alias("due"))
+    marked = common.materialise(marked, "fractions")
+    bins = marked.groupBy("key", "class", "bin").agg(F.sum("size").alias("held"), F.sum("due").alias("due"))
+    sources = bins.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("class", F.col("bin").alias("place"), "held", "due"))).alias("cells"))
+    names = range(len(CLASSES))
+    own = lambda n: F.filter("cells", lambda x: x["class"] == n)
+    sources = sources.withColumns({f"cells{n}": own(n) for n in names}).withColumn("left", F.lit(0.0))
+    for n in names:  # one class makes up for what the one before left over
+        due = F.aggregate(f"cells{n}", F.lit(0).cast("long"), lambda a, x: a + x["due"]) / 1024
+        sources = sources.withColumn(f"walk{n}", _taken(F.col(f"cells{n}"), F.col("left") + due)).withColumn("left", F.col(f"walk{n}.left"))
+    last = F.element_at("cells", -1)["class"]
+    of = lambda name: F.element_at(F.array(*(F.col(f"{name}{n}") for n in names)), (last + 1).cast("int"))
+    stop = F.get(F.filter(F.transform(of("cells"), lambda x: x["place"]), lambda x: x >= of("walk")["edge"]), F.lit(0))
+    sources = sources.select("key", F.array(*(F.col(f"walk{n}.edge") for n in names)).alias("edges"), last.alias("last"), F.when(of("walk")["open"], F.lit(None)).otherwise(stop).alias("stop"), "left")
+    sources = common.materialise(sources, "edges")
+    inside = marked.join(sources, "key").where((F.col("class") == F.col("last")) & (F.col("bin") == F.col("stop")))
+    parts = inside.groupBy("key", "left", "part").agg(F.sum("size").alias("held"))
+    parts = parts.groupBy("key", "left").agg(F.sort_array(F.collect_list(F.struct(F.col("part").alias("place"), "held"))).alias("cells"))
+    parts = parts.select("key", _taken(F.col("cells"), F.col("left"))["edge"].alias("upto"))
+    return state.join(sources.drop("left"), "key", "left").join(parts, "key", "left")
 
 
 def copies(rows: DataFrame, plan: DataFrame, most: float = MOST) -> DataFrame:
     """``rows`` (doc_id, key, size, copy and any others) with ``copies``; no shuffle of rows while the plan is small."""
     joined = rows.join(plan, "key").withColumns(_parts(most))
-    more = (F.col("size") > 0) & (F.col("fraction") > 0) & (F.col("unit") / F.col("fraction") <= F.element_at("cuts", (F.col("class") + 1).cast("int")))
-    taken = F.when(F.col("size") > 0, F.col("whole") + more.cast("int")).otherwise(0)
+    on = (F.col("class") == F.col("last")) & (F.col("bin") == F.col("stop")) & (F.col("part") < F.col("upto"))
+    more = (F.col("size") > 0) & (F.col("fraction") > 0) & ((F.col("bin") < F.element_at("edges", F.col("class") + 1)) | on)
+    taken = F.when(F.col("size") > 0, F.col("whole") + F.coalesce(more, F.lit(False)).cast("int")).otherwise(0)
     return joined.select(*rows.columns, "source_size", "target", taken.cast("long").alias("copies"))
 
 
