@@ -34,6 +34,7 @@ from .tokenize import encoder
 
 MAGIC = b"PDAC1"
 BLOCK = 64  # bytes of bitmap for each entry of a rank directory
+STEP = 1 << 20  # ids between the marks by which a place finds its segment
 
 SEGMENTS = "part int, local_start long, n_ids long, doc_ids array<long>, doc_starts array<long>, doc_lengths array<long>, blob binary"
 
@@ -163,7 +164,7 @@ def write(
     keyed = keyed.withColumn("tie", F.xxhash64("text"))
     ordered = keyed.repartitionByRange(common.shuffle_partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     with common.small_batches(spark):
-        ordered.mapInArrow(encode_part, SEGMENTS).write.parquet(path)
+        ordered.mapInArrow(encode_part, SEGMENTS).write.option("compression", "uncompressed").parquet(path)
 
 
 def _arrow_schema() -> pa.Schema:
@@ -186,6 +187,27 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return segments.join(F.broadcast(offsets), "part").withColumn("start", F.col("before") + F.col("local_start")).drop("before")
 
 
+def lookup(segments: DataFrame, places: DataFrame) -> DataFrame:
+    """place and id of each token at the ``place`` (counted over the whole file) of ``places``; places beyond the end have no row.
+
+    Only segments that hold a place are read, and of a segment only the chunks on the way to its ids.
+    """
+    common.ship_package(segments.sparkSession)
+    held = segments.select("start", "n_ids").withColumn("step", F.explode(F.sequence(F.floor(F.col("start") / STEP), F.floor((F.col("start") + F.col("n_ids") - 1) / STEP))))
+    asked = places.select(F.col("place").cast("long").alias("place")).withColumn("step", F.floor(F.col("place") / STEP))
+    found = asked.join(held, (asked.step == held.step) & (F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("n_ids")))
+    wanted = found.groupBy("start").agg(F.collect_set("place").alias("places"))
+
+    def read_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, 1):
+            for row in batch.to_pylist():
+                reader = Reader(row["blob"])
+                ids = [reader[place - row["start"]] for place in row["places"]]
+                yield pa.RecordBatch.from_arrays([pa.array(row["places"], pa.int64()), pa.array(ids, pa.int64())], ["place", "id"])
+
+    return segments.select("start", "blob").join(wanted, "start").select("start", "places", "blob").mapInArrow(read_some, "place long, id long")
+
+
 def digest(segments: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the blobs."""
 

@@ -35,10 +35,8 @@ from .tokenize import encoder
 #: Pieces that a pattern may hold (see ``most_pieces``); bounds every search and what is sent to the executors.
 PATTERN_PIECES = 32_768
 RATIO = 8
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 2, 5, 5
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 4, 40, 8
 WELL_FILLED = 0.99
-#: Pieces of a length ranked in one task.
-RANK_ROWS = 100_000
 
 Bin = tuple[int, ...]
 
@@ -113,8 +111,30 @@ def mutate(bins: list[Bin], capacity: int, rng: random.Random) -> list[Bin]:
     return best_fit(sorted((x for y in loose for x in y), reverse=True), capacity, rest)
 
 
+def least_bins(total: Counter, capacity: int) -> int:
+    """A number of bins that no packing goes below (Martello and Toth's second bound).
+
+    For each length up to half the capacity: pieces that leave no room for it
+    need a bin each, those over half too, and what pieces between it and half
+    the capacity do not find room for beside the latter fills further bins.
+    """
+    lengths = np.array(sorted(total))
+    if not len(lengths):
+        return 0
+    counts = np.array([total[x] for x in lengths.tolist()])
+    upto = lambda x: np.searchsorted(lengths, x, side="right")
+    number, mass = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * lengths)])
+    half, best = upto(capacity // 2), -(-int(mass[-1]) // capacity)
+    for at in range(half):
+        wide = upto(capacity - int(lengths[at]))
+        beside = number[wide] - number[half]
+        room = beside * capacity - (mass[wide] - mass[half])
+        best = max(best, int(number[-1] - number[half] + max(0, -(-(mass[half] - mass[at] - room) // capacity))))
+    return max(best, int(number[-1] - number[half]))
+
+
 def evolve(total: Counter, capacity: int, seeds: list[list[Bin]], rng: random.Random) -> list[Bin]:
-    least = -(-sum(x * n for x, n in total.items()) // capacity)
+    least = least_bins(total, capacity)
     pieces = sorted(total.elements(), reverse=True)
     population = [*seeds, best_fit(pieces, capacity)]
     best = max(population, key=lambda x: fitness(x, capacity))
@@ -144,13 +164,16 @@ def _unpack(raw: bytes) -> list[Bin]:
 
 
 def islands(spark: SparkSession, total: Counter, capacity: int, seed: int) -> list[Bin]:
-    """The best packing that a ring of islands finds for one bounded pattern."""
-    least = -(-sum(x * n for x, n in total.items()) // capacity)
+    """The best packing that a ring of islands finds for one bounded pattern.
+
+    The search ends where no packing can be better, or after EPOCHS, or two epochs in a row without a better one.
+    """
+    least = least_bins(total, capacity)
     first = best_fit(sorted(total.elements(), reverse=True), capacity)
     if len(first) <= least:
         return first
     common.ship_package(spark)
-    elites = [_pack(first)] * ISLANDS
+    elites, best, idle = [_pack(first)] * ISLANDS, fitness(first, capacity), 0
 
     def grow(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
@@ -163,7 +186,9 @@ def islands(spark: SparkSession, total: Counter, capacity: int, seed: int) -> li
         rows = [(n, epoch, [elites[n], elites[n - 1]]) for n in range(ISLANDS)]
         frame = spark.createDataFrame(rows, "island int, epoch int, elites array<binary>").repartitionByRange(ISLANDS, "island")
         elites = [bytes(r.bins) for r in sorted(frame.mapInArrow(grow, "island int, bins binary").collect())]
-        if min(len(_unpack(x)) for x in elites) <= least:
+        now = max(fitness(_unpack(x), capacity) for x in elites)
+        best, idle = (now, 0) if now > best else (best, idle + 1)
+        if -best[0] <= least or idle == 2:
             break
     return max((_unpack(x) for x in elites), key=lambda x: fitness(x, capacity))
 
@@ -259,18 +284,19 @@ def pack(rows: DataFrame, capacity: int) -> DataFrame:
     """``rows`` (with ``length`` 1 to capacity, and doc_id, piece) with sequence_id and offset.
 
     Of the corpus, the driver sees one count per length.  A hot length is
-    ranked in as many tasks as its count needs.
+    ranked in as many tasks as its count needs, equal rows or not.
     """
-    spark = rows.sparkSession
+    spark, p, columns = rows.sparkSession, common.private(*rows.columns), [F.col(f"`{c}`") for c in rows.columns]
+    rows = common.numbered(rows, "pieces", f"{p}row")
     counts = {r.length: r["count"] for r in rows.groupBy("length").count().collect()}
     schema = "length long, buckets int, levels array<struct<first: long, n: long, times: long, sequence: long, bins: long, slots: array<struct<bin: long, at: long>>>>"
-    table = spark.createDataFrame([(k, -(-counts[k] // RANK_ROWS), v) for k, v in plan(spark, counts, capacity)], schema)
+    table = spark.createDataFrame([(k, -(-counts[k] // common.TASK_ROWS), v) for k, v in plan(spark, counts, capacity)], schema)
     table = F.broadcast(table)  # a row for each length and at most most_pieces(capacity) slots a level
-    salted = rows.join(table.select("length", "buckets"), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("buckets")))
+    salted = rows.join(table.select("length", "buckets"), "length").withColumn("bucket", F.pmod(F.xxhash64(f"{p}row"), F.col("buckets")))
     sizes = salted.groupBy("length", "bucket").agg(F.count("*").alias("held"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
+    within = Window.partitionBy("length", "bucket").orderBy(f"{p}row")
     ranked = salted.withColumn("place", F.row_number().over(within) - 1).join(sizes, ["length", "bucket"])
     ranked = ranked.withColumn("rank", F.col("place") + F.col("ahead"))
     found = ranked.join(table.select("length", "levels"), "length").withColumn(
@@ -279,7 +305,7 @@ def pack(rows: DataFrame, capacity: int) -> DataFrame:
     turn = F.col("rank") - _level("first")
     slot = F.col("found.slots")[(turn % _level("n")).cast("int")]
     found = found.withColumn("slot", slot).withColumn("copy", F.floor(turn / _level("n")))
-    return found.select(*rows.columns, (_level("sequence") + F.col("copy") * _level("bins") + F.col("slot.bin")).alias("sequence_id"), F.col("slot.at").alias("offset"))
+    return found.select(*columns, (_level("sequence") + F.col("copy") * _level("bins") + F.col("slot.bin")).alias("sequence_id"), F.col("slot.at").alias("offset"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -289,4 +315,4 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, **options) -> DataFrame:
-    return pack(common.materialise(pieces(docs, tokenizer, capacity, end_id, **options), "pieces"), capacity)
+    return pack(pieces(docs, tokenizer, capacity, end_id, **options), capacity)

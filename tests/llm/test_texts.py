@@ -81,6 +81,10 @@ def test_token_files(spark, tmp_path, encoders):
         ids = [*whole.encode(texts[r.doc_id], add_special_tokens=False).ids, 0]
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+    every = np.concatenate([[*whole.encode(texts[r.doc_id], add_special_tokens=False).ids, 0] for r in made])
+    places = [0, 1, 199, 200, 201, len(every) // 2, len(every) - 1, len(every), -1, 7, 7]
+    got = dac.lookup(dac.read(spark, path), spark.createDataFrame([(x,) for x in places], "place long")).collect()
+    assert sorted((r.place, r.id) for r in got) == sorted({(x, int(every[x])) for x in places if 0 <= x < len(every)})
     dac.write(spark, empty_documents(spark), path + "0", tokenizer_path("bytes"))
     assert dac.digest(dac.read(spark, path + "0")).collect() == []
 
@@ -124,6 +128,49 @@ def test_packing_search(spark):
     assert placed == Counter(many)
 
 
+def test_search_beats_best_fit_where_it_wastes(spark):
+    """Lengths near a third of the capacity: triples that fill a bin exist, and best-fit misses them."""
+    rng, triples = np.random.default_rng(0), []
+    for _ in range(60):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers(250, (1000 - a) // 2))
+        triples += [a, b, 1000 - a - b]
+    total = Counter(triples)
+    first = packing.best_fit(sorted(total.elements(), reverse=True), 1000)
+    bins = packing.islands(spark, total, 1000, 3)
+    assert Counter(x for b in bins for x in b) == total and max(map(sum, bins)) <= 1000
+    assert 60 <= len(bins) <= len(first) - 3
+
+
+def test_elites_migrate():
+    """An island given a better elite than any it finds itself passes it on."""
+    total = Counter([500] * 40 + [300] * 40 + [200] * 40)
+    perfect = [(500, 300, 200)] * 40
+    poor = [(x,) for x in total.elements()]
+    kept = packing.evolve(total, 1000, [poor, perfect], random.Random(0))
+    assert len(kept) == 40 and packing.fitness(perfect, 1000) > packing.fitness(poor, 1000)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_bound_holds_for_every_packing(pieces):
+    """Against the least number of bins, by trying all."""
+    best = [len(pieces)]
+
+    def place(n, bins):
+        if len(bins) >= best[0]:
+            return
+        if n == len(pieces):
+            best[0] = len(bins)
+            return
+        for k in {b: k for k, b in enumerate(bins) if b + pieces[n] <= 20}.values():
+            place(n + 1, [*bins[:k], bins[k] + pieces[n], *bins[k + 1 :]])
+        place(n + 1, [*bins, pieces[n]])
+
+    place(0, [])
+    assert packing.least_bins(Counter(pieces), 20) <= best[0] <= len(packing.best_fit(sorted(pieces, reverse=True), 20))
+
+
 def test_unfillable_lengths_stay_within_the_bound(spark, monkeypatch):
     """Pieces of 30 of 40 leave gaps that the short ones cannot fill; the patterns stay small all the same."""
     monkeypatch.setattr(packing, "PATTERN_PIECES", 300)
