@@ -325,6 +325,26 @@ def test_many_base_spans_hide_no_rare_kind(times):
     assert taken == pii.accepted({k: n * times for k, n in (base | good | bad).items()})
 
 
+def test_classifier_learns_marks_that_labelers_do_not_see():
+    """Held out: spans whose votes say little are told by the words beside them, once those go with telling votes."""
+    rng = random.Random(3)
+    telling, mute, against = "6|0,1,1,0,1,1|1", "6|0,1,0,0,0,0|1", "6|0,-1,-1,0,-1,0|1"
+    good = [pii.marks(6, "123-45-6789", f"{rng.choice(['badge', 'employee'])} no ", rng.choice([" hired", " staff"])) for _ in range(40)]
+    bad = [pii.marks(6, "123-45-6789", f"{rng.choice(['lot', 'pallet'])} no ", rng.choice([" shipped", " stock"])) for _ in range(40)]
+    sample = [(telling, m, 1) for m in good[:30]] + [(against, m, 1) for m in bad[:30]]
+    model = pii.train({telling: 500, against: 500, mute: 20}, sample)
+    score = lambda m: float(model.marks[m].sum())
+    assert min(score(m) for m in good[30:]) > max(score(m) for m in bad[30:]) and model.accepts(telling, good[35]) and not model.accepts(against, bad[35])
+
+
+def test_touching_spans_are_found_in_linear_time():
+    rng = random.Random(1)
+    spans = lambda n, k: sorted((a, k, "x", a + rng.randrange(1, 9)) for a in (rng.randrange(400) for _ in range(n)))
+    for _ in range(50):
+        base, extra = spans(20, 0), spans(20, 5)
+        assert pii._apart(base, extra) == [x for x in extra if not any(b[0] < x[3] and x[0] < b[3] for b in base)]
+
+
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 
 
