@@ -8,16 +8,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.calendar import month_order, quarter_order
-from .functions.naming import clean_name_column, measure_label_column, reason_count_column
+from .functions.naming import BEGINNINGS, ENDINGS, clean_name_column, measure_label_column, reason_count_column
 from .functions.types import xsd_column
 from .operators import charts, facts, infer, r2rml, rdf
 from .plans import guard
-from .sources.catalog import STAR_TABLES, Catalog, load_parquet
+from .sources.catalog import STAR_KEYS, STAR_LINKS, STAR_TABLES, Catalog, load_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,14 +60,19 @@ SQL: dict[str, str] = {
     "agg_sum_distinct": "SELECT l_suppkey, ROUND(SUM(DISTINCT l_quantity), 2) AS qty, COUNT(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY l_suppkey",
     "agg_window_distinct": "SELECT DISTINCT c_nationkey, ROUND(SUM(c_acctbal) OVER (PARTITION BY c_nationkey), 2) AS balance FROM customer",
     "agg_rollup": "SELECT r_name, n_name, COUNT(*) AS n FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY ROLLUP (r_name, n_name)",
+    "agg_cube": "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "agg_grouping_sets": "SELECT o_orderstatus, o_orderpriority, CAST(GROUPING(o_orderpriority) AS BIGINT) AS all_priorities, COUNT(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())",
     "agg_category": "SELECT p_brand, ROUND(SUM(p_retailprice), 2) AS total, ROUND(AVG(p_retailprice), 4) AS mean, COUNT(*) AS n FROM part GROUP BY p_brand",
     "fan_trap_naive": "SELECT ROUND(SUM(c_acctbal), 2) AS customer_balance, ROUND(SUM(s_acctbal), 2) AS supplier_balance FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey",
+    "fan_trap_inflation": "SELECT b.k AS nationkey, ROUND(j.total / b.total, 4) AS inflation, s.n AS suppliers FROM (SELECT c_nationkey AS k, SUM(c_acctbal) AS total FROM customer GROUP BY c_nationkey) b JOIN (SELECT c_nationkey AS k, SUM(c_acctbal) AS total FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY c_nationkey) j ON j.k = b.k JOIN (SELECT s_nationkey AS k, COUNT(*) AS n FROM supplier GROUP BY s_nationkey) s ON s.k = b.k",
     "multi_fact_totals": MULTI_FACT,
     # windows
     "win_partition_sum": "SELECT o_orderkey, o_custkey, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS customer_total FROM orders",
     "win_row_number": "SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS rn FROM orders) t WHERE rn <= 3",
     "win_rank": "SELECT c_custkey, CAST(RANK() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS rnk, CAST(NTILE(4) OVER (ORDER BY c_acctbal, c_custkey) AS BIGINT) AS quartile FROM customer",
     "win_running_total": "SELECT o_custkey, o_orderkey, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running FROM orders",
+    "win_first_last": "SELECT o_custkey, o_orderkey, FIRST_VALUE(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS first_price, LAST_VALUE(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_price, ROUND(PERCENT_RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 6) AS share FROM orders",
+    "win_lead_dense": "SELECT o_custkey, o_orderkey, COALESCE(LEAD(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), -1) AS next_order, CAST(DENSE_RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS priority_rank FROM orders",
     # order, limits, sets
     "topk_orders": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5",
     "sample_limit": "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 10",
@@ -75,10 +81,10 @@ SQL: dict[str, str] = {
     "set_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier",
     "set_except": "SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING'",
     # scalars
-    "fn_round": "SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice * l_tax, 1) AS tax FROM lineitem WHERE l_quantity > 45",
+    "fn_round": "SELECT l_orderkey, l_linenumber, CAST(ROUND(CAST(l_extendedprice AS DECIMAL(12, 2)) * CAST(l_tax AS DECIMAL(4, 2)), 1) AS DOUBLE) AS tax FROM lineitem",
     "fn_coalesce": "SELECT o_orderkey, COALESCE(NULLIF(o_orderstatus, 'P'), 'pending') AS status FROM orders",
     # data behind the declared keys
-    "pk_uniqueness": "SELECT 'orders' AS table_name, COUNT(*) AS n, COUNT(DISTINCT o_orderkey) AS distinct_keys FROM orders UNION ALL SELECT 'customer' AS table_name, COUNT(*) AS n, COUNT(DISTINCT c_custkey) AS distinct_keys FROM customer",
+    "pk_uniqueness": " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS n, COUNT(DISTINCT {k[0]}) AS distinct_keys FROM {t}" for t, k in STAR_KEYS.items() if len(k) == 1),
 }
 
 
@@ -195,11 +201,18 @@ def chart_multi_measure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fk_orphans(spark: SparkSession, d: str) -> DataFrame:
-    lineitem, parts = _t(spark, d, "lineitem"), []
-    for column, table, key in (("l_orderkey", "orders", "o_orderkey"), ("l_partkey", "part", "p_partkey"), ("l_suppkey", "supplier", "s_suppkey")):
-        lone = lineitem.join(_t(spark, d, table).select(F.col(key).alias(column)), column, "left_anti")
-        parts.append(lone.agg(F.lit(column).alias("fk"), F.count("*").alias("orphans")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Values of each declared link that its target lacks; a table with several links is read once."""
+    out = []
+    for table in dict.fromkeys(x[0] for x in STAR_LINKS):
+        links = [x[1:] for x in STAR_LINKS if x[0] == table]
+        frame = _t(spark, d, table).select(*(c for c, _, _ in links))
+        for n, (column, other, key) in enumerate(links):
+            keys = _t(spark, d, other).select(F.col(key).alias(f"key{n}")).distinct()
+            frame = frame.join(keys, F.col(column) == F.col(f"key{n}"), "left")
+        lone = frame.agg(*(F.count(F.when(F.col(c).isNotNull() & F.col(f"key{n}").isNull(), 1)).alias(f"n{n}") for n, (c, _, _) in enumerate(links)))
+        rows = F.array(*(F.struct(F.lit(table).alias("table_name"), F.lit(c).alias("fk"), F.col(f"n{n}").alias("orphans")) for n, (c, _, _) in enumerate(links)))
+        out.append(lone.select(F.explode(rows).alias("x")).select("x.*"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def fk_cardinality(spark: SparkSession, d: str) -> DataFrame:
@@ -274,8 +287,67 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return made.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("value", 2).alias("value"))
 
 
+#: Statements, and whether the guard lets them through.
+GUARDED = (
+    ("SELECT n_name FROM nation", True), ("SELECT COUNT(*) FROM orders WHERE o_orderstatus = 'F' OR o_totalprice > 5", True), ("SHOW TABLES", True), ("EXPLAIN SELECT 1", True), ("WITH t AS (SELECT 1 AS a) SELECT a FROM t", True),
+    ("SELECT n_name FROM nation UNION ALL SELECT r_name FROM region", True), ("SELECT n_name FROM nation WHERE n_name = ';'", True), ("SELECT id FROM range(3)", True),
+    ("SELECT n_name FROM nation; DROP TABLE nation", False), ("DELETE FROM nation", False), ("SELECT n_name FROM nation WHERE n_nationkey = 1 OR 1=1", False), ("SELECT n_name FROM nation WHERE n_nationkey = 1 OR TRUE", False),
+    ("SELECT n_name FROM nation WHERE n_nationkey = 1 OR n_name = n_name", False), ("SELECT n_name FROM nation WHERE n_nationkey = 1 OR NOT 1 = 2", False), ("SELECT n_name FROM nation UNION SELECT password FROM users", False),
+    ("SELECT /* x */ n_name FROM nation", False), ("SELECT n_name FROM nation WHERE n_name = 'a'--", False), ("SELECT reflect('java.lang.System', 'getenv', 'HOME')", False), ("SELECT java_method('java.lang.System', 'getenv', 'HOME')", False),
+    ("SELECT * FROM text.`/etc/hostname`", False), ("SELECT input_file_name() FROM nation", False), ("CREATE TABLE x AS SELECT 1", False), ("SELEC 1", False), ("", False),
+)
+#: Statements over the star schema, whether they are valid, whether they may count rows twice, and the first finding.
+CHECKED = (
+    ("SELECT n_name FROM nation", True, False, None),
+    ("SELECT * FROM nowhere", False, False, "table_not_found"),
+    ("SELECT n.n_size FROM nation n", False, False, "column_not_found"),
+    ("SELECT * FROM nation, region", False, False, "missing_join_condition"),
+    ("SELECT r_name, COUNT(*) FROM nation JOIN region ON n_regionkey = r_regionkey", False, False, "non_aggregated_column"),
+    ("SELECT r_name, COUNT(*) FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name", True, False, None),
+    ("SELECT n.n_name FROM nation n JOIN region r ON n.n_nationkey = r.r_regionkey", True, False, "invalid_join"),
+    ("SELECT n_name, SUM(c_acctbal), SUM(s_acctbal) FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name", True, True, "fan_trap_detected"),
+    ("SELECT SUM(o_totalprice) FROM orders JOIN lineitem ON l_orderkey = o_orderkey", True, True, "fan_trap_detected"),
+    ("SELECT MAX(o_totalprice) FROM orders JOIN lineitem ON l_orderkey = o_orderkey", True, False, None),
+)
+
+
+def guard_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(n, guard.inspect(spark, sql).is_safe) for n, (sql, _) in enumerate(GUARDED)], "statement long, is_safe boolean")
+
+
+def checker_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    from .plans.check import Checker
+
+    checker, out = Checker(spark, _catalog(spark, d).analyse()), []
+    for n, (sql, *_) in enumerate(CHECKED):
+        made = checker.validate(sql)
+        out.append((n, made.valid, made.fan_trap_risk, made.issues[0].issue_type if made.issues else None))
+    return spark.createDataFrame(out, "statement long, is_valid boolean, fan_trap boolean, finding string")
+
+
 _MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-_XSD_CASES = [("int", "integer", "integer"), ("bigint", "integer", "integer"), ("string", "string", "string"), ("double", "double", "double"), ("timestamp_ntz", "dateTime", "dateTime"), ("array<float>", "float", "float")]
+
+# ---- the catalog as DuckDB sees it: what the files hold, with the declared keys
+
+_TYPES = "CASE column_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'TIMESTAMP_NS' THEN 'timestamp_ntz' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END"
+_COLS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name, {_TYPES} AS data_type FROM (DESCRIBE {t})" for t in STAR_TABLES)
+_PKS = ", ".join(f"('{t}', '{c}')" for t, keys in STAR_KEYS.items() for c in keys)
+_FKS = ", ".join(f"('{t}', '{c}')" for t, c, _, _ in STAR_LINKS)
+_TAILS = ", ".join(f"'{x}'" for x in infer.KEY_TAILS)
+#: A column that is no key and ends, but for a tail, with another table's name or its singular.
+_LINKED = (
+    f"SELECT c.table_name, column_name, t.table_name AS target FROM ({_COLS}) c JOIN (SELECT DISTINCT table_name, unnest([table_name, regexp_replace(table_name, 's$', '')]) AS word FROM ({_COLS})) t "
+    f"ON t.table_name <> c.table_name AND len(word) >= 4 AND contains(column_name, word) AND list_contains([{_TAILS}], substr(column_name, strpos(column_name, word) + len(word))) "
+    f"WHERE (c.table_name, column_name) NOT IN ({_PKS}) AND (c.table_name, column_name) NOT IN ({_FKS}) GROUP BY ALL"
+)
+_REASONS = " + ".join(
+    [
+        "(len(column_name) <= 3)::INT", "(len(column_name) > 1 AND upper(column_name) = column_name AND regexp_matches(column_name, '[A-Z]'))::INT", "regexp_matches(column_name, '[0-9]$')::INT",
+        "(2 * len([x for x in string_split(column_name, '_') if regexp_full_match(x, '[A-Za-z]{1,3}')]) > len(string_split(column_name, '_')))::INT",
+        *(f"ends_with(lower(column_name), '_{x}')::INT" for x in ENDINGS), *(f"starts_with(lower(column_name), '{x}_')::INT" for x in BEGINNINGS),
+    ]
+)
+_bool = lambda x: "NULL" if x is None else str(x) if isinstance(x, bool) else f"'{x}'"
 
 BUILT: dict[str, tuple[Query, str | None]] = {
     "agg_union_facts": (agg_union_facts, "SELECT nationkey, ROUND(SUM(c), 2) AS customer_balance, ROUND(SUM(s), 2) AS supplier_balance FROM (SELECT c_nationkey AS nationkey, c_acctbal AS c, 0 AS s FROM customer UNION ALL SELECT s_nationkey, 0, s_acctbal FROM supplier) GROUP BY nationkey"),
@@ -292,7 +364,7 @@ BUILT: dict[str, tuple[Query, str | None]] = {
     "chart_heatmap_counts": (chart_heatmap_counts, "SELECT s.o_orderstatus, p.o_orderpriority, (SELECT COUNT(*) FROM orders o WHERE o.o_orderstatus = s.o_orderstatus AND o.o_orderpriority = p.o_orderpriority) AS n FROM (SELECT DISTINCT o_orderstatus FROM orders) s, (SELECT DISTINCT o_orderpriority FROM orders) p"),
     "chart_corr_matrix": (chart_corr_matrix, " UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, " + ("1.0::DOUBLE AS r" if a == b else f"ROUND(CORR({a}, {b}), 6) AS r FROM lineitem") for a in _MEASURES for b in _MEASURES)),
     "chart_multi_measure": (chart_multi_measure, "SELECT date_trunc('month', l_shipdate)::TIMESTAMP AS month, ROUND(SUM(l_extendedprice), 2) AS price, ROUND(100 * SUM(l_extendedprice * l_discount) / SUM(l_extendedprice), 4) AS discount_pct FROM lineitem GROUP BY 1"),
-    "fk_orphans": (fk_orphans, " UNION ALL ".join(f"SELECT '{c}' AS fk, COUNT(*) AS orphans FROM lineitem WHERE {c} NOT IN (SELECT {k} FROM {t})" for c, t, k in (("l_orderkey", "orders", "o_orderkey"), ("l_partkey", "part", "p_partkey"), ("l_suppkey", "supplier", "s_suppkey")))),
+    "fk_orphans": (fk_orphans, " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS fk, COUNT(*) AS orphans FROM {t} WHERE {c} NOT IN (SELECT {k} FROM {o})" for t, c, o, k in STAR_LINKS)),
     "fk_cardinality": (fk_cardinality, "SELECT MIN(n) AS least, MAX(n) AS most, ROUND(AVG(n), 4) AS mean FROM (SELECT o_orderkey, COUNT(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)"),
     "column_profile": (column_profile, " UNION ALL ".join(f"SELECT '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS nulls, COUNT(DISTINCT {c}) AS distinct_values, MIN({c})::VARCHAR AS least, MAX({c})::VARCHAR AS most FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))),
     "r2rml_apply": (
@@ -303,15 +375,17 @@ BUILT: dict[str, tuple[Query, str | None]] = {
         f"SELECT subject, 'http://example.com/n_name', n_name, 'literal', '{rdf.XSD}string' FROM s UNION ALL "
         "SELECT subject, 'http://example.com/n_regionkey', 'http://example.com/region/' || n_regionkey, 'iri', NULL FROM s",
     ),
-    "fan_trap_hints": (fan_trap_hints, "SELECT 'lineitem' AS table_name, 3::BIGINT AS n"),
-    "infer_fk": (infer_fk, "SELECT 'embeddings' AS table_name, 'label' AS column_name, 'labels' AS target"),
-    "xsd_types": (xsd_types, "SELECT * FROM (VALUES " + ", ".join(map(str, _XSD_CASES)) + ") t(data_type, xsd, r2rml_xsd)"),
+    "fan_trap_hints": (fan_trap_hints, f"SELECT t AS table_name, COUNT(*) AS n FROM (VALUES {_FKS}) k(t, c) GROUP BY t HAVING COUNT(*) > 1"),
+    "infer_fk": (infer_fk, _LINKED),
+    "xsd_types": (xsd_types, f"SELECT DISTINCT data_type, CASE WHEN data_type IN ('int', 'bigint') THEN 'integer' WHEN data_type = 'timestamp_ntz' THEN 'dateTime' WHEN data_type = 'array<float>' THEN 'float' ELSE data_type END AS xsd, xsd AS r2rml_xsd FROM ({_COLS})"),
+    "guard_verdicts": (guard_verdicts, "SELECT * FROM (VALUES " + ", ".join(f"({n}::BIGINT, {ok})" for n, (_, ok) in enumerate(GUARDED)) + ") t(statement, is_safe)"),
+    "checker_verdicts": (checker_verdicts, "SELECT * FROM (VALUES " + ", ".join(f"({n}::BIGINT, {', '.join(map(_bool, x))})" for n, (_, *x) in enumerate(CHECKED)) + ") t(statement, is_valid, fan_trap, finding)"),
     "event_windows": (event_windows, "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, COUNT(*) AS n, ROUND(SUM(value), 2) AS value FROM events GROUP BY 1, 2"),
-    "ontology_counts": (ontology_counts, "SELECT * FROM (VALUES ('Ontology', 1::BIGINT), ('Class', 14), ('DatatypeProperty', 63), ('ObjectProperty', 18)) t(kind, n)"),
+    "ontology_counts": (ontology_counts, f"SELECT 'Ontology' AS kind, 1::BIGINT AS n UNION ALL SELECT 'Class', COUNT(DISTINCT table_name) FROM ({_COLS}) UNION ALL SELECT 'DatatypeProperty', COUNT(*) FROM ({_COLS}) UNION ALL SELECT 'ObjectProperty', 2 * ((SELECT COUNT(*) FROM (VALUES {_FKS})) + (SELECT COUNT(*) FROM ({_LINKED})))"),
     "type_overrides": (type_overrides, "SELECT * FROM (VALUES ('lineitem', 'l_quantity', 'double'), ('lineitem', 'l_discount', 'double')) t(table_name, column_name, sql_type)"),
     "information_schema": (information_schema, " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS columns FROM (DESCRIBE {t})" for t in STAR_TABLES)),
-    "catalog_columns": (catalog_columns, None),
-    "name_quality": (name_quality, None),
+    "catalog_columns": (catalog_columns, f"SELECT table_name, column_name, data_type, (table_name, column_name) IN ({_PKS}) AS is_primary_key, (table_name, column_name) IN ({_FKS}) AS is_foreign_key FROM ({_COLS})"),
+    "name_quality": (name_quality, f"SELECT table_name, column_name, ({_REASONS})::BIGINT AS reasons FROM ({_COLS}) WHERE ({_REASONS}) > 0"),
     "ontology_triples": (ontology_triples, None),
 }
 
