@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,6 +34,20 @@ def is_identifier(name: str | None, longest: int = 128) -> bool:
     return bool(name) and len(name) <= longest and bool(_STRICT.fullmatch(name))
 
 
+def is_lax_identifier(name: str | None, longest: int = 63) -> bool:
+    """As remote databases take them: hyphens too."""
+    return bool(name) and len(name) <= longest and bool(re.fullmatch(r"[A-Za-z_][A-Za-z0-9_-]*", name))
+
+
+def is_uri(text: str | None) -> bool:
+    """Whether a text is an http or https address with a host."""
+    try:
+        parts = urlsplit(text or "")
+    except ValueError:
+        return False
+    return parts.scheme in ("http", "https") and bool(parts.netloc)
+
+
 def is_qualified_identifier(name: str | None) -> bool:
     parts = (name or "").split(".")
     return len(parts) <= 3 and all(map(is_identifier, parts))
@@ -151,10 +166,11 @@ def redact_secrets(value, words: tuple[str, ...] = ("password", "secret", "token
 
 
 def format_bytes(n: float) -> str:
-    for unit in ("B", "KB", "MB", "GB", "TB"):
-        if n < 1024 or unit == "TB":
-            return f"{n:.1f} {unit}"
-        n /= 1024
+    """Whole bytes below 1024, one decimal of the largest fitting unit above."""
+    units, place = ("B", "KB", "MB", "GB", "TB", "PB"), 0
+    while n >= 1024 and place < len(units) - 1:
+        n, place = n / 1024, place + 1
+    return f"{n:.1f} {units[place]}" if place else f"{int(n)} B"
 
 
 def strip_leading_comments(sql: str) -> str:

@@ -14,13 +14,14 @@ from decimal import Decimal
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions import audit
 from .functions.naming import is_identifier, quote, redact_log, redact_secrets
 from .operators import charts, infer, r2rml, rdf
 from .plans import guard
 from .plans.check import Checker
 from .plans.walker import Node
 from .sources import connections
-from .sources.catalog import Catalog, load_parquet
+from .sources.catalog import STAR_TABLES, Catalog, load_parquet
 
 log = logging.getLogger(__name__)
 
@@ -77,11 +78,13 @@ class Session:
         self.catalog = Catalog(self.spark)
         self.triples: list[rdf.Triple] | None = None
         self.last: DataFrame | None = None
+        self._connect, self._views = None, []
 
     # ---- connections
 
     def connect_parquet(self, folder: str, tables: list[str] | None = None) -> Session:
         self.catalog = load_parquet(self.spark, folder, tables) if tables else load_parquet(self.spark, folder)
+        self._connect, self._views = lambda: self.connect_parquet(folder, tables), list(tables or STAR_TABLES)
         return self
 
     def connect_database(self, db_type: str, tables: list[str] = (), **given) -> dict:
@@ -95,6 +98,7 @@ class Session:
         except Exception as e:  # noqa: BLE001  drivers raise what they like
             return failure(str(e).splitlines()[0], "connection_error")
         self.catalog.reset()
+        self._connect, self._views = lambda: self.connect_database(db_type, tables, **given), [t.split(".")[-1] for t in tables]
         return {"success": True, "db_type": db_type, "options": redact_secrets(options)}
 
     def is_connected(self) -> bool:
@@ -103,6 +107,15 @@ class Session:
         except Exception:  # noqa: BLE001
             return False
 
+    def ensure_connected(self, retries: int = 2) -> bool:
+        """Whether statements run and the connected tables are there; connects anew, at most ``retries`` times, if not."""
+        for turn in range(retries + 1):
+            if self.is_connected() and all(self.spark.catalog.tableExists(t) for t in self._views):
+                return True
+            if turn < retries and self._connect:
+                self._connect()
+        return False
+
     def status(self) -> dict:
         return {"connected": self.is_connected(), "session_id": self.session_id, "tables": len(self.catalog.tables()), "ontology_loaded": self.triples is not None}
 
@@ -150,6 +163,7 @@ class Session:
 
     def sample_table_data(self, table_name: str, schema_name: str | None = None, limit: int = SAMPLE_DEFAULT) -> dict:
         if not is_identifier(table_name) or schema_name and not is_identifier(schema_name):
+            audit.event("invalid_identifier", "high", table=table_name, schema=schema_name)
             return failure(f"{table_name!r} is not an identifier", "validation_error")
         try:
             df = self.spark.table(quote(f"{schema_name}.{table_name}" if schema_name else table_name)).limit(clamp_sample(limit, tool=True))
@@ -206,6 +220,14 @@ class Session:
             return failure(f"cannot read the suggestions: {e}", "parameter_error")
         return self._change(changes, save_to_file)
 
+    def apply_enrichment(self, suggestions: dict) -> dict:
+        """Relabel and comment classes, properties and relationships of the loaded ontology."""
+        return self._need(None) or self._change(rdf.enrichment_changes(suggestions, self.base_uri), False)
+
+    def enrich_ontology(self, *args, **given) -> dict:
+        """Plain generation; enrichment is applied by ``apply_enrichment``."""
+        return self.generate_ontology(*args, **given)
+
     def apply_semantic_descriptions(self, descriptions: dict, save_to_file: bool = False) -> dict:
         return self._need(None) or self._change(rdf.description_changes(descriptions, self.base_uri), save_to_file)
 
@@ -249,6 +271,8 @@ class Session:
 
     def validate_sql_syntax(self, sql_query: str) -> dict:
         verdict = guard.inspect(self.spark, sql_query)
+        if verdict.risk_level in ("high", "critical") and verdict.error_type != "empty_query":
+            audit.event("refused_statement", verdict.risk_level, issues=[redact_log(x) for x in verdict.issues], statement=redact_log(sql_query))
         out = {"is_valid": verdict.is_safe, "error": verdict.error, "error_type": verdict.error_type, "database_error": None, "query_type": verdict.query_type, "affected_tables": [], "warnings": [], "suggestions": [], "security_issues": list(verdict.issues), "risk_level": verdict.risk_level}
         if not verdict.is_safe or verdict.query_type == "METADATA":
             return out | {"next_tool": "execute_sql_query" if verdict.is_safe else None}

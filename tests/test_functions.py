@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import naming, types
+from plumbline.functions import audit, naming, types
 from plumbline.functions.calendar import month_order, quarter_order
 
 CLEAN = [("simple_name", "simple_name"), ("name-with-hyphens", "name_with_hyphens"), ("name with spaces", "name_with_spaces"), ("a.b", "a_b"), ("123_x", "_123_x"), ("", "unnamed"), ("MixedCase", "MixedCase")]
@@ -69,3 +69,16 @@ def test_text_helpers():
     assert naming.redact_secrets({"password": "x", "a": [{"token": 1}]}) == {"password": "***", "a": [{"token": "***"}]}
     assert naming.strip_leading_comments("-- a\n/* b */ SELECT 1; SELECT 1") == "SELECT 1; SELECT 1"
     assert naming.measure_label("total_amount") == "Total Amount" and naming.is_percentage("growth_pct") and naming.format_bytes(2048) == "2.0 KB"
+
+
+def test_addresses_identifiers_and_bytes():
+    assert [naming.is_uri(x) for x in ("http://a.org", "https://a/b", "ftp://a", "http://", "", None, "http://[")] == [True, True, False, False, False, False, False]
+    assert naming.is_lax_identifier("my-table") and not naming.is_lax_identifier("a" * 64) and not naming.is_lax_identifier("1a") and not naming.is_identifier("my-table")
+    assert [naming.format_bytes(n) for n in (0, 1023, 1536, 1 << 20, 5 << 50)] == ["0 B", "1023 B", "1.5 KB", "1.0 MB", "5.0 PB"]
+
+
+def test_audit_hides_secrets(caplog):
+    with caplog.at_level("WARNING", "plumbline.audit"):
+        shown = audit.event("login", "critical", user="ann", api_key="x", Password="y")
+    assert shown == {"user": "ann", "api_key": audit.SHOWN_AS, "Password": audit.SHOWN_AS}
+    assert "login" in caplog.text and "critical" in caplog.text and "'x'" not in caplog.text

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from plumbline.operators import charts
+from plumbline.operators import charts, rdf
 from plumbline.session import Session, clamp_limit, clamp_sample
 from plumbline.sources import connections
 from plumbline.sources.catalog import Catalog
@@ -94,6 +94,36 @@ def test_charts(session):
     assert "error" in session.generate_chart([], "bar", "a", "b") and "error" in session.generate_chart("{bad", "bar", "a", "b")
 
 
+def test_reconnects(session):
+    assert session.ensure_connected()
+    session.spark.catalog.dropTempView("nation")
+    assert session.ensure_connected() and session.spark.table("nation").count() == 25
+    session._connect = None
+    session.spark.catalog.dropTempView("nation")
+    assert not session.ensure_connected()
+
+
+def test_refusals_are_audited(session, caplog):
+    with caplog.at_level("WARNING", "plumbline.audit"):
+        session.validate_sql_syntax("SELECT n_name FROM nation WHERE n_name = 'hush' OR 1=1")
+        session.sample_table_data("a;b")
+    assert "refused_statement" in caplog.text and "invalid_identifier" in caplog.text and "hush" not in caplog.text
+
+
+def test_enrichment(session):
+    session.generate_ontology()
+    made = session.apply_enrichment({"classes": [{"original_name": "nation", "suggested_name": "Country", "description": "A state"}, {"suggested_name": "lost"}], "properties": [{"table_name": "nation", "original_name": "n_name", "suggested_name": "Country name"}], "relationships": [{"from_table": "nation", "to_table": "region", "description": "lies in"}]})
+    assert made["success"] and made["applied"] == 4
+    said = {(s, p): o for s, p, o, *_ in session.triples}
+    n, rdfs = rdf.Namer(session.base_uri), rdf.RDFS
+    assert said[n.table("nation"), f"{rdfs}label"] == "Country" and said[n.table("nation"), f"{rdfs}comment"] == "A state"
+    assert said[n.column("nation", "n_name"), f"{rdfs}label"] == "Country name" and said[n.link("nation", "region"), f"{rdfs}comment"] == "lies in"
+    assert sum(s == n.table("nation") and p == f"{rdfs}label" for s, p, *_ in session.triples) == 1
+    lines = [r.value for r in rdf.ntriples(session.triples_df()).collect()]
+    assert len(lines) == len(session.triples) and f'<{n.table("nation")}> <{rdfs}label> "Country" .' in {x.split("^^")[0].removesuffix(" .") + " ." for x in lines}
+    assert session.enrich_ontology()["success"]
+
+
 def test_heatmap_axes(session):
     rows = [{"a": n, "b": k} for n in (10, 9, 2) for k in ("p", "q", "r")[: n % 4 + 1]]
     made = session.generate_chart(rows, "heatmap", "a", "b")["traces"][0]
