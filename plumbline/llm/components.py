@@ -4,6 +4,9 @@ Each large-star step links every neighbour above a node to the least node of
 its neighbourhood, each small-star step every neighbour below it; both keep
 the components and their number of edges, and a chain of length n is a star
 after about log n rounds.  A hub is aggregated map-side, never gathered.
+
+Defined results: repeated edges and loops change nothing; nodes that only loops
+name have no row; a, b and nodes are not null; an empty table gives no rows.
 """
 
 from __future__ import annotations

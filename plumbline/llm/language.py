@@ -2,8 +2,8 @@
 
 A text is a vector of hashed letter trigrams, weighted by TF-IDF and scaled to
 length one.  Each language has several centroids, clustered by spherical
-k-means on a bounded sample of labelled documents (PER_LANGUAGE of each, picked
-by a hash of the id); a text takes the language of the centroid nearest by
+k-means on a bounded sample of labelled documents (about PER_LANGUAGE different
+texts of each, picked by a hash of the text); a text takes the language of the centroid nearest by
 cosine.  A text farther from all centroids than nearly every labelled training
 text of about its length is rejected; the scores of all of these are counted,
 not those of the sample.  Prediction reads whole texts and nothing else.
@@ -115,16 +115,19 @@ def held_out(id_column: str = "doc_id") -> Column:
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model:
     """A model of the labelled documents that are not held out.
 
-    The driver gets PER_LANGUAGE sparse vectors of a language at most, about,
-    and counts of the scores of all texts, of SIZES by STEPS cells at most.
+    The driver gets about PER_LANGUAGE sparse vectors of a language, of which
+    the model holds CENTROIDS, and counts of the scores of all texts, of SIZES by
+    STEPS cells at most.
     """
     common.ship_package(docs.sparkSession)
     train = docs.where(~held_out(id_column) & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
     train = train.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"))
-    counts = {r.lang: r["count"] for r in train.groupBy("lang").count().collect()}
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit("language"), "doc_id"), 11) / F.lit(float(1 << 53))
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, PER_LANGUAGE / n))) if counts else F.lit(None)
-    picked = train.where(unit < share[F.col("lang")]) if counts else train.limit(0)
+    # Copies of a text count once, and of a picked text one goes on, however many there are.
+    key = F.xxhash64(F.lit("language"), "text")
+    counts = train.select("lang", key.alias("key")).distinct().groupBy("lang").agg((F.lit(float(PER_LANGUAGE)) / F.count("*")).alias("share"))
+    unit = F.shiftrightunsigned(key, 11) / F.lit(float(1 << 53))
+    picked = train.join(common.materialise(counts, "shares"), "lang").where((unit < F.col("share")) & (F.col("text") != ""))
+    picked = picked.groupBy("lang", key.alias("key")).agg(F.first("text").alias("text"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -135,7 +138,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
                 made.append(np.array([at, full[at]], "<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(made, pa.binary())], ["lang", "counts"])
 
-    rows = sorted((r.lang, bytes(r.counts)) for r in picked.where(F.col("text") != "").select("text", "lang").mapInArrow(sparse, "lang string, counts binary").collect())
+    rows = sorted((r.lang, bytes(r.counts)) for r in picked.select("text", "lang").mapInArrow(sparse, "lang string, counts binary").collect())
     if not rows:
         return Model([], np.zeros(BUCKETS), np.zeros((0, BUCKETS)), np.zeros(0, int), np.zeros(SIZES))
     full = np.zeros((len(rows), BUCKETS), np.float32)

@@ -1,7 +1,7 @@
 """The pipeline's stages on a small corpus, each against what it should do to its own input."""
 
 import corpus_pipeline
-from fixtures import odd_documents
+from fixtures import empty_documents, odd_documents
 
 import __spark_entry__
 from plumbline.llm import registry
@@ -41,3 +41,10 @@ def test_stages_on_odd_rows(spark, sf_dir):
         made = stage(spark, docs, sf_dir)
         made.collect()
         docs = docs if name == "packing" else made
+
+
+def test_stages_on_an_empty_table(spark, sf_dir):
+    docs = empty_documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, sf_dir)
+        assert made.count() == 0 and (name == "packing" or made.columns == docs.columns)

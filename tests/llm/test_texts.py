@@ -452,6 +452,39 @@ def test_language(spark):
     assert language.identify(empty_documents(spark), nothing).collect() == []
 
 
+def test_nearest_centroid_by_brute_force(spark):
+    """Scores and languages of held-out texts, with trigrams, weights and cosines counted one by one."""
+    alphabets = {"aa": "abcdehilm", "bb": "nopqrstuvwäö", "cc": "éèxyzkjgf"}
+    rows = [(n * 3 + k, words(3 + n % 50, n * 3 + k, letters), lang) for n in range(60) for k, (lang, letters) in enumerate(alphabets.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+
+    def vector(text):
+        folded = "".join(c if c.isalpha() else " " for c in text.lower())
+        raw, counts = f" {' '.join(folded.split())} ".encode(), Counter()
+        for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+            counts[((a << 16 | b << 8 | c) * 0x9E3779B1 % 2**32) >> 20] += 1
+        held = {k: math.log1p(n) * float(model.idf[k]) for k, n in counts.items()}
+        norm = math.sqrt(sum(x * x for x in held.values()))
+        return {k: x / norm for k, x in held.items()}
+
+    for r in language.identify(docs, model).collect():
+        v = vector(rows[r.doc_id][1])
+        scores = [sum(x * float(c[k]) for k, x in v.items()) for c in model.centroids]
+        best = max(range(len(scores)), key=lambda n: scores[n])
+        assert r.lang_pred == model.languages[model.owner[best]] and abs(r.score - scores[best]) < 1e-5
+
+
+def test_copies_of_a_sampled_text_count_once(spark, monkeypatch):
+    """A third of the rows are one text; the sample holds it once at most, and the others as often as without it."""
+    rows = [(n, words(20, n), "aa" if n % 2 else "bb") for n in range(400)]
+    copies = [(1000 + n, rows[1][1], "aa") for n in range(300)]
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "PER_LANGUAGE", 50)
+    one, two = language.fit(frame(rows)), language.fit(frame(rows + copies))
+    assert np.allclose(one.idf, two.idf) and np.allclose(one.centroids, two.centroids)
+
+
 def test_short_texts_are_rejected_by_distance(spark, monkeypatch):
     """Few texts are short and few are sampled; what is far from every centroid goes all the same."""
     monkeypatch.setattr(language, "PER_LANGUAGE", 30)
