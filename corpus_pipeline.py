@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and
 read back as the next one's ``docs``.
+
+Defined results: a null or letterless text has no language, so its document
+goes in the first stage; given to a later one it counts as an empty text and, as
+it has no words, is taken by no mix; rows that are equal are one group of near
+copies; columns besides doc_id, text, lang, source and n_chars pass through
+whatever their names, up to the last stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
