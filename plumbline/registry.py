@@ -18,7 +18,7 @@ from .functions.naming import BEGINNINGS, ENDINGS, clean_name_column, measure_la
 from .functions.types import xsd_column
 from .operators import charts, facts, infer, r2rml, rdf
 from .plans import guard
-from .sources.catalog import STAR_KEYS, STAR_LINKS, STAR_TABLES, Catalog, load_parquet
+from .sources.catalog import STAR_KEYS, STAR_LINKS, STAR_TABLES, Catalog, load_parquet, read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,7 +114,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _nation_facts(spark: SparkSession, d: str) -> dict[str, facts.Fact]:

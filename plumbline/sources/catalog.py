@@ -9,7 +9,9 @@ from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SYSTEM_SCHEMAS = {"information_schema", "pg_catalog", "pg_toast", "sys", "system", "INFORMATION_SCHEMA"}
 
@@ -215,11 +217,27 @@ STAR_LINKS = (
 STAR_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+_schemas: dict[tuple, StructType] = {}
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table; its schema is inferred once for as long as the file or folder is not changed."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+    except Py4JJavaError:  # no such place; Spark says so as it always does
+        return spark.read.parquet(path)
+    key = (path, status.getModificationTime(), status.getLen())
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
+
+
 def load_parquet(spark: SparkSession, folder: str, tables: Iterable[str] = STAR_TABLES) -> Catalog:
     """Views over a folder of parquet tables, with the star schema's keys declared."""
     tables = list(tables)
     for name in tables:
-        spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)
+        read_parquet(spark, f"{folder}/{name}.parquet").createOrReplaceTempView(name)
     out = Catalog(spark)
     for name in tables:
         if name in STAR_KEYS:
