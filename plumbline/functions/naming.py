@@ -100,6 +100,7 @@ def table_variants(names: list[str]) -> dict[str, str]:
 def find_table(name: str, names: list[str]) -> str | None:
     """The table a word stands for, plural or singular."""
     there, word = {n.lower(): n for n in names}, name.lower()
+    #: Forms of a word in the order in which they are tried.
     tries = [word, f"{word}s", f"{word}es", f"{word}ies"]
     for ending, instead in (("ies", "y"), ("es", ""), ("s", "")):
         if word.endswith(ending) and len(word) > len(ending):

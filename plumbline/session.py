@@ -273,6 +273,7 @@ class Session:
         verdict = guard.inspect(self.spark, sql_query)
         if verdict.risk_level in ("high", "critical") and verdict.error_type != "empty_query":
             audit.event("refused_statement", verdict.risk_level, issues=[redact_log(x) for x in verdict.issues], statement=redact_log(sql_query))
+        #: The keys of a verdict.
         out = {"is_valid": verdict.is_safe, "error": verdict.error, "error_type": verdict.error_type, "database_error": None, "query_type": verdict.query_type, "affected_tables": [], "warnings": [], "suggestions": [], "security_issues": list(verdict.issues), "risk_level": verdict.risk_level}
         if not verdict.is_safe or verdict.query_type == "METADATA":
             return out | {"next_tool": "execute_sql_query" if verdict.is_safe else None}
@@ -295,6 +296,7 @@ class Session:
 
     def execute_sql_query(self, sql_query: str, limit: int = 1000, checklist_completed: bool | str = False, strict: bool = True) -> dict:
         """Rows of one safe query, at most ``limit``; ``strict`` refuses what the semantic check finds wrong."""
+        #: The keys of a result.
         out = {"success": False, "data": [], "columns": [], "schema": [], "row_count": 0, "execution_time_ms": 0.0, "error": None, "error_type": None, "warnings": [], "query_plan": None, "limit_applied": False}
         if not 1 <= limit <= TOOL_ROWS:
             return out | {"error": f"limit must be 1 to {TOOL_ROWS}", "error_type": "parameter_error"}
