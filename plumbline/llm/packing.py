@@ -36,6 +36,8 @@ from .tokenize import encoder
 PATTERN_PIECES = 32_768
 RATIO = 8
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 4, 40, 8
+#: Pieces that an island's children place in an epoch, about: fewer children of larger patterns, five at least.
+PLACED = 100_000
 WELL_FILLED = 0.99
 
 Bin = tuple[int, ...]
@@ -138,10 +140,11 @@ def evolve(total: Counter, capacity: int, seeds: list[list[Bin]], rng: random.Ra
     pieces = sorted(total.elements(), reverse=True)
     population = [*seeds, best_fit(pieces, capacity)]
     best = max(population, key=lambda x: fitness(x, capacity))
-    while len(best) > least and len(population) < POPULATION:
+    children = max(5, min(GENERATIONS, PLACED // max(1, len(pieces))))
+    while len(best) > least and len(population) < min(POPULATION, children):
         bent = sorted(pieces, key=lambda x: -x * rng.uniform(0.7, 1))
         population.append(best_fit(bent, capacity))
-    for _ in range(GENERATIONS):
+    for _ in range(children):
         best = max(population, key=lambda x: fitness(x, capacity))
         if len(best) <= least:
             break
