@@ -89,6 +89,18 @@ def op10_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(common.read_table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import codes
+
+    return codes.compress(common.read_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+
+
+def op13_elkan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import centroids
+
+    return centroids.cluster(common.read_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dimension=64, scale=64, seed=1).drop("counted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_projected_neighbours": op1_projected_neighbours,
@@ -101,10 +113,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_entropy_mix": op9_entropy_mix,
         "op10_impact_topk": op10_impact_topk,
+        "op11_vector_codes": op11_vector_codes,
+        "op13_elkan_clusters": op13_elkan_clusters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import topk
+    from . import centroids, codes, topk
 
-    return {"op10_impact_topk": topk.ORACLE_SQL}
+    return {"op10_impact_topk": topk.ORACLE_SQL, "op11_vector_codes": codes.ORACLE_SQL, "op13_elkan_clusters": centroids.ORACLE_SQL}
