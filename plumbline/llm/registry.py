@@ -95,6 +95,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(common.read_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
 
 
+def op12_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import graph
+
+    return graph.near_duplicates(common.read_table(spark, sf_dir, "embeddings"), least=0.95).drop("recall")
+
+
 def op13_elkan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import centroids
 
@@ -114,11 +120,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_entropy_mix": op9_entropy_mix,
         "op10_impact_topk": op10_impact_topk,
         "op11_vector_codes": op11_vector_codes,
+        "op12_pruned_graph": op12_pruned_graph,
         "op13_elkan_clusters": op13_elkan_clusters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import centroids, codes, topk
+    from . import centroids, codes, graph, topk
 
-    return {"op10_impact_topk": topk.ORACLE_SQL, "op11_vector_codes": codes.ORACLE_SQL, "op13_elkan_clusters": centroids.ORACLE_SQL}
+    return {"op10_impact_topk": topk.ORACLE_SQL, "op11_vector_codes": codes.ORACLE_SQL, "op12_pruned_graph": graph.ORACLE_SQL, "op13_elkan_clusters": centroids.ORACLE_SQL}

@@ -9,7 +9,7 @@ from plumbline.llm import registry
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and [n.split("_")[0] for n in registry.queries()] and {n.split("_")[0] for n in registry.queries()} == {f"op{k}" for k in range(1, 11)}
+    assert "pipeline" in names and [n.split("_")[0] for n in registry.queries()] and {n.split("_")[0] for n in registry.queries()} == {f"op{k}" for k in range(1, 14)}
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
