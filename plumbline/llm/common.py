@@ -15,7 +15,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 from pathlib import Path
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -95,6 +96,18 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_rows(docs: DataFrame, run: Callable, *more: T.StructField) -> DataFrame:
+    """``docs`` through ``mapInArrow``, all columns by their places and ``more`` after them; names do not matter to it."""
+    plain = docs.toDF(*(f"c{n}" for n in range(len(docs.columns))))
+    schema = T.StructType([*plain.schema.fields, *(T.StructField(f"m{n}", f.dataType, f.nullable) for n, f in enumerate(more))])
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, *(f.name for f in more))
+
+
 def private(*columns: str) -> str:
     """A beginning that none of the columns has, for the names of helper columns."""
     begin = "__"
@@ -108,7 +121,7 @@ def numbered(df: DataFrame, tag: str, number: str) -> DataFrame:
     made = materialise(df, tag)
     part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
     more = F.regexp_extract("_metadata.file_name", r"-c(\d+)\.", 1).cast("long")
-    return made.select(*(F.col(f"`{c}`") for c in df.columns), (F.shiftleft(part, 42) + F.shiftleft(more, 32) + F.col("_metadata.row_index")).alias(number))
+    return made.select(*map(column, df.columns), (F.shiftleft(part, 42) + F.shiftleft(more, 32) + F.col("_metadata.row_index")).alias(number))
 
 
 def occurrences(rows: DataFrame, by: list[str], number: str, name: str) -> DataFrame:
@@ -119,13 +132,13 @@ def occurrences(rows: DataFrame, by: list[str], number: str, name: str) -> DataF
     their own, so a group may hold any share of the rows.
     """
     p = private(*rows.columns, name)
-    held = rows.groupBy(*by).agg(F.count("*").alias(f"{p}n")).where(F.col(f"{p}n") > 1)
-    held = materialise(held.select(*(F.col(c).alias(f"{p}{k}") for k, c in enumerate(by)), f"{p}n"), "repeated")
+    held = rows.groupBy(*map(column, by)).agg(F.count("*").alias(f"{p}n")).where(F.col(f"{p}n") > 1)
+    held = materialise(held.select(*(column(c).alias(f"{p}{k}") for k, c in enumerate(by)), f"{p}n"), "repeated")
     total = held.agg(F.sum(f"{p}n")).first()[0]
     if not total:
         return rows.withColumn(name, F.lit(0).cast("long"))
     keys = [f"{p}{k}" for k in range(len(by))]
-    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)))
+    same = reduce(Column.__and__, (column(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)))
     copies = rows.join(held, same).select(number, *keys, F.pmod(F.xxhash64(number), F.lit(-(-total // TASK_ROWS))).alias(f"{p}salt"))
     salts = copies.groupBy(*keys, f"{p}salt").agg(F.count("*").alias(f"{p}own"))
     before = Window.partitionBy(*keys).orderBy(f"{p}salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -133,7 +146,7 @@ def occurrences(rows: DataFrame, by: list[str], number: str, name: str) -> DataF
     here = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"{k}s")) for k in keys)) & (F.col(f"{p}salt") == F.col(f"{p}salts"))
     place = F.row_number().over(Window.partitionBy(*keys, f"{p}salt").orderBy(number)) - 1
     found = copies.withColumn(f"{p}place", place).join(salts, here).select(F.col(number).alias(f"{p}row"), (F.col(f"{p}place") + F.col(f"{p}ahead")).alias(f"{p}place"))
-    return rows.join(found, F.col(number) == F.col(f"{p}row"), "left").select(*rows.columns, F.coalesce(f"{p}place", F.lit(0)).cast("long").alias(name))
+    return rows.join(found, F.col(number) == F.col(f"{p}row"), "left").select(*map(column, rows.columns), F.coalesce(f"{p}place", F.lit(0)).cast("long").alias(name))
 
 
 def ship_package(spark: SparkSession) -> None:

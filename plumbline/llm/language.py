@@ -194,4 +194,4 @@ def keep_identified(docs: DataFrame, model: Model, text_column: str = "text") ->
             rejected = model.predict(batch.column(at).to_pylist())[2]
             yield batch.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_rows(docs, run)

@@ -344,16 +344,15 @@ def redact_text(text: str, model: Model) -> str:
 def redact(docs: DataFrame, model: Model, text_column: str = "text", size_column: str = "n_chars") -> DataFrame:
     """``docs``, all columns, with personal data replaced and ``size_column``, if there, kept true."""
     common.ship_package(docs.sparkSession)
-    at = docs.columns.index(text_column)
+    at, sized = docs.columns.index(text_column), docs.columns.index(size_column) if size_column in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             clean = [x if x is None else redact_text(x, model) for x in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array(clean, batch.schema.field(at).type)
-            if size_column in batch.schema.names:
-                n = batch.schema.names.index(size_column)
-                columns[n] = pa.array([o if x is None else len(x) for x, o in zip(clean, batch.column(n).to_pylist(), strict=True)], batch.schema.field(n).type)
+            if sized is not None:
+                columns[sized] = pa.array([o if x is None else len(x) for x, o in zip(clean, batch.column(sized).to_pylist(), strict=True)], batch.schema.field(sized).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_rows(docs, run)

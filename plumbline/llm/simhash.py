@@ -229,13 +229,13 @@ def keep_one(docs: DataFrame, words: int = 4, id_column: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             made = np.array([fingerprint(x, words) for x in batch.column(at).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.view(np.int64))], [*batch.schema.names, f"{p}fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.view(np.int64))], [*batch.schema.names, "m0"])
 
-    marked = common.numbered(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(f"{p}fp", T.LongType())])), "marked", f"{p}row")
-    name = F.col(f"`{id_column}`").cast("long")
+    marked = common.numbered(common.map_rows(docs, run, T.StructField(f"{p}fp", T.LongType())), "marked", f"{p}row")
+    name = common.column(id_column).cast("long")
     whole = _grouped(marked.select(name.alias("doc_id"), F.col(f"{p}fp").alias("fp")))
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("first")
     kept = whole.groupBy("component").agg(first).select(F.col("first.least").alias(f"{p}least"), F.col("first.fp").alias(f"{p}kept"))
     only = common.occurrences(marked, [id_column, f"{p}fp"], f"{p}row", f"{p}copy").where(F.col(f"{p}copy") == 0)
     found = only.join(kept, (F.col(f"{p}fp") == F.col(f"{p}kept")) & name.eqNullSafe(F.col(f"{p}least")))
-    return found.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return found.select(*map(common.column, docs.columns))
