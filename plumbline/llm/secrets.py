@@ -1,16 +1,18 @@
-"""Secret scan: base patterns, and a randomness test battery for other tokens.
+"""Secret scan: base patterns, and a randomness test battery.
 
-Built-in column functions only.  Tokens of at least 20 characters with letters
-and digits that no base span touches are taken for the smallest encoding that
-holds them (hex, base32, base36, base64).  Under the hypothesis of a uniform
+Built-in column functions only.  Tested are tokens of at least 20 characters with
+letters and digits: those that no base span touches, and the values of base spans
+(of an assignment what is assigned, without padding), which stay whatever the
+tests say.  A token is taken for the smallest encoding that holds it (hex,
+base32, base36, base64).  Under the hypothesis of a uniform
 random string four tests give p-values: chi-squared uniformity of the alphabet,
 chi-squared of the character classes, runs above and below the middle symbol,
 and lag-one serial correlation.  The least of the four is calibrated by SIMULATED
 random tokens of the same encoding and about the same length, so that it is
 uniform for random tokens however short.
 
-False discoveries are controlled within each class of lengths over all different
-tokens of the corpus, copies counting once, on both sides.  Benjamini and Hochberg's procedure sets structured
+False discoveries are controlled within each class of lengths, values of base
+spans apart, over all different tokens of the corpus, copies counting once, on both sides.  Benjamini and Hochberg's procedure sets structured
 tokens aside, so that of these the expected share of random ones is at most
 ALPHA.  Of the others, reported as ``random``, the share of structured ones is
 estimated from the counts of p-values above HALF, where random tokens are evenly
@@ -25,6 +27,7 @@ not read.  The time for a text grows with its matches to the power 1.5 at most.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +44,8 @@ KINDS = ("assign", "access", "hex", "random")
 #: Stands for each character of a base span where tokens are looked for; a text's own ones are blanked.
 COVER = "\ue000"
 TOKEN = rf"(?<![A-Za-z0-9+/_{COVER}-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{{20,}}+(?!{COVER})"
+#: A value of a base span that is tested.
+VALUE = "^(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}$"
 #: Encoding: pattern of the whole token, alphabet, sizes of digits, lower case, upper case and the rest.
 ENCODINGS = (
     ("^[0-9a-fA-F]+$", "0123456789abcdef", (10, 6, 0, 0)),
@@ -48,6 +53,7 @@ ENCODINGS = (
     ("^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", (10, 26, 0, 0)),
     ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", (10, 26, 26, 2)),
 )
+NAMES = ("hex", "base32", "base36", "base64")
 #: Least lengths of the classes within which discoveries are controlled.
 LENGTHS = (20, 28, 40, 64)
 #: Lengths at which random tokens are simulated; a token is held against the longest that is no longer.
@@ -102,12 +108,19 @@ def covered(text: Column) -> Column:
 
 
 def found_in(text: Column) -> tuple[Column, Column]:
-    """Base spans (start, rank, end, kind), and the tokens to be tested (start, end, text)."""
+    """Base spans (start, rank, end, kind), and the tokens to be tested (start, rank, end, text)."""
     assign = F.filter(spans(text, ASSIGN, 2), lambda s: F.char_length(s["part"]) >= 6)
     access = F.filter(spans(text, ACCESS), lambda s: s["end"] - s["start"] >= 20)
-    base = F.array_sort(F.concat(_ranked(assign, "assign"), _ranked(access, "access"), _ranked(spans(text, HEX), "hex")))
+    long = spans(text, HEX)
+    base = F.array_sort(F.concat(_ranked(assign, "assign"), _ranked(access, "access"), _ranked(long, "hex")))
     apart = F.filter(spans(covered(text), TOKEN), lambda s: ~s["text"].rlike(ACCESS_LONG) & ~s["text"].rlike(HEX))
-    return base, F.transform(apart, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
+
+    def item(kind: str, value) -> Callable[[Column], Column]:
+        return lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end"), value(s).alias("text"))
+
+    whole = lambda s: s["text"]
+    given = F.concat(F.transform(assign, item("assign", lambda s: F.rtrim(s["part"], F.lit("=")))), F.transform(access, item("access", whole)), F.transform(long, item("hex", whole)))
+    return base, F.concat(F.filter(given, lambda s: s["text"].rlike(VALUE)), F.transform(apart, item("random", whole)))
 
 
 # ---- tests of a token, given as numbers of its symbols --------------------------------------
@@ -241,25 +254,38 @@ def thresholds(each: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, base (spans) and found (spans of random tokens) of every row; one pass over the texts."""
+    """doc_id, base (spans), found (spans of random tokens) and tests (of base spans too) of every row; one pass over the texts.
+
+    A test holds start, rank, end, kind, encoding, the calibrated p-value and whether the token counts as random.
+    """
     base, tokens = found_in(F.col("t"))
     texts = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("t"))
     rows = common.numbered(texts.select("doc_id", base.alias("base"), tokens.alias("tokens")), "tokens", "number")
-    single = rows.select("number", F.explode("tokens").alias("x")).select("number", "x.start", "x.end", "x.text").withColumns({"encoding": _encoding(F.col("text")), "token": F.xxhash64("text")})
-    seen = common.materialise(tested(single).join(F.broadcast(calibration(docs.sparkSession)), ["encoding", "grid", "bin"]).select("number", "start", "end", "class", "p", "token"), "tested")
+    single = rows.select("number", F.explode("tokens").alias("x")).select("number", "x.start", "x.rank", "x.end", "x.text").withColumns({"encoding": _encoding(F.col("text")), "token": F.xxhash64("text")})
+    pool = F.col("class") + F.when(F.col("rank") < KINDS.index("random"), len(LENGTHS)).otherwise(0)
+    seen = common.materialise(tested(single).join(F.broadcast(calibration(docs.sparkSession)), ["encoding", "grid", "bin"]).select("number", "start", "rank", "end", "encoding", pool.alias("class"), "p", "token"), "tested")
     once = seen.groupBy("class", "p", "token").agg(F.lit(1))
     limits = thresholds(once.groupBy("class", "p").agg(F.count("*").alias("n")))  # a row for each class
-    random = seen.join(F.broadcast(limits), "class").where(F.col("p") > F.col("limit"))
-    item = F.struct("start", F.lit(KINDS.index("random")).alias("rank"), "end", F.lit("random").alias("kind"))
-    found = random.groupBy("number").agg(F.sort_array(F.collect_list(item)).alias("found"))
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    return rows.join(found, "number", "left").select("doc_id", "base", F.coalesce("found", none).alias("found"))
+    judged = seen.join(F.broadcast(limits), "class").withColumn("random", F.col("p") > F.col("limit"))
+    item = F.struct("start", "rank", "end", _of(F.col("rank"), list(KINDS)).alias("kind"), _of(F.col("encoding"), list(NAMES)).alias("encoding"), "p", "random")
+    tests = judged.groupBy("number").agg(F.sort_array(F.collect_list(item)).alias("tests"))  # as many as its text has
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,encoding:string,p:double,random:boolean>>")
+    told = rows.join(tests, "number", "left").select("doc_id", "base", F.coalesce("tests", none).alias("tests"))
+    new = F.filter("tests", lambda s: s["random"] & (s["rank"] == KINDS.index("random")))
+    return told.select("doc_id", "base", F.transform(new, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("found"), "tests")
 
 
 def join_spans(column: Column) -> Column:
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def join_tests(column: Column) -> Column:
+    """kind:start:end:encoding:p:verdict of each test, comma-joined; p to four places."""
+    verdict = lambda s: F.when(s["random"], "random").otherwise("structured")
+    shown = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"), s["encoding"], F.format_number(s["p"], 4), verdict(s))
+    return F.array_join(F.transform(column, shown), ",")
+
+
 def digest(found: DataFrame) -> DataFrame:
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *(number(k) for k in KINDS[:3]), F.sha2(join_spans(F.col("base")), 256).alias("base_sha256"), join_spans(F.array_sort(F.concat("base", "found"))).alias("spans"))
+    return found.select("doc_id", *(number(k) for k in KINDS[:3]), F.sha2(join_spans(F.col("base")), 256).alias("base_sha256"), join_spans(F.array_sort(F.concat("base", "found"))).alias("spans"), join_tests(F.col("tests")).alias("tests"))

@@ -424,6 +424,21 @@ def test_share_of_structured_tokens_is_bounded(spark):
     assert secrets.thresholds(alone).first().limit < 0.02  # nothing but random ones: next to none goes
 
 
+def test_values_of_base_spans_are_tested_too(spark):
+    """Random values and structured ones, each as part of its base span; short or odd values are not tested."""
+    rng = random.Random(7)
+    value = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    texts = [f"é token={value()}" for _ in range(150)] + ["secret: " + "abcd1234" * 6] * 2 + ["password=" + "ab12" * 8, "token=abc123", "api_key=a.b-" + "x1" * 20, "AKIA" + "A1" * 10, f"see {'0123456789abcdef' * 2}", None]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    made = {r.doc_id: [x.split(":") for x in r.tests.split(",") if x] for r in secrets.digest(secrets.scan(docs)).collect()}
+    for n in range(150):
+        assert [x[:4] for x in made[n]] == [["assign", "2", "48", "hex"], ["hex", "8", "48", "hex"]]
+        assert made[n][0][4] == made[n][1][4]  # one value, one p-value
+    random_, known = sum(made[n][0][5] == "random" for n in range(150)), [150, 151, 152, 155, 156]
+    assert random_ >= 140 and all(x[5] == "structured" for n in known for x in made[n]) and all(made[n] for n in known)
+    assert made[150] == made[151] and not made[153] and not made[154] and not made[157]
+
+
 def test_many_matches_in_one_text(spark):
     token = "Zx9Qm2Lr8Tb4Wn6Kp1Vd3Hs7Gy5Jc0Fa"
     text = " ".join(f"token=abcdef{n} {token}" for n in range(20_000)) + secrets.COVER + token + " " + "0" * 30 + token
