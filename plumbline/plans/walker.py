@@ -17,6 +17,10 @@ def _seq(x) -> list:
     return [x.apply(n) for n in range(x.size())]
 
 
+#: Plan nodes that are not in the package of plans.
+_PLANS = {"UnresolvedRelation", "UnresolvedInlineTable", "UnresolvedHaving", "PlanWithUnresolvedIdentifier", "UnresolvedTableValuedFunction"}
+
+
 class Node:
     """A plan node or an expression."""
 
@@ -38,7 +42,7 @@ class Node:
 
     @cached_property
     def is_plan(self) -> bool:
-        return ".plans.logical." in (name := self.java.getClass().getName()) or "UnresolvedRelation" in name or ".analysis.UnresolvedInlineTable" in name or "UnresolvedHaving" in name
+        return ".plans.logical." in (name := self.java.getClass().getName()) or name.rpartition(".")[2] in _PLANS
 
     def names(self, method: str) -> list[str]:
         return [str(x) for x in _seq(getattr(self.java, method)())]
@@ -81,6 +85,17 @@ def parse(spark: SparkSession, sql: str) -> Node:
     return Node(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql))
 
 
+def analysed(spark: SparkSession, plan: Node) -> Node:
+    """The analysed form of a parsed plan; no command in it is run."""
+    skip = spark._jvm.org.apache.spark.sql.execution.CommandExecutionMode.SKIP()
+    return Node(spark._jsparkSession.sessionState().executePlan(plan.java, skip).analyzed())
+
+
+def name_parts(spark: SparkSession, name: str) -> list[str]:
+    """The parts of a qualified name; raises ParseException."""
+    return [str(x) for x in _seq(spark._jsparkSession.sessionState().sqlParser().parseMultipartIdentifier(name))]
+
+
 def ctes(node: Node) -> list[tuple[str, Node]]:
     """Names and plans of an UnresolvedWith."""
     out = []
@@ -90,4 +105,4 @@ def ctes(node: Node) -> list[tuple[str, Node]]:
     return out
 
 
-__all__ = ["Node", "ParseException", "ctes", "parse"]
+__all__ = ["Node", "ParseException", "analysed", "ctes", "name_parts", "parse"]

@@ -99,7 +99,7 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     verdict = guard.inspect(spark, sql)
     if not verdict.is_safe:
         raise ValueError(verdict.error)
-    return spark.sql(sql)
+    return verdict.frame or spark.sql(sql)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,15 +287,25 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return made.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("value", 2).alias("value"))
 
 
-#: Statements, and whether the guard lets them through.
-GUARDED = (
-    ("SELECT n_name FROM nation", True), ("SELECT COUNT(*) FROM orders WHERE o_orderstatus = 'F' OR o_totalprice > 5", True), ("SHOW TABLES", True), ("EXPLAIN SELECT 1", True), ("WITH t AS (SELECT 1 AS a) SELECT a FROM t", True),
-    ("SELECT n_name FROM nation UNION ALL SELECT r_name FROM region", True), ("SELECT n_name FROM nation WHERE n_name = ';'", True), ("SELECT id FROM range(3)", True),
-    ("SELECT n_name FROM nation; DROP TABLE nation", False), ("DELETE FROM nation", False), ("SELECT n_name FROM nation WHERE n_nationkey = 1 OR 1=1", False), ("SELECT n_name FROM nation WHERE n_nationkey = 1 OR TRUE", False),
-    ("SELECT n_name FROM nation WHERE n_nationkey = 1 OR n_name = n_name", False), ("SELECT n_name FROM nation WHERE n_nationkey = 1 OR NOT 1 = 2", False), ("SELECT n_name FROM nation UNION SELECT password FROM users", False),
-    ("SELECT /* x */ n_name FROM nation", False), ("SELECT n_name FROM nation WHERE n_name = 'a'--", False), ("SELECT reflect('java.lang.System', 'getenv', 'HOME')", False), ("SELECT java_method('java.lang.System', 'getenv', 'HOME')", False),
-    ("SELECT * FROM text.`/etc/hostname`", False), ("SELECT input_file_name() FROM nation", False), ("CREATE TABLE x AS SELECT 1", False), ("SELEC 1", False), ("", False),
-)
+#: Tables, a condition on each, and conditions that a statement adds to it by OR; the data tell which of these widen it to all rows.
+ADDED = {
+    "nation": ("n_nationkey = 1", ("n_nationkey + 0 = n_nationkey", "n_name LIKE '%'", "length(n_name) >= 0", "n_name = n_name", "1 = 1", "n_regionkey > 2", "n_name LIKE 'NATION_1%'", "n_name <> 'x' AND n_regionkey = 0", "n_nationkey IN (3, 4)", "n_nationkey % 7 <> 3")),
+    "customer": ("c_custkey = 7", ("abs(c_acctbal) >= 0", "c_custkey < c_custkey + 1", "NOT c_name <> c_name", "c_acctbal > 0", "c_mktsegment <> 'BUILDING'", "c_custkey BETWEEN 10 AND 20")),
+    "orders": ("o_orderkey = 1", ("o_totalprice * o_totalprice >= 0", "o_orderdate = o_orderdate", "o_orderstatus || '' = o_orderstatus", "o_totalprice > 100000", "o_orderstatus IN ('F', 'P')", "o_orderpriority LIKE '1%'", "o_custkey <> 3 AND o_totalprice < 5000")),
+    "lineitem": ("l_orderkey = 1", ("coalesce(l_tax, 0) = coalesce(l_tax, 0)", "l_quantity <= l_quantity + 1", "l_discount > 0.05", "l_returnflag <> 'R'")),
+}
+
+
+def _added_sql(judged: str) -> str:
+    """Rows of each table, and those that its condition and each added one let through; ``judged`` gives the verdict on condition ``{c}``."""
+    out = []
+    for t, (base, conditions) in ADDED.items():
+        for c in conditions:
+            text = c.replace("'", "''")
+            out.append(f"SELECT '{t}' AS table_name, '{text}' AS added, COUNT(*) AS total, COUNT(CASE WHEN {base} OR {c} THEN 1 END) AS kept, {judged.format(c=c)} AS is_safe FROM {t}")
+    return " UNION ALL ".join(out)
+
+
 #: Statements over the star schema, whether they are valid, whether they may count rows twice, and the first finding.
 CHECKED = (
     ("SELECT n_name FROM nation", True, False, None),
@@ -312,7 +322,15 @@ CHECKED = (
 
 
 def guard_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(n, guard.inspect(spark, sql).is_safe) for n, (sql, _) in enumerate(GUARDED)], "statement long, is_safe boolean")
+    """What the guard says of statements over whole tables, beside the rows that they would read; each table is read once."""
+    load_parquet(spark, d, list(ADDED))
+    out = []
+    for t, (base, conditions) in ADDED.items():
+        safe = [guard.inspect(spark, f"SELECT * FROM {t} WHERE {base} OR {c}").is_safe for c in conditions]
+        sums = spark.table(t).agg(F.count("*").alias("total"), *(F.count_if(F.expr(f"({base}) OR ({c})")).alias(f"k{n}") for n, c in enumerate(conditions)))
+        rows = F.array(*(F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("added"), "total", F.col(f"k{n}").alias("kept"), F.lit(safe[n]).alias("is_safe")) for n, c in enumerate(conditions)))
+        out.append(sums.select(F.explode(rows).alias("x")).select("x.*"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def checker_verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -378,7 +396,7 @@ BUILT: dict[str, tuple[Query, str | None]] = {
     "fan_trap_hints": (fan_trap_hints, f"SELECT t AS table_name, COUNT(*) AS n FROM (VALUES {_FKS}) k(t, c) GROUP BY t HAVING COUNT(*) > 1"),
     "infer_fk": (infer_fk, _LINKED),
     "xsd_types": (xsd_types, f"SELECT DISTINCT data_type, CASE WHEN data_type IN ('int', 'bigint') THEN 'integer' WHEN data_type = 'timestamp_ntz' THEN 'dateTime' WHEN data_type = 'array<float>' THEN 'float' ELSE data_type END AS xsd, xsd AS r2rml_xsd FROM ({_COLS})"),
-    "guard_verdicts": (guard_verdicts, "SELECT * FROM (VALUES " + ", ".join(f"({n}::BIGINT, {ok})" for n, (_, ok) in enumerate(GUARDED)) + ") t(statement, is_safe)"),
+    "guard_verdicts": (guard_verdicts, _added_sql("COUNT(CASE WHEN {c} THEN 1 END) < COUNT(*)")),
     "checker_verdicts": (checker_verdicts, "SELECT * FROM (VALUES " + ", ".join(f"({n}::BIGINT, {', '.join(map(_bool, x))})" for n, (_, *x) in enumerate(CHECKED)) + ") t(statement, is_valid, fan_trap, finding)"),
     "event_windows": (event_windows, "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, COUNT(*) AS n, ROUND(SUM(value), 2) AS value FROM events GROUP BY 1, 2"),
     "ontology_counts": (ontology_counts, f"SELECT 'Ontology' AS kind, 1::BIGINT AS n UNION ALL SELECT 'Class', COUNT(DISTINCT table_name) FROM ({_COLS}) UNION ALL SELECT 'DatatypeProperty', COUNT(*) FROM ({_COLS}) UNION ALL SELECT 'ObjectProperty', 2 * ((SELECT COUNT(*) FROM (VALUES {_FKS})) + (SELECT COUNT(*) FROM ({_LINKED})))"),

@@ -73,6 +73,7 @@ def failure(message: str, error_type: str, details: str | None = None) -> dict:
 class Session:
     def __init__(self, spark: SparkSession, output_dir: str = ".", base_uri: str = rdf.DEFAULT_BASE, r2rml_base: str = "http://example.com/"):
         self.spark, self.output_dir, self.r2rml_base = spark.newSession(), output_dir, r2rml_base
+        self.spark.conf.set("spark.sql.runSQLOnFiles", "false")  # no path is a table
         self.base_uri = rdf.Namer(base_uri).base
         self.session_id = uuid.uuid4().hex
         self.catalog = Catalog(self.spark)
@@ -313,7 +314,7 @@ class Session:
         begun, n = time.monotonic(), clamp_limit(limit)
         log.info("query: %s", redact_log(sql_query))
         try:
-            self.last = self.spark.sql(sql_query)
+            self.last = verdict.frame or self.spark.sql(sql_query)
             written = _limit_of(verdict.plan)
             capped = written is None or written > n
             rows = self.last.limit(n + 1).collect() if capped else self.last.collect()
