@@ -160,7 +160,7 @@ def redact_log(sql: str, longest: int = 200) -> str:
 def redact_secrets(value, words: tuple[str, ...] = ("password", "secret", "token", "key", "credential")):
     """A nested value with what stands under telling names hidden."""
     if isinstance(value, dict):
-        return {k: "***" if any(w in str(k).lower() for w in words) else redact_secrets(v, words) for k, v in value.items()}
+        return {k: "***" if str(k).lower() == "pat" or any(w in str(k).lower() for w in words) else redact_secrets(v, words) for k, v in value.items()}
     if isinstance(value, list | tuple):
         return type(value)(redact_secrets(v, words) for v in value)
     return value

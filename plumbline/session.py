@@ -20,7 +20,7 @@ from .operators import charts, infer, r2rml, rdf
 from .plans import guard
 from .plans.check import Checker
 from .plans.walker import Node
-from .sources import connections
+from .sources import connections, rest
 from .sources.catalog import STAR_TABLES, Catalog, load_parquet
 
 log = logging.getLogger(__name__)
@@ -80,6 +80,7 @@ class Session:
         self.triples: list[rdf.Triple] | None = None
         self.last: DataFrame | None = None
         self._connect, self._views = None, []
+        self._rest: rest.Client | None = None
 
     # ---- connections
 
@@ -102,6 +103,31 @@ class Session:
         self._connect, self._views = lambda: self.connect_database(db_type, tables, **given), [t.split(".")[-1] for t in tables]
         return {"success": True, "db_type": db_type, "options": redact_secrets(options)}
 
+    def connect_rest(self, tables: list[str] = (), queries: dict[str, str] | None = None, **given) -> dict:
+        """Views over a remote engine's tables and statements, read by its REST interface, a page a task."""
+        try:
+            self._rest = rest.Client(given)
+            rest.register(self.spark)
+            wanted = {t.split(".")[-1]: {"dbtable": t} for t in tables} | {n: {"query": q} for n, q in (queries or {}).items()}
+            for name, what in wanted.items():
+                self.spark.read.format("rest_query").options(**{k: str(v) for k, v in given.items()}, **what).load().createOrReplaceTempView(name)
+        except ValueError as e:
+            return failure(str(e), "parameter_error")
+        except (rest.RestError, PySparkException) as e:
+            return failure(_first(e), "connection_error")
+        self.catalog.reset()
+        self._connect, self._views = lambda: self.connect_rest(tables, queries, **given), list(wanted)
+        return {"success": True, "options": redact_secrets(given), "views": list(wanted)}
+
+    def rest_containers(self, depth: int = 3) -> dict:
+        """Containers of the remote engine, ``depth`` levels below the first."""
+        if self._rest is None:
+            return failure("connect first", "session_error")
+        try:
+            return {"success": True, "containers": self._rest.containers(depth)}
+        except rest.RestError as e:
+            return failure(str(e), "connection_error")
+
     def is_connected(self) -> bool:
         try:
             return self.spark.sql("SELECT 1").first()[0] == 1
