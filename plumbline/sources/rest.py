@@ -25,6 +25,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from decimal import Decimal
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -229,4 +230,9 @@ class Reader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(RestQuery)
+    """Make the source known to a session; once more changes nothing."""
+    try:
+        spark.dataSource.register(RestQuery)
+    except PySparkException as e:
+        if e.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":
+            raise
