@@ -25,6 +25,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from decimal import Decimal
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
@@ -233,6 +234,6 @@ def register(spark: SparkSession) -> None:
     """Make the source known to a session; once more changes nothing."""
     try:
         spark.dataSource.register(RestQuery)
-    except PySparkException as e:
-        if e.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":
+    except (PySparkException, Py4JJavaError) as e:
+        if "DATA_SOURCE_ALREADY_EXISTS" not in str(e):
             raise
