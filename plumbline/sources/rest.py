@@ -25,8 +25,6 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from decimal import Decimal
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -231,9 +229,9 @@ class Reader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the source known to a session; once more changes nothing."""
-    try:
-        spark.dataSource.register(RestQuery)
-    except (PySparkException, Py4JJavaError) as e:
-        if "DATA_SOURCE_ALREADY_EXISTS" not in str(e):
-            raise
+    """Make the source known to a session; once more changes nothing.
+
+    Spark asks the active session whether a name is taken, so this one is made active.
+    """
+    spark._jvm.org.apache.spark.sql.classic.SparkSession.setActiveSession(spark._jsparkSession)
+    spark.dataSource.register(RestQuery)
