@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.naming import find_table, name_quality, table_variants
@@ -132,27 +132,103 @@ def quality_report(tables: list[TableMeta], key_suffix: bool = False) -> dict:
 
 
 # ---- over a catalog held as a DataFrame -----------------------------------------------------
+#
+# ``columns`` has a row for each column: table_name, column_name, position, data_type,
+# is_primary_key, is_foreign_key.  Tables count in the order of their names.
 
+#: Length of the grams by which words are looked up in column names, that of the shortest word.
+GRAM = 4
 
-def embedded_links_df(columns: DataFrame, tails: tuple[str, ...] = KEY_TAILS) -> DataFrame:
-    """table_name, column_name, target: the embedded-name rule as a join.
 
-    Every tail cuts a candidate word off a column, so candidates meet names by
-    an equi-join, not by pairing all columns with all names; of a column's hits
-    the longest word counts.
-    """
+def _singular(word: str) -> Column:
+    """Of a column of lower-case names, as ``naming.singular``."""
+    w = F.col(word)
+    cut = lambda ending, instead: F.when(w.endswith(ending) & (F.length(w) > len(ending)), F.concat(F.expr(f"substring({word}, 1, length({word}) - {len(ending)})"), F.lit(instead)))
+    return F.coalesce(cut("ies", "y"), cut("es", ""), cut("s", ""))
+
+
+def words_df(columns: DataFrame) -> DataFrame:
+    """word, target, turn: names and singulars of tables; of equal words the last table's, ``turn`` being the first's place."""
     names = columns.select("table_name").distinct().withColumn("lower", F.lower("table_name"))
-    lower = F.col("lower")
-    one = F.when(lower.rlike("ies$"), F.regexp_replace(lower, "ies$", "y")).when(lower.rlike("es$"), F.regexp_replace(lower, "es$", "")).when(lower.rlike("s$"), F.regexp_replace(lower, "s$", ""))
-    words = names.select(F.col("table_name").alias("target"), F.explode(F.array_compact(F.array(lower, one))).alias("word")).where(F.length("word") >= 4)
+    forms = names.select("table_name", F.posexplode(F.array("lower", _singular("lower"))).alias("kind", "word")).where(F.length("word") >= GRAM)
+    last, first = F.struct("table_name", "kind"), F.min(F.struct("table_name", "kind"))
+    return forms.groupBy("word").agg(F.max(last)["table_name"].alias("target"), first.alias("turn"))
+
+
+def _grams(text: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(text) - GRAM + 1), lambda n: F.struct(n.alias("at"), F.substr(text, n, F.lit(GRAM)).alias("gram")))
+
+
+def found_words(free: DataFrame, columns: DataFrame) -> DataFrame:
+    """``free`` (table_name, column_name, c and more) with each word of another table that c holds: word, target, turn, and the tail after its first place.
+
+    An inverted index on grams: a word is filed under the rarest of its grams,
+    so that beginnings which many names share bring no columns and words together.
+    """
+    words = words_df(columns)
+    filed = words.select("*", F.explode(_grams(F.col("word"))).alias("g")).select("*", "g.gram", "g.at")
+    common = filed.groupBy("gram").agg(F.count("*").alias("words"))
+    rarest = F.min(F.struct("words", "at", "gram", "target", "turn")).alias("x")
+    index = filed.join(common, "gram").groupBy("word").agg(rarest).select("word", "x.gram", F.col("x.at").alias("offset"), "x.target", "x.turn")
+    held = free.where(F.length("c") >= GRAM).select("*", F.explode(_grams(F.col("c"))).alias("g")).select("*", "g.gram", (F.col("g.at")).alias("at")).drop("g")
+    start = F.col("at") - F.col("offset") + 1
+    met = held.join(index, "gram").where((F.col("target") != F.col("table_name")) & (start > 0)).where(F.instr(F.col("c"), F.col("word")) == start)
+    return met.withColumn("tail", F.expr("substring(c, at - offset + 1 + length(word))")).drop("gram", "at", "offset")
+
+
+def _embedded_rows(free: DataFrame, columns: DataFrame, tails: tuple[str, ...]) -> DataFrame:
+    """Of the words that are followed by nothing but a tail the longest, then the one whose table comes first."""
+    hits = found_words(free, columns).where(F.col("tail").isin(*tails))
+    best = F.min(F.struct((-F.length("word")).alias("shorter"), "turn", "target", "word")).alias("x")
+    return hits.groupBy("table_name", "column_name").agg(best).select("table_name", "column_name", "x.target", F.lit("embedded_table_name").alias("pattern"), "x.word")
+
+
+def _formed_rows(free: DataFrame, columns: DataFrame) -> DataFrame:
+    """The first form whose word names another table, in any of the word's forms in their order."""
+    matched = [F.struct(F.lit(n).alias("form"), F.lit(name).alias("pattern"), F.regexp_extract("c", form, 1).alias("word")) for n, (name, form) in enumerate(FORMS)]
+    asked = free.select("table_name", "column_name", F.explode(F.array(*matched)).alias("f")).select("table_name", "column_name", "f.*").where(F.length("word") >= 3)
+    cut = lambda n, more="": F.concat(F.expr(f"substring(word, 1, length(word) - {n})"), F.lit(more))
+    ends = lambda x: F.col("word").endswith(x) & (F.length("word") > len(x))
+    tries = [F.col("word"), *(F.concat("word", F.lit(x)) for x in ("s", "es", "ies")), F.when(ends("ies"), cut(3, "y")), F.when(ends("es"), cut(2)), F.when(ends("s"), cut(1)), F.when(F.col("word").endswith("y"), cut(1, "ies"))]
+    names = columns.groupBy(F.lower("table_name").alias("name")).agg(F.max("table_name").alias("target"))
+    tried = asked.select("*", F.posexplode(F.array(*tries)).alias("turn", "name")).join(names, "name")
+    by_form = tried.groupBy("table_name", "column_name", "form", "pattern", "word").agg(F.min(F.struct("turn", "target"))["target"].alias("target")).where("target <> table_name")
+    first = F.min(F.struct("form", "target", "pattern", "word")).alias("x")
+    return by_form.groupBy("table_name", "column_name").agg(first).select("table_name", "column_name", "x.target", "x.pattern", "x.word")
+
+
+def links_df(columns: DataFrame, key_suffix: bool = False) -> DataFrame:
+    """table_name, column_name, target, target_column, pattern, confidence: ``implicit_links`` as joins."""
+    tails = (*KEY_TAILS, "key", "_key") if key_suffix else KEY_TAILS
+    free = columns.where("not is_primary_key and not is_foreign_key").select("table_name", "column_name", "data_type", F.lower("column_name").alias("c"))
+    embedded = _embedded_rows(free, columns, tails)
+    rest = free.join(embedded.select("table_name", "column_name"), ["table_name", "column_name"], "left_anti")
+    hits = embedded.unionByName(_formed_rows(rest, columns))
+    keys = columns.where("is_primary_key").groupBy(F.col("table_name").alias("of")).agg(F.min(F.struct("position", "column_name", "data_type")).alias("key"))
+    made = hits.join(free, ["table_name", "column_name"]).join(keys, F.col("target") == F.col("of"), "left")
+    a, b, word, name = F.lower("data_type"), F.lower("key.data_type"), F.col("word"), F.lower("target")
+    same = (a == b) | (a.contains("int") & b.contains("int"))
+    score = F.when(same, 2).otherwise(0) + F.when(word == name, 2).when(F.concat(word, F.lit("s")) == name, 1).otherwise(0) + F.col("c").endswith("id").cast("int")
+    sure = F.when(score >= 4, "high").when(score >= 2, "medium").otherwise("low")
+    return made.select("table_name", "column_name", "target", F.coalesce("key.column_name", F.lit("id")).alias("target_column"), "pattern", sure.alias("confidence"))
+
+
+def embedded_links_df(columns: DataFrame, tails: tuple[str, ...] = KEY_TAILS) -> DataFrame:
+    """table_name, column_name, target: the embedded-name rule alone."""
     free = columns.where("not is_primary_key and not is_foreign_key").select("table_name", "column_name", F.lower("column_name").alias("c"))
-    cut = [F.when(F.col("c").endswith(t), F.expr(f"substring(c, 1, length(c) - {len(t)})")) for t in tails]
-    stems = free.withColumn("stem", F.explode(F.array_distinct(F.array_compact(F.array(*cut))))).where("length(stem) >= 4")
-    starts = F.transform(F.sequence(F.lit(1), F.length("stem") - 3), lambda n: F.substr(F.col("stem"), n))
-    tried = stems.withColumn("word", F.explode(starts))
-    hits = tried.join(words, "word").where("target <> table_name")
-    first = Window.partitionBy("table_name", "column_name").orderBy(F.length("word").desc(), "target")
-    return hits.withColumn("n", F.row_number().over(first)).where("n = 1").select("table_name", "column_name", "target")
+    return _embedded_rows(free, columns, tails).select("table_name", "column_name", "target")
+
+
+def copies_df(columns: DataFrame) -> DataFrame:
+    """table_name, column_name, likely_source: ``copied_columns`` as joins."""
+    kind = F.lower("data_type")
+    free = columns.where(kind.contains("char") | kind.contains("text") | kind.contains("string")).select("table_name", "column_name", F.lower("column_name").alias("c"))
+    telling = F.col("tail").isin("", "name", "title", "desc", "description")
+    for word in TEXT_WORDS:
+        telling = telling | F.col("c").contains(word)
+    hits = found_words(free, columns).where(telling)
+    best = F.min(F.struct((-F.length("word")).alias("shorter"), "turn", "target")).alias("x")
+    return hits.groupBy("table_name", "column_name").agg(best).select("table_name", "column_name", F.col("x.target").alias("likely_source"))
 
 
 def verify_link(spark: SparkSession, link: InferredLink) -> dict:

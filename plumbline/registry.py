@@ -246,6 +246,38 @@ def infer_fk(spark: SparkSession, d: str) -> DataFrame:
     return infer.embedded_links_df(_catalog(spark, d).columns_df())
 
 
+#: How often a word of the documents occurs that is taken for a table's name, in a million words.
+WORD_SHARE = 60
+_WORD_TAILS = ("id", "_id", "_sk", "", "name", "_nr")
+
+
+def word_catalog(docs: DataFrame) -> DataFrame:
+    """Columns of a catalog that the documents' words make up.
+
+    Frequent words are tables; of each, the words that follow it are columns,
+    with a tail and a type that their length gives, behind a key.
+    """
+    words = docs.select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    pairs = words.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))).alias("x")).select("x.*").groupBy("a", "b").agg(F.count("*").alias("n"))
+    total = pairs.agg(F.sum("n").alias("total"))
+    tables = pairs.groupBy("a").agg(F.sum("n").alias("n")).join(F.broadcast(total)).where((F.length("a").between(3, 12)) & (F.col("n") * 1_000_000 >= F.col("total") * WORD_SHARE)).select(F.col("a").alias("table_name"))
+    length = F.length("b")
+    tail = F.element_at(F.array(*map(F.lit, _WORD_TAILS)), length % len(_WORD_TAILS) + 1)
+    kind = F.element_at(F.array(F.lit("string"), F.lit("int"), F.lit("bigint")), length % 3 + 1)
+    free = pairs.where("b is not null").join(tables, F.col("a") == F.col("table_name")).select("table_name", F.concat("b", tail).alias("column_name"), kind.alias("data_type"), F.lit(False).alias("is_primary_key"))
+    keys = tables.select("table_name", F.concat("table_name", F.lit("key")).alias("column_name"), F.when(F.length("table_name") % 2 == 0, "int").otherwise("string").alias("data_type"), F.lit(True).alias("is_primary_key"))
+    whole = free.unionByName(keys).groupBy("table_name", "column_name").agg(F.max("data_type").alias("data_type"), F.max("is_primary_key").alias("is_primary_key"))
+    return whole.withColumns({"position": F.lit(1), "is_foreign_key": F.lit(False)})
+
+
+def infer_links(spark: SparkSession, d: str) -> DataFrame:
+    return infer.links_df(word_catalog(_t(spark, d, "documents")))
+
+
+def infer_copies(spark: SparkSession, d: str) -> DataFrame:
+    return infer.copies_df(word_catalog(_t(spark, d, "documents")))
+
+
 def name_quality(spark: SparkSession, d: str) -> DataFrame:
     made = _catalog(spark, d).columns_df().select("table_name", "column_name", reason_count_column(F.col("column_name")).cast("long").alias("reasons"))
     return made.where("reasons > 0")
@@ -358,6 +390,36 @@ _LINKED = (
     f"ON t.table_name <> c.table_name AND len(word) >= 4 AND contains(column_name, word) AND list_contains([{_TAILS}], substr(column_name, strpos(column_name, word) + len(word))) "
     f"WHERE (c.table_name, column_name) NOT IN ({_PKS}) AND (c.table_name, column_name) NOT IN ({_FKS}) GROUP BY ALL"
 )
+#: The catalog of words, and words with the tables they stand for.
+_WORDS = (
+    "text AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), "
+    "pairs AS MATERIALIZED (SELECT a, b, COUNT(*) AS n FROM (SELECT unnest(w) AS a, unnest(w[2:] || [NULL]) AS b FROM text) GROUP BY a, b), "
+    f"named AS MATERIALIZED (SELECT a AS table_name FROM pairs WHERE length(a) BETWEEN 3 AND 12 GROUP BY a HAVING SUM(n) * 1000000 >= (SELECT SUM(n) FROM pairs) * {WORD_SHARE}), "
+    "whole AS MATERIALIZED (SELECT table_name, column_name, lower(column_name) AS c, MAX(data_type) AS data_type, MAX(k) AS is_primary_key FROM ("
+    f"SELECT table_name, b || [{', '.join(repr(x) for x in _WORD_TAILS)}][length(b) % {len(_WORD_TAILS)} + 1] AS column_name, ['string', 'int', 'bigint'][length(b) % 3 + 1] AS data_type, false AS k FROM pairs JOIN named ON a = table_name WHERE b IS NOT NULL "
+    "UNION ALL SELECT table_name, table_name || 'key', CASE WHEN length(table_name) % 2 = 0 THEN 'int' ELSE 'string' END, true FROM named) GROUP BY ALL), "
+    "forms AS (SELECT table_name, table_name AS word, 0 AS kind FROM named UNION ALL SELECT table_name, regexp_replace(table_name, '(ies|es|s)$', CASE WHEN table_name LIKE '%ies' THEN 'y' ELSE '' END), 1 FROM named WHERE regexp_matches(table_name, '.(ies|es|s)$')), "
+    "words AS MATERIALIZED (SELECT word, arg_max(table_name, (table_name, kind)) AS target, min((table_name, kind)) AS turn FROM forms WHERE length(word) >= 4 GROUP BY word), "
+    "met AS MATERIALIZED (SELECT w.table_name, column_name, c, word, target, turn, c[strpos(c, word) + length(word):] AS tail, data_type, is_primary_key FROM whole w JOIN words ON contains(c, word) AND target <> w.table_name)"
+)
+_FORM_SQL = ", ".join(f"{{'form': {n}, 'pattern': '{name}', 'word': regexp_extract(c, '{form}', 1)}}" for n, (name, form) in enumerate(infer.FORMS))
+_LINKS_SQL = (
+    f"WITH {_WORDS}, embedded AS (SELECT table_name, column_name, arg_min(target, (-length(word), turn)) AS target, 'embedded_table_name' AS pattern, arg_min(word, (-length(word), turn)) AS word FROM met "
+    f"WHERE NOT is_primary_key AND tail IN ({_TAILS}) GROUP BY ALL), "
+    f"asked AS (SELECT table_name, column_name, unnest([{_FORM_SQL}], recursive := true) FROM whole WHERE NOT is_primary_key AND (table_name, column_name) NOT IN (SELECT table_name, column_name FROM embedded)), "
+    "tried AS (SELECT *, unnest([word, word || 's', word || 'es', word || 'ies', CASE WHEN word LIKE '%_ies' THEN word[:-4] || 'y' END, CASE WHEN word LIKE '%_es' THEN word[:-3] END, CASE WHEN word LIKE '%_s' THEN word[:-2] END, CASE WHEN word LIKE '%y' THEN word[:-2] || 'ies' END]) AS name, "
+    "unnest(range(8)) AS turn FROM asked WHERE length(word) >= 3), "
+    "formed AS (SELECT table_name, column_name, arg_min(target, form) AS target, arg_min(pattern, form) AS pattern, arg_min(word, form) AS word FROM ("
+    "SELECT t.table_name, column_name, form, pattern, word, arg_min(n.table_name, turn) AS target FROM tried t JOIN named n ON n.table_name = name GROUP BY ALL) WHERE target <> table_name GROUP BY table_name, column_name), "
+    "hits AS (SELECT * FROM embedded UNION ALL SELECT * FROM formed), "
+    "scored AS (SELECT h.*, k.column_name AS target_column, CASE WHEN w.data_type = k.data_type OR (contains(w.data_type, 'int') AND contains(k.data_type, 'int')) THEN 2 ELSE 0 END + CASE WHEN word = target THEN 2 WHEN word || 's' = target THEN 1 ELSE 0 END + ends_with(w.c, 'id')::INT AS score "
+    "FROM hits h JOIN whole w USING (table_name, column_name) JOIN whole k ON k.table_name = target AND k.is_primary_key) "
+    "SELECT table_name, column_name, target, target_column, pattern, CASE WHEN score >= 4 THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM scored"
+)
+_COPIES_SQL = (
+    f"WITH {_WORDS} SELECT table_name, column_name, arg_min(target, (-length(word), turn)) AS likely_source FROM met WHERE contains(data_type, 'string') AND (tail IN ('', 'name', 'title', 'desc', 'description') OR "
+    + " OR ".join(f"contains(c, '{x}')" for x in infer.TEXT_WORDS) + ") GROUP BY ALL"
+)
 _REASONS = " + ".join(
     [
         "(len(column_name) <= 3)::INT", "(len(column_name) > 1 AND upper(column_name) = column_name AND regexp_matches(column_name, '[A-Z]'))::INT", "regexp_matches(column_name, '[0-9]$')::INT",
@@ -395,6 +457,8 @@ BUILT: dict[str, tuple[Query, str | None]] = {
     ),
     "fan_trap_hints": (fan_trap_hints, f"SELECT t AS table_name, COUNT(*) AS n FROM (VALUES {_FKS}) k(t, c) GROUP BY t HAVING COUNT(*) > 1"),
     "infer_fk": (infer_fk, _LINKED),
+    "infer_links": (infer_links, _LINKS_SQL),
+    "infer_copies": (infer_copies, _COPIES_SQL),
     "xsd_types": (xsd_types, f"SELECT DISTINCT data_type, CASE WHEN data_type IN ('int', 'bigint') THEN 'integer' WHEN data_type = 'timestamp_ntz' THEN 'dateTime' WHEN data_type = 'array<float>' THEN 'float' ELSE data_type END AS xsd, xsd AS r2rml_xsd FROM ({_COLS})"),
     "guard_verdicts": (guard_verdicts, _added_sql("COUNT(CASE WHEN {c} THEN 1 END) < COUNT(*)")),
     "checker_verdicts": (checker_verdicts, "SELECT * FROM (VALUES " + ", ".join(f"({n}::BIGINT, {', '.join(map(_bool, x))})" for n, (_, *x) in enumerate(CHECKED)) + ") t(statement, is_valid, fan_trap, finding)"),
