@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions.calendar import month_order, quarter_order
 from .functions.naming import BEGINNINGS, ENDINGS, clean_name_column, measure_label_column, reason_count_column
 from .functions.types import xsd_column
-from .operators import charts, facts, infer, r2rml, rdf
+from .operators import charts, facts, infer, r2rml, rdf, triples
 from .plans import guard
 from .sources.catalog import STAR_KEYS, STAR_LINKS, STAR_TABLES, Catalog, load_parquet, read_parquet
 
@@ -234,6 +234,41 @@ def r2rml_apply(spark: SparkSession, d: str) -> DataFrame:
     return r2rml.apply(catalog.table("nation"), spark.table("nation"), "http://example.com/")
 
 
+_MAPPED = "http://example.com/"
+
+
+def _all_triples(spark: SparkSession, d: str) -> DataFrame:
+    """Triples of all rows of all tables, by a mapping that is written and read back."""
+    text = r2rml.document(load_parquet(spark, d).analyse(), _MAPPED, references=True)
+
+    def read(m: r2rml.Mapping) -> DataFrame:
+        verdict = guard.inspect(spark, m.query)
+        if verdict.frame is None:
+            raise ValueError(verdict.error)
+        return verdict.frame
+
+    return r2rml.triples_of(r2rml.mappings(text), read)
+
+
+def _by_predicate(made: DataFrame) -> DataFrame:
+    """Per predicate and type: triples, different subjects and objects, and the least subject."""
+    pairs = made.groupBy("predicate", "object_kind", "datatype", "subject", F.xxhash64("object").alias("o")).agg(F.count("*").alias("n"))
+    by = ["predicate", "object_kind", "datatype"]
+    subjects = pairs.groupBy(*by, "subject").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("subjects"), F.min("subject").alias("first"))
+    objects = pairs.groupBy(*by, "o").agg(F.lit(1)).groupBy(*by).agg(F.count("*").alias("objects"))
+    same = [subjects[c].eqNullSafe(objects[c]) for c in by]
+    return subjects.join(objects, same).select(*(subjects[c] for c in by), "n", "subjects", "first", "objects")
+
+
+def r2rml_all(spark: SparkSession, d: str) -> DataFrame:
+    return _by_predicate(_all_triples(spark, d))
+
+
+def ntriples_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The same triples, once they have been N-Triples lines."""
+    return _by_predicate(triples.from_ntriples(triples.ntriples(_all_triples(spark, d))))
+
+
 def _catalog(spark: SparkSession, d: str) -> Catalog:
     return load_parquet(spark, d)
 
@@ -420,6 +455,39 @@ _COPIES_SQL = (
     f"WITH {_WORDS} SELECT table_name, column_name, arg_min(target, (-length(word), turn)) AS likely_source FROM met WHERE contains(data_type, 'string') AND (tail IN ('', 'name', 'title', 'desc', 'description') OR "
     + " OR ".join(f"contains(c, '{x}')" for x in infer.TEXT_WORDS) + ") GROUP BY ALL"
 )
+def _triples_sql(plain_strings: bool) -> str:
+    """Triples of all tables, in DuckDB; in N-Triples a string's type goes without saying."""
+    out = []
+    for t in STAR_TABLES:
+        key = STAR_KEYS.get(t) or ({"lineitem": ("l_orderkey",)}[t])
+        subject = f"'{_MAPPED}{t}/' || " + " || '-' || ".join(f"e.{k}" for k in key)
+        out.append(f"SELECT {subject} AS subject, '{rdf.RDF}type' AS predicate, '{_MAPPED}{t.capitalize()}' AS object, 'iri' AS object_kind, NULL AS datatype FROM {t} e")
+        for _, column, other, k in [x for x in STAR_LINKS if x[0] == t]:
+            out.append(f"SELECT {subject}, '{_MAPPED}{column}', '{_MAPPED}{other}/' || o.{k}, 'iri', NULL FROM {t} e JOIN {other} o ON e.{column} = o.{k}")
+        for column, kind in _COLUMN_TYPES[t].items():
+            if (t, column) not in {x[:2] for x in STAR_LINKS}:
+                datatype = "NULL" if plain_strings and kind == "string" else f"'{rdf.XSD}{kind}'"
+                out.append(f"SELECT {subject}, '{_MAPPED}{column}', e.{column}::VARCHAR, 'literal', {datatype} FROM {t} e WHERE e.{column} IS NOT NULL")
+    return f"SELECT predicate, object_kind, datatype, COUNT(*) AS n, COUNT(DISTINCT subject) AS subjects, MIN(subject) AS first, COUNT(DISTINCT object) AS objects FROM ({' UNION ALL '.join(out)}) GROUP BY ALL"
+
+
+#: The columns of the test tables and their types.
+_COLUMN_TYPES = {
+    "region": {"r_regionkey": "integer", "r_name": "string"},
+    "nation": {"n_nationkey": "integer", "n_name": "string", "n_regionkey": "integer"},
+    "customer": {"c_custkey": "integer", "c_name": "string", "c_nationkey": "integer", "c_acctbal": "double", "c_mktsegment": "string"},
+    "supplier": {"s_suppkey": "integer", "s_name": "string", "s_nationkey": "integer", "s_acctbal": "double"},
+    "part": {"p_partkey": "integer", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "integer", "p_retailprice": "double"},
+    "orders": {"o_orderkey": "integer", "o_custkey": "integer", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "dateTime", "o_orderpriority": "string"},
+    "lineitem": {"l_orderkey": "integer", "l_partkey": "integer", "l_suppkey": "integer", "l_linenumber": "integer", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "dateTime"},
+    "events": {"event_id": "integer", "ts": "dateTime", "user_id": "integer", "event_type": "string", "value": "double", "props": "string"},
+    "documents": {"doc_id": "integer", "text": "string", "lang": "string", "source": "string", "n_chars": "integer"},
+    "embeddings": {"vec_id": "integer", "embedding": "float", "label": "integer"},
+    "pages": {"page_id": "integer", "url": "string", "html": "string"},
+    "benchmark": {"item_id": "integer", "text": "string"},
+    "labels": {"doc_id": "integer", "quality": "integer", "toxic": "integer"},
+    "conversations": {"conv_id": "integer", "turn": "integer", "role": "string", "text": "string"},
+}
 _REASONS = " + ".join(
     [
         "(len(column_name) <= 3)::INT", "(len(column_name) > 1 AND upper(column_name) = column_name AND regexp_matches(column_name, '[A-Z]'))::INT", "regexp_matches(column_name, '[0-9]$')::INT",
@@ -455,6 +523,8 @@ BUILT: dict[str, tuple[Query, str | None]] = {
         f"SELECT subject, 'http://example.com/n_name', n_name, 'literal', '{rdf.XSD}string' FROM s UNION ALL "
         "SELECT subject, 'http://example.com/n_regionkey', 'http://example.com/region/' || n_regionkey, 'iri', NULL FROM s",
     ),
+    "r2rml_all": (r2rml_all, _triples_sql(False)),
+    "ntriples_round_trip": (ntriples_round_trip, _triples_sql(True)),
     "fan_trap_hints": (fan_trap_hints, f"SELECT t AS table_name, COUNT(*) AS n FROM (VALUES {_FKS}) k(t, c) GROUP BY t HAVING COUNT(*) > 1"),
     "infer_fk": (infer_fk, _LINKED),
     "infer_links": (infer_links, _LINKS_SQL),

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from plumbline.operators import charts, rdf
+from plumbline.operators import charts, rdf, triples
 from plumbline.session import Session, clamp_limit, clamp_sample
 from plumbline.sources import connections
 from plumbline.sources.catalog import Catalog
@@ -119,7 +119,7 @@ def test_enrichment(session):
     assert said[n.table("nation"), f"{rdfs}label"] == "Country" and said[n.table("nation"), f"{rdfs}comment"] == "A state"
     assert said[n.column("nation", "n_name"), f"{rdfs}label"] == "Country name" and said[n.link("nation", "region"), f"{rdfs}comment"] == "lies in"
     assert sum(s == n.table("nation") and p == f"{rdfs}label" for s, p, *_ in session.triples) == 1
-    lines = [r.value for r in rdf.ntriples(session.triples_df()).collect()]
+    lines = [r.value for r in triples.ntriples(session.triples_df()).collect()]
     assert len(lines) == len(session.triples) and f'<{n.table("nation")}> <{rdfs}label> "Country" .' in {x.split("^^")[0].removesuffix(" .") + " ." for x in lines}
     assert session.enrich_ontology()["success"]
 
