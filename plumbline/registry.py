@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from .functions.calendar import month_order, quarter_order
 from .functions.naming import BEGINNINGS, ENDINGS, clean_name_column, measure_label_column, reason_count_column
-from .functions.types import xsd_column
-from .operators import charts, facts, infer, r2rml, rdf, triples
+from .functions.types import QUANTITY, xsd_column
+from .operators import charts, facts, fanout, infer, r2rml, ranks, rdf, triples
 from .plans import guard
+from .sources import footers
 from .sources.catalog import STAR_KEYS, STAR_LINKS, STAR_TABLES, Catalog, load_parquet, read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,7 +70,6 @@ SQL: dict[str, str] = {
     # windows
     "win_partition_sum": "SELECT o_orderkey, o_custkey, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS customer_total FROM orders",
     "win_row_number": "SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS rn FROM orders) t WHERE rn <= 3",
-    "win_rank": "SELECT c_custkey, CAST(RANK() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS rnk, CAST(NTILE(4) OVER (ORDER BY c_acctbal, c_custkey) AS BIGINT) AS quartile FROM customer",
     "win_running_total": "SELECT o_custkey, o_orderkey, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running FROM orders",
     "win_first_last": "SELECT o_custkey, o_orderkey, FIRST_VALUE(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS first_price, LAST_VALUE(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_price, ROUND(PERCENT_RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 6) AS share FROM orders",
     "win_lead_dense": "SELECT o_custkey, o_orderkey, COALESCE(LEAD(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), -1) AS next_order, CAST(DENSE_RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS priority_rank FROM orders",
@@ -234,6 +234,32 @@ def r2rml_apply(spark: SparkSession, d: str) -> DataFrame:
     return r2rml.apply(catalog.table("nation"), spark.table("nation"), "http://example.com/")
 
 
+def footer_profile(spark: SparkSession, d: str) -> DataFrame:
+    return footers.profile(spark, {t: f"{d}/{t}.parquet" for t in STAR_TABLES}).where("nulls is not null")
+
+
+def fan_out_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and multiplicity along every path of the declared links."""
+    return fanout.measure(spark, load_parquet(spark, d).analyse(), lambda t: _t(spark, d, t))
+
+
+def fan_trap_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Tables that repeat each other's rows when joined through an ancestor of both."""
+    return fanout.traps(fan_out_paths(spark, d))
+
+
+def win_rank(spark: SparkSession, d: str) -> DataFrame:
+    """A rank within nations, and quartiles of all customers without one task that holds them."""
+    made = ranks.ntile_rows(_t(spark, d, "customer"), ["c_acctbal", "c_custkey"], 4, "quartile")
+    return made.select("c_custkey", F.rank().over(Window.partitionBy("c_nationkey").orderBy("c_mktsegment")).cast("long").alias("rnk"), "quartile")
+
+
+def win_global_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks of all orders by their day, many to a day; buckets of 1000 days' keys, so that several are needed even here."""
+    made = ranks.rank_rows(_t(spark, d, "orders"), ["o_orderdate"], bucket_rows=1000)
+    return made.select("o_orderkey", "rank", "dense_rank", F.round("percent_rank", 9).alias("percent_rank"), F.round("cume_dist", 9).alias("cume_dist"))
+
+
 _MAPPED = "http://example.com/"
 
 
@@ -488,6 +514,19 @@ _COLUMN_TYPES = {
     "labels": {"doc_id": "integer", "quality": "integer", "toxic": "integer"},
     "conversations": {"conv_id": "integer", "turn": "integer", "role": "string", "text": "string"},
 }
+_EXACT = ("integer", "double")
+_FOOTER_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) AS rows, COUNT(*) - COUNT({c}) AS nulls, " + ", ".join(f"{f}({c})::VARCHAR AS {n}" if k in _EXACT else f"NULL AS {n}" for f, n in (("MIN", "least"), ("MAX", "most"))) + f" FROM {t}"
+    for t, columns in _COLUMN_TYPES.items() for c, k in columns.items() if k != "float"
+)
+#: Rows of each path up the links: by the key they reach, one hop more in each turn.
+_FAN_OUT = (
+    "links AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT '{t}' AS child, '{o}' AS parent, {('e.' + STAR_KEYS[t][0]) if len(STAR_KEYS.get(t, ())) == 1 else 'NULL'}::BIGINT AS own, e.{c}::BIGINT AS key FROM {t} e" for t, c, o, _ in STAR_LINKS) + "), "
+    "up AS (SELECT child AS descendant, parent AS ancestor, [child, parent] AS path, key, COUNT(*) AS n FROM links GROUP BY ALL "
+    "UNION ALL SELECT descendant, parent, list_append(path, parent), l.key, n FROM up JOIN links l ON l.child = ancestor AND l.own = up.key WHERE NOT list_contains(path, parent)), "
+    "reached AS (SELECT descendant, ancestor, path, key, SUM(n) AS n FROM up WHERE key IS NOT NULL GROUP BY ALL), "
+    "fan AS (SELECT descendant, ancestor, array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INTEGER) AS hops, COUNT(*) AS keys, SUM(n)::BIGINT AS rows, MAX(n)::BIGINT AS most FROM reached GROUP BY ALL)"
+)
 _REASONS = " + ".join(
     [
         "(len(column_name) <= 3)::INT", "(len(column_name) > 1 AND upper(column_name) = column_name AND regexp_matches(column_name, '[A-Z]'))::INT", "regexp_matches(column_name, '[0-9]$')::INT",
@@ -495,6 +534,20 @@ _REASONS = " + ".join(
         *(f"ends_with(lower(column_name), '_{x}')::INT" for x in ENDINGS), *(f"starts_with(lower(column_name), '{x}_')::INT" for x in BEGINNINGS),
     ]
 )
+_OVERRIDES = f"SELECT table_name, column_name, data_type AS sql_type FROM ({_COLS}) WHERE regexp_matches(lower(column_name), '{'|'.join(QUANTITY)}') AND regexp_matches(data_type, 'float|double|decimal|numeric|real')"
+#: Triples of each predicate, from the numbers of tables, columns, keys and links, declared and found.
+_FACTS = (
+    (f"{rdf.RDF}type", "1 + t + c + 2 * l"), (f"{rdf.RDFS}label", "1 + t + c + 2 * l"), (f"{rdf.RDFS}comment", "1"), (f"{rdf.RDFS}domain", "c + 2 * l"), (f"{rdf.RDFS}range", "c + 2 * l"), (f"{rdf.OWL}inverseOf", "l"),
+    *((f"{rdf.DEFAULT_BASE}db/{x}", n) for x, n in (
+        ("tableName", "t + c"), ("schemaName", "t"), ("primaryKey", "k"), ("columnName", "c"), ("sqlDataType", "c"), ("isNullable", "c"), ("isPrimaryKey", "c"), ("isForeignKey", "c"), ("sqlReference", "c"), ("typeOverrideReason", "o"),
+        ("foreignKeyColumn", "l"), ("referencedTable", "l"), ("referencedColumn", "l"), ("sqlJoinCondition", "l"), ("relationshipType", "2 * l"), ("isInferredRelationship", "2 * i"), ("inferenceConfidence", "i"), ("inferencePattern", "i"),
+    )),
+)
+_ONTOLOGY = (
+    f"WITH m AS (SELECT (SELECT COUNT(DISTINCT table_name) FROM ({_COLS})) AS t, (SELECT COUNT(*) FROM ({_COLS})) AS c, (SELECT COUNT(*) FROM ({_COLS}) WHERE (table_name, column_name) IN ({_PKS})) AS k, "
+    f"(SELECT COUNT(*) FROM ({_LINKED})) AS i, (SELECT COUNT(*) FROM ({_COLS}) WHERE (table_name, column_name) IN ({_FKS})) AS f, (SELECT COUNT(*) FROM ({_OVERRIDES})) AS o), n AS (SELECT *, f + i AS l FROM m) "
+    + " UNION ALL ".join(f"SELECT '{p}' AS predicate, {x} AS n FROM n" for p, x in _FACTS)
+)
 _bool = lambda x: "NULL" if x is None else str(x) if isinstance(x, bool) else f"'{x}'"
 
 BUILT: dict[str, tuple[Query, str | None]] = {
@@ -523,6 +576,18 @@ BUILT: dict[str, tuple[Query, str | None]] = {
         f"SELECT subject, 'http://example.com/n_name', n_name, 'literal', '{rdf.XSD}string' FROM s UNION ALL "
         "SELECT subject, 'http://example.com/n_regionkey', 'http://example.com/region/' || n_regionkey, 'iri', NULL FROM s",
     ),
+    "footer_profile": (footer_profile, _FOOTER_SQL),
+    "fan_out_paths": (fan_out_paths, f"WITH RECURSIVE {_FAN_OUT} SELECT * FROM fan"),
+    "fan_trap_pairs": (
+        fan_trap_pairs,
+        f'WITH RECURSIVE {_FAN_OUT} SELECT a.descendant AS "left", b.descendant AS "right", a.ancestor, MAX(b.most) AS left_factor, MAX(a.most) AS right_factor FROM fan a JOIN fan b ON a.ancestor = b.ancestor AND a.descendant < b.descendant '
+        "WHERE a.most > 1 AND b.most > 1 AND NOT list_contains(string_split(a.path, '>'), b.descendant) AND NOT list_contains(string_split(b.path, '>'), a.descendant) GROUP BY ALL",
+    ),
+    "win_rank": (win_rank, "SELECT c_custkey, CAST(RANK() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS rnk, CAST(NTILE(4) OVER (ORDER BY c_acctbal, c_custkey) AS BIGINT) AS quartile FROM customer"),
+    "win_global_ranks": (
+        win_global_ranks,
+        "SELECT o_orderkey, RANK() OVER (ORDER BY o_orderdate) AS rank, DENSE_RANK() OVER (ORDER BY o_orderdate) AS dense_rank, ROUND(PERCENT_RANK() OVER (ORDER BY o_orderdate), 9) AS percent_rank, ROUND(CUME_DIST() OVER (ORDER BY o_orderdate), 9) AS cume_dist FROM orders",
+    ),
     "r2rml_all": (r2rml_all, _triples_sql(False)),
     "ntriples_round_trip": (ntriples_round_trip, _triples_sql(True)),
     "fan_trap_hints": (fan_trap_hints, f"SELECT t AS table_name, COUNT(*) AS n FROM (VALUES {_FKS}) k(t, c) GROUP BY t HAVING COUNT(*) > 1"),
@@ -534,11 +599,11 @@ BUILT: dict[str, tuple[Query, str | None]] = {
     "checker_verdicts": (checker_verdicts, "SELECT * FROM (VALUES " + ", ".join(f"({n}::BIGINT, {', '.join(map(_bool, x))})" for n, (_, *x) in enumerate(CHECKED)) + ") t(statement, is_valid, fan_trap, finding)"),
     "event_windows": (event_windows, "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, COUNT(*) AS n, ROUND(SUM(value), 2) AS value FROM events GROUP BY 1, 2"),
     "ontology_counts": (ontology_counts, f"SELECT 'Ontology' AS kind, 1::BIGINT AS n UNION ALL SELECT 'Class', COUNT(DISTINCT table_name) FROM ({_COLS}) UNION ALL SELECT 'DatatypeProperty', COUNT(*) FROM ({_COLS}) UNION ALL SELECT 'ObjectProperty', 2 * ((SELECT COUNT(*) FROM (VALUES {_FKS})) + (SELECT COUNT(*) FROM ({_LINKED})))"),
-    "type_overrides": (type_overrides, "SELECT * FROM (VALUES ('lineitem', 'l_quantity', 'double'), ('lineitem', 'l_discount', 'double')) t(table_name, column_name, sql_type)"),
+    "type_overrides": (type_overrides, _OVERRIDES),
     "information_schema": (information_schema, " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS columns FROM (DESCRIBE {t})" for t in STAR_TABLES)),
     "catalog_columns": (catalog_columns, f"SELECT table_name, column_name, data_type, (table_name, column_name) IN ({_PKS}) AS is_primary_key, (table_name, column_name) IN ({_FKS}) AS is_foreign_key FROM ({_COLS})"),
     "name_quality": (name_quality, f"SELECT table_name, column_name, ({_REASONS})::BIGINT AS reasons FROM ({_COLS}) WHERE ({_REASONS}) > 0"),
-    "ontology_triples": (ontology_triples, None),
+    "ontology_triples": (ontology_triples, _ONTOLOGY),
 }
 
 
