@@ -56,11 +56,26 @@ def with_totals(grouped: DataFrame, x: str, y: str) -> DataFrame:
     return grouped.join(ranked, x)
 
 
-def cross_tab(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Counts of each (y, x) pair in long form, 0 where there is none."""
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("n"))
-    pairs = cells.select(x).distinct().crossJoin(cells.select(y).distinct())
-    return pairs.join(cells, [x, y], "left").select(x, y, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+#: Cells that a cross table may have, empty ones included.
+MOST_CELLS = 1_000_000
+
+
+def cross_tab(df: DataFrame, x: str, y: str, cap: int = MOST_CELLS) -> DataFrame:
+    """Counts of each (y, x) pair in long form, 0 where there is none.
+
+    The axes are counted first; a table of more than ``cap`` cells raises.
+    """
+    a, b = F.col(f"`{x}`"), F.col(f"`{y}`")
+    cells = df.where(a.isNotNull() & b.isNotNull()).groupBy(a.alias(x), b.alias(y)).agg(F.count("*").alias("n"))
+    wide = cells.agg(F.count_distinct(a).alias("xs"), F.count_distinct(b).alias("ys")).first()
+    if wide.xs * wide.ys > cap:
+        raise ValueError(f"{wide.xs} by {wide.ys} cells; aggregate first")
+    axis = sorted(r[0] for r in cells.select(b).distinct().collect())  # at most cap values
+    if not axis:
+        return cells
+    there = F.filter(F.array(*map(F.lit, axis)), lambda v: ~F.array_contains(F.col("__ys"), v))
+    empty = cells.groupBy(a.alias(x)).agg(F.collect_set(b).alias("__ys")).select(a.alias(x), F.explode(there).alias(y), F.lit(0).cast("long").alias("n"))
+    return cells.unionByName(empty)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

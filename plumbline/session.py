@@ -6,11 +6,16 @@ import glob
 import json
 import logging
 import os
+import threading
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 from datetime import datetime
 from decimal import Decimal
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +30,8 @@ from .sources.catalog import STAR_TABLES, Catalog, load_parquet
 
 log = logging.getLogger(__name__)
 
-#: Limits of rows.
+#: Seconds that a query may take, and limits of rows.
+QUERY_SECONDS = 60.0
 TOOL_ROWS, MOST_ROWS, LEAST_CLAMP = 10_000, 5_000, 100
 SAMPLE_DEFAULT, SAMPLE_TOOL_MOST, SAMPLE_MOST = 10, 100, 1_000
 #: What to try on Spark's analysis errors.
@@ -70,6 +76,43 @@ def failure(message: str, error_type: str, details: str | None = None) -> dict:
     return {"success": False, "error": message, "error_type": error_type, "details": details}
 
 
+@dataclass
+class TimeLimit:
+    passed: bool = False
+
+
+@contextmanager
+def time_limit(spark: SparkSession, seconds: float | None, tag: str) -> Iterator[TimeLimit]:
+    """End the jobs that this thread starts inside, once they have taken so long; they run in a pool of the tag's name.
+
+    A query is several jobs, and some may start after the first have been ended,
+    so they are ended again until the thread is out.
+    """
+    context, out, over = spark.sparkContext, TimeLimit(), threading.Event()
+
+    def watch() -> None:
+        if not over.wait(seconds):
+            out.passed = True
+            while not over.is_set():
+                context.cancelJobsWithTag(tag)
+                over.wait(0.2)
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    pool = context.getLocalProperty("spark.scheduler.pool")
+    context.addJobTag(tag)
+    context.setLocalProperty("spark.scheduler.pool", tag)
+    if seconds is not None:
+        watcher.start()
+    try:
+        yield out
+    finally:
+        over.set()
+        context.removeJobTag(tag)
+        context.setLocalProperty("spark.scheduler.pool", pool)
+        if seconds is not None:
+            watcher.join()
+
+
 class Session:
     def __init__(self, spark: SparkSession, output_dir: str = ".", base_uri: str = rdf.DEFAULT_BASE, r2rml_base: str = "http://example.com/"):
         self.spark, self.output_dir, self.r2rml_base = spark.newSession(), output_dir, r2rml_base
@@ -321,8 +364,11 @@ class Session:
             out["suggestions"] += [hint for code, hint in HINTS.items() if (e.getCondition() or "").startswith(code)]
         return out | {"next_tool": "execute_sql_query" if out["is_valid"] else "validate_sql_syntax"}
 
-    def execute_sql_query(self, sql_query: str, limit: int = 1000, checklist_completed: bool | str = False, strict: bool = True) -> dict:
-        """Rows of one safe query, at most ``limit``; ``strict`` refuses what the semantic check finds wrong."""
+    def execute_sql_query(self, sql_query: str, limit: int = 1000, checklist_completed: bool | str = False, strict: bool = True, timeout: float | None = QUERY_SECONDS) -> dict:
+        """Rows of one safe query, at most ``limit``; ``strict`` refuses what the semantic check finds wrong.
+
+        After ``timeout`` seconds its jobs are ended.
+        """
         #: The keys of a result.
         out = {"success": False, "data": [], "columns": [], "schema": [], "row_count": 0, "execution_time_ms": 0.0, "error": None, "error_type": None, "warnings": [], "query_plan": None, "limit_applied": False}
         if not 1 <= limit <= TOOL_ROWS:
@@ -337,15 +383,17 @@ class Session:
             out["warnings"] += [f"[OBQC] {i.message}" for i in report.issues]
             if strict and not report.valid:
                 return out | {"error": next(i.message for i in report.issues if i.severity == "error"), "error_type": "obqc_error"}
-        begun, n = time.monotonic(), clamp_limit(limit)
+        begun, n, limit_ = time.monotonic(), clamp_limit(limit), TimeLimit()
         log.info("query: %s", redact_log(sql_query))
         try:
             self.last = verdict.frame or self.spark.sql(sql_query)
             written = _limit_of(verdict.plan)
             capped = written is None or written > n
-            rows = self.last.limit(n + 1).collect() if capped else self.last.collect()
-        except PySparkException as e:
-            return out | {"error": _first(e), "error_type": "execution_error"}
+            with time_limit(self.spark, timeout, f"plumbline-{self.session_id}") as limit_:
+                rows = self.last.limit(n + 1).collect() if capped else self.last.collect()
+        except (PySparkException, Py4JJavaError) as e:
+            why = f"the query took more than {timeout:g} s" if limit_.passed else _first(e)
+            return out | {"error": why, "error_type": "execution_error", "execution_time_ms": 1000 * (time.monotonic() - begun)}
         if len(rows) > n:
             rows = rows[:n]
             out["warnings"].append(f"only the first {n} rows are shown")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import threading
 import time
 from collections.abc import Iterable
@@ -13,6 +14,12 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..functions.naming import quote
+from ..plans.walker import name_parts
+from .footers import row_counts
+
+log = logging.getLogger(__name__)
+
 SYSTEM_SCHEMAS = {"information_schema", "pg_catalog", "pg_toast", "sys", "system", "INFORMATION_SCHEMA"}
 
 COLUMNS = "table_schema string, table_name string, column_name string, position int, data_type string, is_nullable boolean, is_primary_key boolean, is_foreign_key boolean, foreign_key_table string, foreign_key_column string, comment string"
@@ -67,6 +74,7 @@ class Catalog:
         self._fk: dict[str, list[ForeignKey]] = {}
         self._fixed: dict[str, TableMeta] = {}
         self._kept: dict[tuple[str, str], tuple[float, TableMeta]] = {}
+        self.paths: dict[str, str] = {}  # of tables that stand for Parquet files
         self._lock = threading.Lock()
 
     # -- declared keys
@@ -101,12 +109,26 @@ class Catalog:
         return sorted({t.name for t in held if (t.isTemporary or t.tableType != "VIEW") and not t.name.startswith("information_schema_")})
 
     def containers(self, depth: int = 3) -> list[str]:
-        """Catalogs and their databases as dotted paths."""
-        found = {c.name for c in self.spark.catalog.listCatalogs()}
-        if depth > 1:
-            found |= {f"{d.catalog}.{d.name}" for d in self.spark.catalog.listDatabases()}
+        """Catalogs and the namespaces in them as dotted paths, breadth first, ``depth`` levels; one that cannot be read counts as empty."""
+        level, found = [()], []
+        for _ in range(depth):
+            below = []
+            for path in level:
+                try:
+                    below += [(*path, name) for name in self._below(path)]
+                except Exception as e:  # noqa: BLE001  one broken container must not hide the others
+                    log.warning("cannot list %s: %s", ".".join(path), str(e).splitlines()[:1])
+            level = [p for p in below if p[-1] not in SYSTEM_SCHEMAS]
+            found += [".".join(p) for p in level]
         return sorted(found)
 
+    def _below(self, path: tuple[str, ...]) -> list[str]:
+        """Names right below a container; of no container, the catalogs."""
+        if not path:
+            return [c.name for c in self.spark.catalog.listCatalogs()]
+        rows = self.spark.sql(f"SHOW NAMESPACES IN {quote('.'.join(path))}").collect()
+        return [name_parts(self.spark, r[0])[-1] for r in rows]
+
     # -- analysis
 
     def table(self, name: str, schema: str | None = None, count: bool = False) -> TableMeta | None:
@@ -139,12 +161,19 @@ class Catalog:
         return any(t.name == name and t.isTemporary for t in self.spark.catalog.listTables())
 
     def analyse(self, schema: str | None = None, workers: int = 5, count: bool = False) -> list[TableMeta]:
-        """All tables; those that cannot be read are skipped."""
+        """All tables; those that cannot be read are skipped.
+
+        Rows of Parquet files are counted for all in one job, by their footers.
+        """
         names = self.tables(schema)
+        held = row_counts(self.spark, {n: self.paths[n] for n in names if n in self.paths}) if count else {}
 
         def one(name: str) -> TableMeta | None:
             try:
-                return self.table(name, schema, count)
+                meta = self.table(name, schema, count and name not in held)
+                if meta and name in held:
+                    meta.row_count = held[name]
+                return meta
             except Exception:  # noqa: BLE001  one broken table must not hide the others
                 return None
 
@@ -239,6 +268,7 @@ def load_parquet(spark: SparkSession, folder: str, tables: Iterable[str] = STAR_
     for name in tables:
         read_parquet(spark, f"{folder}/{name}.parquet").createOrReplaceTempView(name)
     out = Catalog(spark)
+    out.paths = {name: f"{folder}/{name}.parquet" for name in tables}
     for name in tables:
         if name in STAR_KEYS:
             out.declare_pk(name, *STAR_KEYS[name])

@@ -163,3 +163,36 @@ def test_heatmap_counts_every_value(spark):
     few = spark.createDataFrame([("p", 1), ("p", 1), ("q", 2), (None, 3), ("r", None)], "a string, b int")
     assert sorted(map(tuple, charts.cross_tab(few, "a", "b").collect())) == [("p", 1, 2), ("p", 2, 0), ("q", 1, 0), ("q", 2, 1)]
     assert charts.cross_tab(few.limit(0), "a", "b").collect() == []
+
+
+def test_a_long_query_is_ended(session, spark):
+    session.spark.range(0, 10**13, 1, 8).createOrReplaceTempView("endless")
+    made = session.execute_sql_query("SELECT SUM(id * 3 % 7) AS s FROM endless", checklist_completed=True, strict=False, timeout=1.5)
+    assert made["error_type"] == "execution_error" and "more than 1.5 s" in made["error"] and 1_000 < made["execution_time_ms"] < 30_000
+    tracker = spark.sparkContext.statusTracker()
+    assert not tracker.getActiveJobsIds()
+    again = session.execute_sql_query("SELECT COUNT(*) AS n FROM customer", checklist_completed=True, timeout=60)
+    assert again["data"] == [{"n": 150}] and spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+    session.spark.catalog.dropTempView("endless")
+
+
+def test_nested_containers(spark, monkeypatch):
+    catalog = Catalog(spark)
+    tree = {(): ["lake"], ("lake",): ["eu", "us"], ("lake", "eu"): ["north"], ("lake", "eu", "north"): ["oslo"], ("lake", "us"): RuntimeError("no right")}
+
+    def below(path):
+        found = tree.get(path, [])
+        if isinstance(found, Exception):
+            raise found
+        return found
+
+    monkeypatch.setattr(catalog, "_below", below)
+    assert catalog.containers() == ["lake", "lake.eu", "lake.eu.north", "lake.us"]
+    assert catalog.containers(1) == ["lake"] and catalog.containers(9)[-2:] == ["lake.eu.north.oslo", "lake.us"]
+    assert {"spark_catalog", "spark_catalog.default"} <= set(Catalog(spark).containers())
+
+
+def test_rows_of_all_tables_by_their_footers(session):
+    made = session.analyze_schema(count=True)
+    counts = {t["name"]: t["row_count"] for t in made["tables"]}
+    assert counts["lineitem"] == session.spark.table("lineitem").count() and counts["region"] == 5 and None not in counts.values()
