@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 
-DIRECTIONS, CONFIDENCE, LEAF, FIRST_LEAVES, SEED = 16, 0.92, 64, 4, 5
+DIRECTIONS, CONFIDENCE, LEAF, FIRST_LEAVES, SEED = 32, 0.85, 64, 4, 5
 
 
 def chi_square_quantile(p: float, freedom: int) -> float:
