@@ -380,6 +380,43 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return made.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("value", 2).alias("value"))
 
 
+def event_windows_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same totals from a stream of the table's files, in micro-batches with state, until all is read."""
+    from .sources import scratch
+    from .streaming import event_stream, latest_totals, running_totals
+
+    out = scratch.folder(spark, "windows")
+    events = _t(spark, d, "events")
+    running_totals(event_stream(spark, f"{d}/events.parquet*", schema=events.schema), f"{out}/totals", f"{out}/checkpoint").awaitTermination()
+    made = latest_totals(spark, f"{out}/totals")
+    return made.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("value", 2).alias("value"))
+
+
+#: Sums over joins of the star: the statement, its total, and that of the measure's own table.
+SUMMED = (
+    ("SELECT SUM(o_totalprice) AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey", "SELECT SUM(o_totalprice) FROM orders"),
+    ("SELECT SUM(l_quantity) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey", "SELECT SUM(l_quantity) FROM lineitem"),
+    ("SELECT SUM(o_totalprice) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey", "SELECT SUM(o_totalprice) FROM orders"),
+    ("SELECT SUM(c_acctbal) AS total FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey", "SELECT SUM(c_acctbal) FROM customer"),
+    ("SELECT SUM(s_acctbal) AS total FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey", "SELECT SUM(s_acctbal) FROM supplier"),
+    ("SELECT SUM(p_retailprice) AS total FROM part JOIN lineitem ON l_partkey = p_partkey", "SELECT SUM(p_retailprice) FROM part"),
+    ("SELECT SUM(c_acctbal) AS total FROM customer LEFT JOIN (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey", "SELECT SUM(c_acctbal) FROM customer"),
+)
+
+
+def checker_fan_traps(spark: SparkSession, d: str) -> DataFrame:
+    """What the checker says of joined sums, beside the totals that the data give with and without the join."""
+    from .plans.check import Checker
+
+    checker, out = Checker(spark, _catalog(spark, d).analyse()), []
+    for n, (joined, own) in enumerate(SUMMED):
+        trap = checker.validate(joined).fan_trap_risk
+        base = spark.sql(own)
+        whole = spark.sql(joined).select(F.col("total"), F.lit(None).cast("double").alias("own")).unionByName(base.select(F.lit(None).cast("double").alias("total"), F.col(base.columns[0]).alias("own")))
+        out.append(whole.agg(F.round(F.max("total"), 2).alias("total"), F.round(F.max("own"), 2).alias("own")).select(F.lit(n).cast("long").alias("statement"), F.lit(trap).alias("fan_trap"), "total", "own"))
+    return reduce(DataFrame.unionByName, out)
+
+
 #: Tables, a condition on each, and conditions that a statement adds to it by OR; the data tell which of these widen it to all rows.
 ADDED = {
     "nation": ("n_nationkey = 1", ("n_nationkey + 0 = n_nationkey", "n_name LIKE '%'", "length(n_name) >= 0", "n_name = n_name", "1 = 1", "n_regionkey > 2", "n_name LIKE 'NATION_1%'", "n_name <> 'x' AND n_regionkey = 0", "n_nationkey IN (3, 4)", "n_nationkey % 7 <> 3")),
@@ -598,6 +635,8 @@ BUILT: dict[str, tuple[Query, str | None]] = {
     "guard_verdicts": (guard_verdicts, _added_sql("COUNT(CASE WHEN {c} THEN 1 END) < COUNT(*)")),
     "checker_verdicts": (checker_verdicts, "SELECT * FROM (VALUES " + ", ".join(f"({n}::BIGINT, {', '.join(map(_bool, x))})" for n, (_, *x) in enumerate(CHECKED)) + ") t(statement, is_valid, fan_trap, finding)"),
     "event_windows": (event_windows, "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, COUNT(*) AS n, ROUND(SUM(value), 2) AS value FROM events GROUP BY 1, 2"),
+    "event_windows_stream": (event_windows_stream, "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, COUNT(*) AS n, ROUND(SUM(value), 2) AS value FROM events GROUP BY 1, 2"),
+    "checker_fan_traps": (checker_fan_traps, " UNION ALL ".join(f"SELECT {n}::BIGINT AS statement, abs(total - own) > 0.005 AS fan_trap, ROUND(total, 2) AS total, ROUND(own, 2) AS own FROM (SELECT ({joined}) AS total, ({own}) AS own)" for n, (joined, own) in enumerate(SUMMED))),
     "ontology_counts": (ontology_counts, f"SELECT 'Ontology' AS kind, 1::BIGINT AS n UNION ALL SELECT 'Class', COUNT(DISTINCT table_name) FROM ({_COLS}) UNION ALL SELECT 'DatatypeProperty', COUNT(*) FROM ({_COLS}) UNION ALL SELECT 'ObjectProperty', 2 * ((SELECT COUNT(*) FROM (VALUES {_FKS})) + (SELECT COUNT(*) FROM ({_LINKED})))"),
     "type_overrides": (type_overrides, _OVERRIDES),
     "information_schema": (information_schema, " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS columns FROM (DESCRIBE {t})" for t in STAR_TABLES)),
