@@ -228,10 +228,14 @@ class Model:
     patterns: np.ndarray
     marks: np.ndarray
 
-    def accepts(self, pattern: str, found: list[int] = ()) -> bool:
+    def probability(self, pattern: str, found: list[int] = ()) -> float:
+        """That a span of a vote pattern and marks is personal data."""
         places, votes, lengths = (np.array([x]) for x in _parse(pattern))
         z = float(_features(places, votes, lengths)[0] @ self.patterns) + float(self.marks[list(found)].sum())
-        return z >= np.log(ACCEPT / (1 - ACCEPT))
+        return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+
+    def accepts(self, pattern: str, found: list[int] = ()) -> bool:
+        return self.probability(pattern, found) >= ACCEPT
 
 
 def train(histogram: dict[str, int], sample: list[tuple[str, list[int], int]] = ()) -> Model:
@@ -310,17 +314,21 @@ def join_spans(spans: list) -> str:
 
 
 def digest(rows: DataFrame, model: Model) -> DataFrame:
+    """Counts, digest and spans of every row; ``scores`` has kind:start:end:probability of all candidates, base spans too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             out = []
             for name, base, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                spans = [s for s in found if s["place"] < 4 or model.accepts(s["pattern"], s["marks"])]
-                out.append((name, *(sum(s["place"] == k for s in base) for k in range(4)), hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(spans)))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 7
+                sure = [model.probability(s["pattern"], s["marks"]) for s in found]
+                spans = [s for s, p in zip(found, sure, strict=True) if s["place"] < 4 or p >= ACCEPT]
+                scores = ",".join(f"{s['kind']}:{s['start']}:{s['end']}:{p:.4f}" for s, p in zip(found, sure, strict=True))
+                out.append((name, *(sum(s["place"] == k for s in base) for k in range(4)), hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(spans), scores))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n < 5 else pa.string()) for n, c in enumerate(columns)], names)
 
-    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores"]
+    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string")
 
 
 def find(docs: DataFrame, **columns: str) -> DataFrame:
