@@ -57,7 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read_table(spark, sf_dir, "documents")
+    """The last stage's rows; what a stage has written on the way, and its input, go once its result is there."""
+    docs, last = common.read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = common.materialise(stage(spark, docs, sf_dir), name)
+        with common.scratch_made() as made:
+            docs = common.materialise(stage(spark, docs, sf_dir), name)
+        common.release(spark, [*made[:-1], *last])
+        last = made[-1:]
     return docs

@@ -32,6 +32,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 TASK_ROWS = 20_000
 
 _shipped: set[str] = set()
+_scopes: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -58,10 +59,30 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 def release_at_exit(spark: SparkSession, path: str) -> None:
     """Have the driver delete ``path`` when the application ends."""
+    for held in _scopes:
+        held.append(path)
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
+@contextmanager
+def scratch_made() -> Iterator[list[str]]:
+    """The scratch paths that are made inside, in order."""
+    held: list[str] = []
+    _scopes.append(held)
+    try:
+        yield held
+    finally:
+        _scopes.remove(held)
+
+
+def release(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete scratch that nothing will read again."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Arrow batches of less memory for what runs inside; the session's settings come back after it."""

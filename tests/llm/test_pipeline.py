@@ -1,10 +1,12 @@
 """The pipeline's stages on a small corpus, each against what it should do to its own input."""
 
+import os
+
 import corpus_pipeline
 from fixtures import empty_documents, odd_documents
 
 import __spark_entry__
-from plumbline.llm import registry
+from plumbline.llm import common, registry
 
 
 def test_registered():
@@ -35,6 +37,15 @@ def test_stages(spark, sf_dir):
         docs = made
 
 
+def test_run_leaves_its_result_alone(spark, sf_dir):
+    """What stages write on the way is deleted as soon as the next result is there."""
+    with common.scratch_made() as made:
+        rows = corpus_pipeline.run(spark, sf_dir)
+    assert len(made) > 5 and rows.count() > 0
+    there = [p for p in made if os.path.exists(p.removeprefix("file://"))]
+    assert there == made[-1:]
+
+
 def test_stages_on_odd_rows(spark, sf_dir):
     docs = odd_documents(spark)
     for name, stage in corpus_pipeline.STAGES:
