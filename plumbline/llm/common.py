@@ -73,7 +73,7 @@ def scratch_made() -> Iterator[list[str]]:
     try:
         yield held
     finally:
-        _scopes.remove(held)
+        _scopes[:] = [x for x in _scopes if x is not held]
 
 
 def release(spark: SparkSession, paths: Iterable[str]) -> None:
