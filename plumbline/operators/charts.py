@@ -56,21 +56,22 @@ def with_totals(grouped: DataFrame, x: str, y: str) -> DataFrame:
     return grouped.join(ranked, x)
 
 
-#: Cells that a cross table may have, empty ones included.
-MOST_CELLS = 1_000_000
+#: Values of y that a cross table may have.
+MOST_AXIS = 10_000
 
 
-def cross_tab(df: DataFrame, x: str, y: str, cap: int = MOST_CELLS) -> DataFrame:
+def cross_tab(df: DataFrame, x: str, y: str, most: int = MOST_AXIS) -> DataFrame:
     """Counts of each (y, x) pair in long form, 0 where there is none.
 
-    The axes are counted first; a table of more than ``cap`` cells raises.
+    The values of y are read first; more than ``most`` raise.  Each x is then
+    given the values that it lacks, where it lies.
     """
     a, b = F.col(f"`{x}`"), F.col(f"`{y}`")
-    cells = df.where(a.isNotNull() & b.isNotNull()).groupBy(a.alias(x), b.alias(y)).agg(F.count("*").alias("n"))
-    wide = cells.agg(F.count_distinct(a).alias("xs"), F.count_distinct(b).alias("ys")).first()
-    if wide.xs * wide.ys > cap:
-        raise ValueError(f"{wide.xs} by {wide.ys} cells; aggregate first")
-    axis = sorted(r[0] for r in cells.select(b).distinct().collect())  # at most cap values
+    kept = df.where(a.isNotNull() & b.isNotNull())
+    axis = sorted(r[0] for r in kept.select(b.alias(y)).distinct().limit(most + 1).collect())
+    if len(axis) > most:
+        raise ValueError(f"more than {most} values of {y}; aggregate first")
+    cells = kept.groupBy(a.alias(x), b.alias(y)).agg(F.count("*").alias("n"))
     if not axis:
         return cells
     there = F.filter(F.array(*map(F.lit, axis)), lambda v: ~F.array_contains(F.col("__ys"), v))

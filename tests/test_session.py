@@ -163,6 +163,8 @@ def test_heatmap_counts_every_value(spark):
     few = spark.createDataFrame([("p", 1), ("p", 1), ("q", 2), (None, 3), ("r", None)], "a string, b int")
     assert sorted(map(tuple, charts.cross_tab(few, "a", "b").collect())) == [("p", 1, 2), ("p", 2, 0), ("q", 1, 0), ("q", 2, 1)]
     assert charts.cross_tab(few.limit(0), "a", "b").collect() == []
+    with pytest.raises(ValueError, match="more than 1 values"):
+        charts.cross_tab(few, "a", "b", most=1)
 
 
 def test_a_long_query_is_ended(session, spark):
