@@ -159,8 +159,8 @@ def _grams(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text) - GRAM + 1), lambda n: F.struct(n.alias("at"), F.substr(text, n, F.lit(GRAM)).alias("gram")))
 
 
-def found_words(free: DataFrame, columns: DataFrame) -> DataFrame:
-    """``free`` (table_name, column_name, c and more) with each word of another table that c holds: word, target, turn, and the tail after its first place.
+def _name_words(names: DataFrame, columns: DataFrame) -> DataFrame:
+    """``names`` (c) with each word that c holds: word, target, turn, and the tail after its first place.
 
     An inverted index on grams: a word is filed under the rarest of its grams,
     so that beginnings which many names share bring no columns and words together.
@@ -170,42 +170,68 @@ def found_words(free: DataFrame, columns: DataFrame) -> DataFrame:
     common = filed.groupBy("gram").agg(F.count("*").alias("words"))
     rarest = F.min(F.struct("words", "at", "gram", "target", "turn")).alias("x")
     index = filed.join(common, "gram").groupBy("word").agg(rarest).select("word", "x.gram", F.col("x.at").alias("offset"), "x.target", "x.turn")
-    held = free.where(F.length("c") >= GRAM).select("*", F.explode(_grams(F.col("c"))).alias("g")).select("*", "g.gram", (F.col("g.at")).alias("at")).drop("g")
+    held = names.where(F.length("c") >= GRAM).select("*", F.explode(_grams(F.col("c"))).alias("g")).select("*", "g.gram", (F.col("g.at")).alias("at")).drop("g")
     start = F.col("at") - F.col("offset") + 1
-    met = held.join(index, "gram").where((F.col("target") != F.col("table_name")) & (start > 0)).where(F.instr(F.col("c"), F.col("word")) == start)
+    met = held.join(index, "gram").where(start > 0).where(F.instr(F.col("c"), F.col("word")) == start)
     return met.withColumn("tail", F.expr("substring(c, at - offset + 1 + length(word))")).drop("gram", "at", "offset")
 
 
-def _embedded_rows(free: DataFrame, columns: DataFrame, tails: tuple[str, ...]) -> DataFrame:
-    """Of the words that are followed by nothing but a tail the longest, then the one whose table comes first."""
-    hits = found_words(free, columns).where(F.col("tail").isin(*tails))
-    best = F.min(F.struct((-F.length("word")).alias("shorter"), "turn", "target", "word")).alias("x")
-    return hits.groupBy("table_name", "column_name").agg(best).select("table_name", "column_name", "x.target", F.lit("embedded_table_name").alias("pattern"), "x.word")
+def found_words(free: DataFrame, columns: DataFrame) -> DataFrame:
+    """``free`` (table_name, column_name, c and more) with each word of another table that c holds: word, target, turn, and the tail after its first place.
+
+    Each different name is looked up once, however many tables have such a column.
+    """
+    return free.join(_name_words(free.select("c").distinct(), columns), "c").where(F.col("target") != F.col("table_name"))
+
+
+#: A candidate of a name, in the order of preference: rule, place in it, turn, target; then what tells how it was found.
+_CANDIDATE = ("rule", "place", "turn", "target", "word", "pattern")
 
 
-def _formed_rows(free: DataFrame, columns: DataFrame) -> DataFrame:
-    """The first form whose word names another table, in any of the word's forms in their order."""
+def _embedded_names(names: DataFrame, columns: DataFrame, tails: tuple[str, ...]) -> DataFrame:
+    """Of the words that are followed by nothing but a tail the longest come first, then those whose table comes first."""
+    hits = _name_words(names, columns).where(F.col("tail").isin(*tails))
+    return hits.select("c", F.lit(0).alias("rule"), (-F.length("word")).alias("place"), "turn", "target", "word", F.lit("embedded_table_name").alias("pattern"))
+
+
+def _formed_names(names: DataFrame, columns: DataFrame) -> DataFrame:
+    """The forms in their order whose word names a table, in any of the word's forms in their order."""
     matched = [F.struct(F.lit(n).alias("form"), F.lit(name).alias("pattern"), F.regexp_extract("c", form, 1).alias("word")) for n, (name, form) in enumerate(FORMS)]
-    asked = free.select("table_name", "column_name", F.explode(F.array(*matched)).alias("f")).select("table_name", "column_name", "f.*").where(F.length("word") >= 3)
+    asked = names.select("c", F.explode(F.array(*matched)).alias("f")).select("c", "f.*").where(F.length("word") >= 3)
     cut = lambda n, more="": F.concat(F.expr(f"substring(word, 1, length(word) - {n})"), F.lit(more))
     ends = lambda x: F.col("word").endswith(x) & (F.length("word") > len(x))
     tries = [F.col("word"), *(F.concat("word", F.lit(x)) for x in ("s", "es", "ies")), F.when(ends("ies"), cut(3, "y")), F.when(ends("es"), cut(2)), F.when(ends("s"), cut(1)), F.when(F.col("word").endswith("y"), cut(1, "ies"))]
-    names = columns.groupBy(F.lower("table_name").alias("name")).agg(F.max("table_name").alias("target"))
-    tried = asked.select("*", F.posexplode(F.array(*tries)).alias("turn", "name")).join(names, "name")
-    by_form = tried.groupBy("table_name", "column_name", "form", "pattern", "word").agg(F.min(F.struct("turn", "target"))["target"].alias("target")).where("target <> table_name")
-    first = F.min(F.struct("form", "target", "pattern", "word")).alias("x")
-    return by_form.groupBy("table_name", "column_name").agg(first).select("table_name", "column_name", "x.target", "x.pattern", "x.word")
+    tables = columns.groupBy(F.lower("table_name").alias("name")).agg(F.max("table_name").alias("target"))
+    tried = asked.select("*", F.posexplode(F.array(*tries)).alias("try", "name")).join(tables, "name")
+    by_form = tried.groupBy("c", "form", "pattern", "word").agg(F.min(F.struct("try", "target"))["target"].alias("target"))
+    none = F.lit(None).cast("struct<table_name:string,kind:int>")
+    return by_form.select("c", F.lit(1).alias("rule"), F.col("form").alias("place"), none.alias("turn"), "target", "word", "pattern")
+
+
+def _first_other(free: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``free`` with the first candidate of its name, as x, that is another table's; rows that have none fall away.
+
+    A name has no more candidates than parts, so one list holds them; the first and
+    the first of another target are enough, as one table at most is the column's own.
+    """
+    listed = candidates.groupBy("c").agg(F.array_sort(F.collect_set(F.struct(*_CANDIDATE))).alias("all")).withColumn("first", F.col("all")[0])
+    two = listed.select("c", "first", F.get(F.filter("all", lambda x: x["target"] != F.col("first.target")), F.lit(0)).alias("other"))
+    picked = F.when(F.col("first.target") != F.col("table_name"), F.col("first")).otherwise(F.col("other"))
+    return free.join(two, "c").withColumn("x", picked).drop("first", "other").where("x is not null")
 
 
 def links_df(columns: DataFrame, key_suffix: bool = False) -> DataFrame:
-    """table_name, column_name, target, target_column, pattern, confidence: ``implicit_links`` as joins."""
+    """table_name, column_name, target, target_column, pattern, confidence: ``implicit_links`` as joins.
+
+    The rules run over the different names of columns; each column then takes its name's first candidate of another table.
+    """
     tails = (*KEY_TAILS, "key", "_key") if key_suffix else KEY_TAILS
     free = columns.where("not is_primary_key and not is_foreign_key").select("table_name", "column_name", "data_type", F.lower("column_name").alias("c"))
-    embedded = _embedded_rows(free, columns, tails)
-    rest = free.join(embedded.select("table_name", "column_name"), ["table_name", "column_name"], "left_anti")
-    hits = embedded.unionByName(_formed_rows(rest, columns))
+    names = free.select("c").distinct()
+    hits = _first_other(free, _embedded_names(names, columns, tails).unionByName(_formed_names(names, columns)))
+    hits = hits.select("table_name", "column_name", "data_type", "c", "x.target", "x.word", "x.pattern")
     keys = columns.where("is_primary_key").groupBy(F.col("table_name").alias("of")).agg(F.min(F.struct("position", "column_name", "data_type")).alias("key"))
-    made = hits.join(free, ["table_name", "column_name"]).join(keys, F.col("target") == F.col("of"), "left")
+    made = hits.join(keys, F.col("target") == F.col("of"), "left")
     a, b, word, name = F.lower("data_type"), F.lower("key.data_type"), F.col("word"), F.lower("target")
     same = (a == b) | (a.contains("int") & b.contains("int"))
     score = F.when(same, 2).otherwise(0) + F.when(word == name, 2).when(F.concat(word, F.lit("s")) == name, 1).otherwise(0) + F.col("c").endswith("id").cast("int")
@@ -216,7 +242,8 @@ def links_df(columns: DataFrame, key_suffix: bool = False) -> DataFrame:
 def embedded_links_df(columns: DataFrame, tails: tuple[str, ...] = KEY_TAILS) -> DataFrame:
     """table_name, column_name, target: the embedded-name rule alone."""
     free = columns.where("not is_primary_key and not is_foreign_key").select("table_name", "column_name", F.lower("column_name").alias("c"))
-    return _embedded_rows(free, columns, tails).select("table_name", "column_name", "target")
+    hits = _first_other(free, _embedded_names(free.select("c").distinct(), columns, tails))
+    return hits.select("table_name", "column_name", "x.target")
 
 
 def copies_df(columns: DataFrame) -> DataFrame:
@@ -226,9 +253,9 @@ def copies_df(columns: DataFrame) -> DataFrame:
     telling = F.col("tail").isin("", "name", "title", "desc", "description")
     for word in TEXT_WORDS:
         telling = telling | F.col("c").contains(word)
-    hits = found_words(free, columns).where(telling)
-    best = F.min(F.struct((-F.length("word")).alias("shorter"), "turn", "target")).alias("x")
-    return hits.groupBy("table_name", "column_name").agg(best).select("table_name", "column_name", F.col("x.target").alias("likely_source"))
+    hits = _name_words(free.select("c").distinct(), columns).where(telling)
+    ranked = hits.select("c", F.lit(0).alias("rule"), (-F.length("word")).alias("place"), "turn", "target", "word", F.lit(None).cast("string").alias("pattern"))
+    return _first_other(free, ranked).select("table_name", "column_name", F.col("x.target").alias("likely_source"))
 
 
 def verify_link(spark: SparkSession, link: InferredLink) -> dict:

@@ -18,7 +18,7 @@ from .functions.naming import BEGINNINGS, ENDINGS, clean_name_column, measure_la
 from .functions.types import QUANTITY, xsd_column
 from .operators import charts, facts, fanout, infer, r2rml, ranks, rdf, triples
 from .plans import guard
-from .sources import footers
+from .sources import footers, scratch
 from .sources.catalog import STAR_KEYS, STAR_LINKS, STAR_TABLES, Catalog, load_parquet, read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -334,15 +334,25 @@ WORD_SHARE = 60
 _WORD_TAILS = ("id", "_id", "_sk", "", "name", "_nr")
 
 
+def _kept(spark: SparkSession, made: DataFrame, tag: str) -> DataFrame:
+    """The rows, written once for all that read them."""
+    path = scratch.folder(spark, tag)
+    made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
 def word_catalog(docs: DataFrame) -> DataFrame:
     """Columns of a catalog that the documents' words make up.
 
     Frequent words are tables; of each, the words that follow it are columns,
     with a tail and a type that their length gives, behind a key.  By their
     share there are at most 16,667 tables, so they go to the pairs, which are many.
+    The pairs and the catalog are kept in the shared folder: texts are read once.
     """
+    spark = docs.sparkSession
     words = docs.select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
     pairs = words.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))).alias("x")).select("x.*").groupBy("a", "b").agg(F.count("*").alias("n"))
+    pairs = _kept(spark, pairs, "pairs")
     total = pairs.agg(F.sum("n").alias("total"))
     tables = pairs.groupBy("a").agg(F.sum("n").alias("n")).join(F.broadcast(total)).where((F.length("a").between(3, 12)) & (F.col("n") * 1_000_000 >= F.col("total") * WORD_SHARE)).select(F.col("a").alias("table_name"))
     length = F.length("b")
@@ -351,7 +361,7 @@ def word_catalog(docs: DataFrame) -> DataFrame:
     free = pairs.where("b is not null").join(F.broadcast(tables), F.col("a") == F.col("table_name")).select("table_name", F.concat("b", tail).alias("column_name"), kind.alias("data_type"), F.lit(False).alias("is_primary_key"))
     keys = tables.select("table_name", F.concat("table_name", F.lit("key")).alias("column_name"), F.when(F.length("table_name") % 2 == 0, "int").otherwise("string").alias("data_type"), F.lit(True).alias("is_primary_key"))
     whole = free.unionByName(keys).groupBy("table_name", "column_name").agg(F.max("data_type").alias("data_type"), F.max("is_primary_key").alias("is_primary_key"))
-    return whole.withColumns({"position": F.lit(1), "is_foreign_key": F.lit(False)})
+    return _kept(spark, whole, "catalog").withColumns({"position": F.lit(1), "is_foreign_key": F.lit(False)})
 
 
 def infer_links(spark: SparkSession, d: str) -> DataFrame:
@@ -405,7 +415,6 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def event_windows_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same totals from a stream of the table's files, in micro-batches with state, until all is read."""
-    from .sources import scratch
     from .streaming import event_stream, latest_totals, running_totals
 
     out = scratch.folder(spark, "windows")

@@ -53,6 +53,30 @@ def test_a_shared_beginning_brings_nothing_together(spark):
     assert index.count() == 0  # each holds its own table's name alone
 
 
+def test_a_name_is_looked_up_once(spark):
+    """Grams are made of the different names, not of each table's column of that name; a table's own word gives way to the next."""
+    names = [f"table{n:02}" for n in range(40)]
+    rows = [(t, c, 1, "string", False, False) for t in names for c in ("table07_id", "table07table08", "table09name")]
+    columns = spark.createDataFrame(rows, "table_name string, column_name string, position int, data_type string, is_primary_key boolean, is_foreign_key boolean")
+    plan = infer.links_df(columns)._jdf.queryExecution().optimizedPlan().toString()
+    before = [x for x in plan.split("Generate explode(transform(sequence")[1:] if "gram" in x]
+    assert before and all(x.split("+- ")[1].startswith(("Filter", "Aggregate", "Project [c#", "Project [word#")) and "column_name" not in x.split("\n")[0] for x in before)
+    links = {(r.table_name, r.column_name): r.target for r in infer.links_df(columns).collect()}
+    assert links == {**{(t, "table07_id"): "table07" for t in names if t != "table07"}, **{(t, "table07table08"): "table08" for t in names if t != "table08"}}
+    copies = {(r.table_name, r.column_name): r.likely_source for r in infer.copies_df(columns).collect()}
+    assert copies == {**{(t, "table07table08"): "table08" if t != "table08" else None for t in names if t != "table08"}, **{(t, "table09name"): "table09" for t in names if t != "table09"}}
+
+
 def test_empty_catalog(spark):
     columns = Catalog.from_json(spark, {"tables": []}).columns_df().where("false")
     assert infer.links_df(columns).count() == 0 and infer.copies_df(columns).count() == 0
+
+
+def test_texts_are_read_once(spark):
+    """The catalog of words is kept, so that what reads it several times does not cut the texts again."""
+    from plumbline.registry import word_catalog
+
+    docs = spark.createDataFrame([("order orderid order customer orderid customername",)], "text string")
+    columns = word_catalog(docs)
+    plan = infer.copies_df(columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and columns.where("is_primary_key").count() == 4
