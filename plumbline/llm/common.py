@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import tokenize
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of one key that one task puts in order.
@@ -97,8 +99,10 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches, few at a time."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512, tokens: bool = False) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, few at a time; a worker whose task has no use for ``tokens`` lets its tokenizers go."""
+    if not tokens:
+        tokenize.forget()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

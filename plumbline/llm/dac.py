@@ -149,7 +149,7 @@ def write(
             begun, names, raws, held = begun + held, [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=_arrow_schema())
 
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, tokens=True):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for name, raw in zip(ids, codec.encode(texts), strict=True):
                 names.append(name)

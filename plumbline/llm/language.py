@@ -55,15 +55,20 @@ class Model:
     floors: np.ndarray
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        weighted = np.log1p(counts) * self.idf
-        return weighted / np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-12)
+        weighted = np.log1p(counts)
+        weighted *= self.idf
+        weighted /= np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-12)
+        return weighted
 
     def measure(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Which texts have a letter; their nearest centroids, scores and classes of length."""
         known = np.array([bool(x) and bool(_LETTER.search(x)) for x in texts], bool)
-        counts = np.array([trigrams(x) if k else np.zeros(BUCKETS, np.int64) for x, k in zip(texts, known, strict=True)])
-        near = self.vectors(counts.astype(np.float32)) @ self.centroids.T
-        return known, near.argmax(axis=1), np.clip(near.max(axis=1), 0, 1).astype(float), _size_class(counts.sum(axis=1))
+        counts, total = np.zeros((len(texts), BUCKETS), np.float32), np.zeros(len(texts), np.int64)
+        for n in np.flatnonzero(known).tolist():
+            found = trigrams(texts[n])
+            counts[n], total[n] = found, found.sum()
+        near = self.vectors(counts) @ self.centroids.T
+        return known, near.argmax(axis=1), np.clip(near.max(axis=1), 0, 1).astype(float), _size_class(total)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, scores, and which texts are rejected."""
@@ -138,7 +143,8 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
                 made.append(np.array([at, full[at]], "<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(made, pa.binary())], ["lang", "counts"])
 
-    rows = sorted((r.lang, bytes(r.counts)) for r in picked.select("text", "lang").mapInArrow(sparse, "lang string, counts binary").collect())
+    with common.small_batches(docs.sparkSession):
+        rows = sorted((r.lang, bytes(r.counts)) for r in picked.select("text", "lang").mapInArrow(sparse, "lang string, counts binary").collect())
     if not rows:
         return Model([], np.zeros(BUCKETS), np.zeros((0, BUCKETS)), np.zeros(0, int), np.zeros(SIZES))
     full = np.zeros((len(rows), BUCKETS), np.float32)
@@ -165,7 +171,9 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(scores[at], pa.int64())], ["cell", "n"])
 
     scores = np.zeros(SIZES * STEPS, np.int64)
-    for r in train.select("text").mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    with common.small_batches(docs.sparkSession):
+        counted = train.select("text").mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    for r in counted:
         scores[r.cell] = r.n
     model.floors = floors(scores.reshape(SIZES, STEPS))
     return model

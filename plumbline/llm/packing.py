@@ -262,7 +262,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, *, space
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, end = encoder(common.shipped(name), spaces_dropped), np.array([end_id], "<u4").tobytes()
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, tokens=True):
             out = {k: [] for k in kinds}
             for doc_id, raw in zip(batch.column(0).to_pylist(), codec.encode(batch.column(1).to_pylist()), strict=True):
                 raw += end

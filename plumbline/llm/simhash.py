@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import common, tokenize
 from .components import components
 
 BITS, MATCHES = 4, 4
@@ -148,6 +148,7 @@ def _resolve(posted: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
             at = np.flatnonzero(roots != np.arange(len(roots)))
             return values[at], values[roots[at]], np.full(len(at), -1)
 
+        tokenize.forget()
         open_key, held, count, over = None, [], 0, False
         for batch in batches:
             fps, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()

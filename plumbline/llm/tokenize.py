@@ -19,17 +19,20 @@ are those of ``encode(text, add_special_tokens=False)`` and nothing else.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
+from contextlib import suppress
 
 import numpy as np
+import pyarrow as pa
 
 _PAIR = re.compile(r"\s\s")
 #: Punctuation that a tokenizer never joins to the word before it (an apostrophe it may).
 _TAIL = "!#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _BASE, _MIX, _FIRST = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA5A5A5A55A5A5A5A
-LONGEST, GROUP_BYTES = 64, 1 << 20
+LONGEST, GROUP_BYTES = 64, 1 << 18
 
 
 class _Powers:
@@ -66,15 +69,18 @@ class _Chunks:
 
 
 class _Table:
-    """Open addressing from chunk hashes to the chunks' bytes in one pool and their ids in another."""
+    """Open addressing from chunk hashes to the chunks' bytes in one pool and their ids in another; at most half full."""
 
-    def __init__(self, bits: int = 22):
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+    def __init__(self, bits: int = 16):
+        self._slots(bits)
         self.offsets, self.lengths, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
         self.places, self.sizes, self.firsts, self.octets = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, bool), np.zeros(4096, np.uint8)
         self.n = self.filled = self.written = 0
 
+    def _slots(self, bits: int) -> None:
+        self.bits, self.shift, self.mask = bits, np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
     def find(self, chunks: _Chunks) -> tuple[np.ndarray, np.ndarray]:
         """Entry of each chunk, or -1; and whether another chunk of its hash is kept."""
         hashes = chunks.hashes
@@ -123,7 +129,15 @@ class _Table:
         self.octets[self.written : self.written + len(texts)] = np.frombuffer(texts, np.uint8)
         entries = np.arange(self.n, self.n + n, dtype=np.int32)
         self.n, self.filled, self.written = self.n + n, self.filled + int(lengths.sum()), self.written + len(texts)
-        slots, left = (hashes >> self.shift).astype(np.int64), np.arange(n)
+        if 2 * self.n > len(self.keys):
+            held = self.keys != 0
+            old, at = self.keys[held], self.values[held]
+            self._slots((2 * self.n).bit_length())
+            self._file(old, at)
+        self._file(hashes, entries)
+
+    def _file(self, hashes: np.ndarray, entries: np.ndarray) -> None:
+        slots, left = (hashes >> self.shift).astype(np.int64), np.arange(len(hashes))
         while len(left):
             free = left[self.keys[slots[left]] == 0]
             free = free[np.unique(slots[free], return_index=True)[1]]
@@ -140,7 +154,7 @@ class ChunkEncoder:
     spaces between two non-space characters are cut.
     """
 
-    def __init__(self, path: str, spaces_dropped: bool, limit: int = 1_500_000):
+    def __init__(self, path: str, spaces_dropped: bool, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already fill the cores
         from tokenizers import Tokenizer
 
@@ -309,6 +323,16 @@ def _parts(items: list, size: int = 4096) -> list[list]:
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
+def forget() -> None:
+    """Give an encoder's memory back to the machine; other operators' tasks run in the same workers after it."""
+    if not _encoders:
+        return
+    _encoders.clear()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # what the C library keeps of freed blocks, if it is glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def encoder(path: str, spaces_dropped: bool) -> ChunkEncoder:
     """One encoder per worker process and tokenizer."""
     key = (path, spaces_dropped)

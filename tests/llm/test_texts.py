@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plumbline.llm import common, dac, language, mixing, packing, pii, secrets, sharding, simhash
+from plumbline.llm import common, dac, language, mixing, packing, pii, secrets, sharding, simhash, tokenize
 from plumbline.llm.registry import tokenizer_path
 from plumbline.llm.tokenize import LONGEST, ChunkEncoder
 
@@ -686,3 +686,17 @@ def test_equal_rows_are_taken_apart(spark):
     again = mixing.measured(docs.repartition(3))
     count = lambda r: Counter(map(tuple, mixing.copies(r, mixing.mix(r)).select("doc_id", "size", "copies").collect()))
     assert count(again) == count(sizes)
+
+
+def test_tokenizers_do_not_stay_in_a_worker():
+    """The next operator's task lets them go, and a table is as large as its chunks need; grown, it gives the same ids."""
+    codec = tokenize.encoder(tokenizer_path("words"), True)
+    texts = [" ".join(f"w{n}x{k}" for n in range(400)) for k in range(100)]
+    first = codec.encode(texts[:1])
+    small = len(codec.table.keys)
+    made = codec.encode(texts)
+    assert small <= 1 << 16 < len(codec.table.keys) < 1 << 18 and codec.table.n * 2 <= len(codec.table.keys)
+    assert made[0] == first[0] and codec.encode(texts) == made
+    assert [np.frombuffer(x, "<u4").tolist() for x in made[::50]] == [codec.tokenizer.encode(x, add_special_tokens=False).ids for x in texts[::50]]
+    assert not list(common.slices([], tokens=True)) and tokenize._encoders
+    assert not list(common.slices([])) and not tokenize._encoders
