@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.naming import find_table, name_quality, table_variants
 from ..functions.types import column_xsd
+from ..sources import scratch
 from ..sources.catalog import TableMeta
 
 #: What may follow a table's name in a column that refers to it, and words of copied texts.
@@ -136,6 +137,8 @@ def quality_report(tables: list[TableMeta], key_suffix: bool = False) -> dict:
 # ``columns`` has a row for each column: table_name, column_name, position, data_type,
 # is_primary_key, is_foreign_key.  Tables count in the order of their names.
 
+#: Rows of a table's names, words or keys that may go to every task; of more, Spark decides.
+FEW = 100_000
 #: Length of the grams by which words are looked up in column names, that of the shortest word.
 GRAM = 4
 
@@ -155,6 +158,17 @@ def words_df(columns: DataFrame) -> DataFrame:
     return forms.groupBy("word").agg(F.max(last)["table_name"].alias("target"), first.alias("turn"))
 
 
+def _few(made: DataFrame, tag: str) -> DataFrame:
+    """``made``, written to the shared folder, sent to every task if it has few rows.
+
+    What is joined with it, a row for each gram or form of each name, then stays where it is.
+    """
+    path = scratch.folder(made.sparkSession, tag)
+    made.write.parquet(path)
+    made = made.sparkSession.read.schema(made.schema).parquet(path)
+    return F.broadcast(made) if made.count() <= FEW else made
+
+
 def _grams(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text) - GRAM + 1), lambda n: F.struct(n.alias("at"), F.substr(text, n, F.lit(GRAM)).alias("gram")))
 
@@ -172,7 +186,7 @@ def _name_words(names: DataFrame, columns: DataFrame) -> DataFrame:
     index = filed.join(common, "gram").groupBy("word").agg(rarest).select("word", "x.gram", F.col("x.at").alias("offset"), "x.target", "x.turn")
     held = names.where(F.length("c") >= GRAM).select("*", F.explode(_grams(F.col("c"))).alias("g")).select("*", "g.gram", (F.col("g.at")).alias("at")).drop("g")
     start = F.col("at") - F.col("offset") + 1
-    met = held.join(index, "gram").where(start > 0).where(F.instr(F.col("c"), F.col("word")) == start)
+    met = held.join(_few(index, "index"), "gram").where(start > 0).where(F.instr(F.col("c"), F.col("word")) == start)
     return met.withColumn("tail", F.expr("substring(c, at - offset + 1 + length(word))")).drop("gram", "at", "offset")
 
 
@@ -202,7 +216,7 @@ def _formed_names(names: DataFrame, columns: DataFrame) -> DataFrame:
     ends = lambda x: F.col("word").endswith(x) & (F.length("word") > len(x))
     tries = [F.col("word"), *(F.concat("word", F.lit(x)) for x in ("s", "es", "ies")), F.when(ends("ies"), cut(3, "y")), F.when(ends("es"), cut(2)), F.when(ends("s"), cut(1)), F.when(F.col("word").endswith("y"), cut(1, "ies"))]
     tables = columns.groupBy(F.lower("table_name").alias("name")).agg(F.max("table_name").alias("target"))
-    tried = asked.select("*", F.posexplode(F.array(*tries)).alias("try", "name")).join(tables, "name")
+    tried = asked.select("*", F.posexplode(F.array(*tries)).alias("try", "name")).join(_few(tables, "names"), "name")
     by_form = tried.groupBy("c", "form", "pattern", "word").agg(F.min(F.struct("try", "target"))["target"].alias("target"))
     none = F.lit(None).cast("struct<table_name:string,kind:int>")
     return by_form.select("c", F.lit(1).alias("rule"), F.col("form").alias("place"), none.alias("turn"), "target", "word", "pattern")
@@ -231,7 +245,7 @@ def links_df(columns: DataFrame, key_suffix: bool = False) -> DataFrame:
     hits = _first_other(free, _embedded_names(names, columns, tails).unionByName(_formed_names(names, columns)))
     hits = hits.select("table_name", "column_name", "data_type", "c", "x.target", "x.word", "x.pattern")
     keys = columns.where("is_primary_key").groupBy(F.col("table_name").alias("of")).agg(F.min(F.struct("position", "column_name", "data_type")).alias("key"))
-    made = hits.join(keys, F.col("target") == F.col("of"), "left")
+    made = hits.join(_few(keys, "keys"), F.col("target") == F.col("of"), "left")
     a, b, word, name = F.lower("data_type"), F.lower("key.data_type"), F.col("word"), F.lower("target")
     same = (a == b) | (a.contains("int") & b.contains("int"))
     score = F.when(same, 2).otherwise(0) + F.when(word == name, 2).when(F.concat(word, F.lit("s")) == name, 1).otherwise(0) + F.col("c").endswith("id").cast("int")

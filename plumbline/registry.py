@@ -332,6 +332,7 @@ def infer_fk(spark: SparkSession, d: str) -> DataFrame:
 #: How often a word of the documents occurs that is taken for a table's name, in a million words.
 WORD_SHARE = 60
 _WORD_TAILS = ("id", "_id", "_sk", "", "name", "_nr")
+_WORD_KINDS = ("bigint", "int", "string")
 
 
 def _kept(spark: SparkSession, made: DataFrame, tag: str) -> DataFrame:
@@ -346,22 +347,28 @@ def word_catalog(docs: DataFrame) -> DataFrame:
 
     Frequent words are tables; of each, the words that follow it are columns,
     with a tail and a type that their length gives, behind a key.  By their
-    share there are at most 16,667 tables, so they go to the pairs, which are many.
-    The pairs and the catalog are kept in the shared folder: texts are read once.
+    share there are at most 16,667 tables, so they go to the pairs, which are many:
+    words are counted first, and only pairs that begin with a table's name are
+    dealt, once.  Types are compared by their places in alphabetical order, as a
+    greatest string would have to be found by sorting.  The catalog is kept in the
+    shared folder, so that texts are cut for the counts and for the catalog alone.
     """
     spark = docs.sparkSession
     words = docs.select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
-    pairs = words.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))).alias("x")).select("x.*").groupBy("a", "b").agg(F.count("*").alias("n"))
-    pairs = _kept(spark, pairs, "pairs")
-    total = pairs.agg(F.sum("n").alias("total"))
-    tables = pairs.groupBy("a").agg(F.sum("n").alias("n")).join(F.broadcast(total)).where((F.length("a").between(3, 12)) & (F.col("n") * 1_000_000 >= F.col("total") * WORD_SHARE)).select(F.col("a").alias("table_name"))
+    counts = _kept(spark, words.select(F.explode("w").alias("a")).groupBy("a").agg(F.count("*").alias("n")), "words")
+    total = counts.agg(F.sum("n").alias("total"))
+    tables = counts.join(F.broadcast(total)).where((F.length("a").between(3, 12)) & (F.col("n") * 1_000_000 >= F.col("total") * WORD_SHARE)).select(F.col("a").alias("table_name"))
+    tables = _kept(spark, tables, "tables")
+    pairs = words.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))).alias("x")).select("x.*")
     length = F.length("b")
     tail = F.element_at(F.array(*map(F.lit, _WORD_TAILS)), length % len(_WORD_TAILS) + 1)
-    kind = F.element_at(F.array(F.lit("string"), F.lit("int"), F.lit("bigint")), length % 3 + 1)
-    free = pairs.where("b is not null").join(F.broadcast(tables), F.col("a") == F.col("table_name")).select("table_name", F.concat("b", tail).alias("column_name"), kind.alias("data_type"), F.lit(False).alias("is_primary_key"))
-    keys = tables.select("table_name", F.concat("table_name", F.lit("key")).alias("column_name"), F.when(F.length("table_name") % 2 == 0, "int").otherwise("string").alias("data_type"), F.lit(True).alias("is_primary_key"))
-    whole = free.unionByName(keys).groupBy("table_name", "column_name").agg(F.max("data_type").alias("data_type"), F.max("is_primary_key").alias("is_primary_key"))
-    return _kept(spark, whole, "catalog").withColumns({"position": F.lit(1), "is_foreign_key": F.lit(False)})
+    kind = F.element_at(F.array(*(F.lit(_WORD_KINDS.index(x)) for x in ("string", "int", "bigint"))), length % 3 + 1)
+    free = pairs.where("b is not null").join(F.broadcast(tables), F.col("a") == F.col("table_name")).select("table_name", F.concat("b", tail).alias("column_name"), kind.alias("kind"), F.lit(False).alias("is_primary_key"))
+    key_kind = F.when(F.length("table_name") % 2 == 0, _WORD_KINDS.index("int")).otherwise(_WORD_KINDS.index("string"))
+    keys = tables.select("table_name", F.concat("table_name", F.lit("key")).alias("column_name"), key_kind.alias("kind"), F.lit(True).alias("is_primary_key"))
+    whole = free.unionByName(keys).groupBy("table_name", "column_name").agg(F.max("kind").alias("kind"), F.max("is_primary_key").alias("is_primary_key"))
+    named = F.element_at(F.array(*map(F.lit, _WORD_KINDS)), F.col("kind") + 1)
+    return _kept(spark, whole.select("table_name", "column_name", named.alias("data_type"), "is_primary_key"), "catalog").withColumns({"position": F.lit(1), "is_foreign_key": F.lit(False)})
 
 
 def infer_links(spark: SparkSession, d: str) -> DataFrame:

@@ -80,3 +80,24 @@ def test_texts_are_read_once(spark):
     columns = word_catalog(docs)
     plan = infer.copies_df(columns)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and columns.where("is_primary_key").count() == 4
+
+
+def test_few_words_go_to_the_names(spark, monkeypatch):
+    """Neither grams nor forms of names are dealt for their join with few words; pairs of words are dealt once and unsorted."""
+    from plumbline import registry
+
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans, kept = {}, registry._kept
+    monkeypatch.setattr(registry, "_kept", lambda spark, made, tag: (plans.update({tag: plan_of(made)}), kept(spark, made, tag))[1])
+    docs = spark.createDataFrame([("order orderid order customer orderid customername customer order",), (None,)], "text string")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        columns = registry.word_catalog(docs)
+        links, copies = infer.links_df(columns), infer.copies_df(columns)
+        for plan in (plan_of(links), plan_of(copies)):
+            assert "hashpartitioning(gram" not in plan and "hashpartitioning(name" not in plan and "hashpartitioning(of" not in plan
+        assert not any("SortAggregate" in x for x in plans.values()) and plans["catalog"].count("hashpartitioning") == 1
+        assert links.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
