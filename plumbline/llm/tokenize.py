@@ -1,11 +1,14 @@
 """Tokenising whole texts with the ``tokenizers`` library, a chunk at a time.
 
 A BPE tokenizer splits a text into pre-tokens and encodes each alone, so the
-ids of a text are the ids of its space-separated chunks in a row.  Chunks
-repeat, so their ids are kept in a bounded table per worker process; every
-entry is made by the library itself.  The table is a set of flat arrays, and
-chunks are hashed, looked up and put together many at a time: hundreds of
-millions of lookups in a Python dict would cost more than the tokenizer.
+ids of a text are the ids of its space-separated chunks in a row.  No pre-token
+goes on from a letter to a punctuation mark, so chunks are cut there too, and a
+word is one chunk whatever follows it.  Chunks repeat, so their ids are kept in
+a bounded table per worker process; every entry is made by the library itself.
+A full table keeps the chunks met again since it was last full, at most half of
+it.  The table is a set of flat arrays, and chunks are cut, hashed, looked up,
+encoded and put together many at a time: hundreds of millions of lookups in a
+Python dict would cost more than the tokenizer.
 
 A chunk is found by a 64-bit hash of its bytes, and what is found counts only
 if the bytes kept with it are the chunk's own; of chunks with equal hashes one
@@ -23,16 +26,21 @@ import ctypes
 import os
 import re
 from contextlib import suppress
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 _PAIR = re.compile(r"\s\s")
-#: Punctuation that a tokenizer never joins to the word before it (an apostrophe it may).
-_TAIL = "!#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _BASE, _MIX, _FIRST = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA5A5A5A55A5A5A5A
-LONGEST, GROUP_BYTES = 64, 1 << 18
+LONGEST, GROUP_BYTES, PART = 64, 1 << 18, 512
+_SPACE, _NEWLINE = 0x20, 0x0A
+_SEEN = np.array([0x21 <= n < 0x7F for n in range(256)])
+_LETTER = np.array([n < 0x80 and chr(n).isalpha() for n in range(256)])
+_MARK = np.array([0x21 <= n < 0x7F and not chr(n).isalnum() for n in range(256)])
+#: The second bytes of Latin letters whose first is 0xC3.
+_LATIN = np.array([0x80 <= n < 0xC0 and n not in (0x97, 0xB7) for n in range(256)])
 
 
 class _Powers:
@@ -57,13 +65,22 @@ def _eights(octets: np.ndarray) -> np.ndarray:
     return np.ndarray((len(octets) - 7,), "<u8", octets, strides=(1,))
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that have these starts and sizes, one run after the other."""
+    upto = np.cumsum(sizes)
+    return np.repeat(starts - (upto - sizes), sizes) + np.arange(int(upto[-1]) if len(upto) else 0)
+
+
 class _Chunks:
-    """Chunks of a text: where their bytes are, their hashes, and which begin a text."""
+    """Chunks of a text: where their bytes are, their hashes, which have no space before them, and which follow one."""
 
-    def __init__(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, firsts: np.ndarray):
-        self.raw, self.starts, self.ends, self.sizes, self.hashes, self.firsts = raw, starts, ends, ends - starts, hashes, firsts
+    def __init__(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, firsts: np.ndarray, words: np.ndarray):
+        self.raw, self.starts, self.ends, self.sizes, self.hashes, self.firsts, self.words = raw, starts, ends, ends - starts, hashes, firsts, words
         self.octets = np.frombuffer(raw + bytes(8), np.uint8)
 
+    def bytes_of(self, at: np.ndarray) -> np.ndarray:
+        return self.octets[_spans(self.starts[at], self.sizes[at])]
+
     def text(self, n: int) -> str:
         return self.raw[self.starts[n] : self.ends[n]].decode("utf-8", "surrogatepass")
 
@@ -75,15 +92,16 @@ class _Table:
         self._slots(bits)
         self.offsets, self.lengths, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
         self.places, self.sizes, self.firsts, self.octets = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, bool), np.zeros(4096, np.uint8)
+        self.again = np.zeros(1024, bool)
         self.n = self.filled = self.written = 0
 
     def _slots(self, bits: int) -> None:
         self.bits, self.shift, self.mask = bits, np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
 
-    def find(self, chunks: _Chunks) -> tuple[np.ndarray, np.ndarray]:
-        """Entry of each chunk, or -1; and whether another chunk of its hash is kept."""
-        hashes = chunks.hashes
+    def find(self, chunks: _Chunks, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Entry of each chunk at ``at``, or -1; and whether another chunk of its hash is kept."""
+        hashes, starts, sizes = chunks.hashes[at], chunks.starts[at], chunks.sizes[at]
         slots = (hashes >> self.shift).astype(np.int64)
         seen = self.keys[slots]
         out = np.where(seen == hashes, self.values[slots], -1)
@@ -94,28 +112,34 @@ class _Table:
             hit = seen == hashes[open_]
             out[open_[hit]] = self.values[slots[open_[hit]]]
             open_ = open_[~hit & (seen != 0)]
-        same = (out >= 0) & (self.sizes[out] == chunks.sizes) & (self.firsts[out] == chunks.firsts)
+        same = (out >= 0) & (self.sizes[out] == sizes) & (self.firsts[out] == chunks.firsts[at])
         held, given, left = _eights(self.octets), _eights(chunks.octets), np.flatnonzero(same)
-        for at in range(0, LONGEST, 8):
-            left = left[chunks.sizes[left] > at]
+        for step in range(0, LONGEST, 8):
+            left = left[sizes[left] > step]
             if not len(left):
                 break
-            keep = _KEEP[np.minimum(chunks.sizes[left] - at, 8)]
-            equal = ((held[self.places[out[left]] + at] ^ given[chunks.starts[left] + at]) & keep) == 0
+            keep = _KEEP[np.minimum(sizes[left] - step, 8)]
+            equal = ((held[self.places[out[left]] + step] ^ given[starts[left] + step]) & keep) == 0
             same[left[~equal]] = False
             left = left[equal]
         return np.where(same, out, -1), (out >= 0) & ~same
 
-    def run(self, entry: int) -> bytes:
-        start = self.offsets[entry]
-        return self.pool[start : start + self.lengths[entry]].tobytes()
-
-    def add(self, chunks: _Chunks, at: np.ndarray, runs: list[bytes]) -> None:
-        """Put in the chunks at ``at``, whose hashes are not kept yet, with the bytes of their ids."""
-        hashes, sizes, lengths = chunks.hashes[at], chunks.sizes[at], np.fromiter(map(len, runs), np.int32, len(runs)) // 4
-        texts = b"".join(chunks.raw[s:e] for s, e in zip(chunks.starts[at].tolist(), chunks.ends[at].tolist(), strict=True))
-        n = len(runs)
-        for names, used, more in ((("offsets", "lengths", "places", "sizes", "firsts"), self.n, n), (("pool",), self.filled, int(lengths.sum())), (("octets",), self.written, len(texts) + 8)):
+    def add(self, chunks: _Chunks, at: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Put in the chunks at ``at``, whose hashes are not kept yet, with their ids, one chunk's after the other's."""
+        self._put(chunks.hashes[at], chunks.sizes[at], chunks.firsts[at], chunks.bytes_of(at), lengths, ids)
+
+    def kept(self, most: int) -> _Table:
+        """A table of the chunks that were met again, the latest if they are more than ``most``."""
+        at, made, held = np.flatnonzero(self.again[: self.n])[-most:], _Table(), self.keys != 0
+        hashes = np.zeros(self.n, np.uint64)
+        hashes[self.values[held]] = self.keys[held]
+        texts, ids = self.octets[_spans(self.places[at], self.sizes[at])], self.pool[_spans(self.offsets[at], self.lengths[at])]
+        made._put(hashes[at], self.sizes[at], self.firsts[at], texts, self.lengths[at], ids)
+        return made
+
+    def _put(self, hashes: np.ndarray, sizes: np.ndarray, firsts: np.ndarray, texts: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        n = len(hashes)
+        for names, used, more in ((("offsets", "lengths", "places", "sizes", "firsts", "again"), self.n, n), (("pool",), self.filled, len(ids)), (("octets",), self.written, len(texts) + 8)):
             for name in names:
                 held = getattr(self, name)
                 if used + more > len(held):
@@ -124,11 +148,11 @@ class _Table:
                     setattr(self, name, grown)
         new = slice(self.n, self.n + n)
         self.offsets[new], self.lengths[new] = self.filled + np.cumsum(lengths) - lengths, lengths
-        self.places[new], self.sizes[new], self.firsts[new] = self.written + np.cumsum(sizes) - sizes, sizes, chunks.firsts[at]
-        self.pool[self.filled : self.filled + int(lengths.sum())] = np.frombuffer(b"".join(runs), np.uint32)
-        self.octets[self.written : self.written + len(texts)] = np.frombuffer(texts, np.uint8)
+        self.places[new], self.sizes[new], self.firsts[new] = self.written + np.cumsum(sizes) - sizes, sizes, firsts
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        self.octets[self.written : self.written + len(texts)] = texts
         entries = np.arange(self.n, self.n + n, dtype=np.int32)
-        self.n, self.filled, self.written = self.n + n, self.filled + int(lengths.sum()), self.written + len(texts)
+        self.n, self.filled, self.written = self.n + n, self.filled + len(ids), self.written + len(texts)
         if 2 * self.n > len(self.keys):
             held = self.keys != 0
             old, at = self.keys[held], self.values[held]
@@ -150,8 +174,9 @@ class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     ``spaces_dropped`` says that the tokenizer drops white space; then chunks
-    go in bare.  Otherwise a chunk carries the single space before it, and only
-    spaces between two non-space characters are cut.
+    go in bare.  Otherwise a chunk carries the single space before it, if any,
+    only spaces between two non-space characters are cut, and a line end between
+    two such characters is a chunk.
     """
 
     def __init__(self, path: str, spaces_dropped: bool, limit: int = 500_000):
@@ -161,12 +186,12 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [x.content for x in added if not x.normalized]
-        self.special_any_case = re.compile("|".join(re.escape(x.content) for x in added if x.normalized) or r"(?!)", re.I)
+        self.special_any_case = re.compile("|".join(re.escape(x.content) for x in added if x.normalized), re.I) if any(x.normalized for x in added) else None
         self.dropped, self.limit, self.powers, self.table = spaces_dropped, limit, _Powers(), _Table()
         vocabulary = self.tokenizer.get_vocab()
         self.marked = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, at in vocabulary.items():
-            self.marked[at] = token.endswith("</w>") if spaces_dropped else token.startswith("Ġ")
+            self.marked[at] = token.endswith("</w>") if spaces_dropped else token == "Ċ"
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -186,7 +211,7 @@ class ChunkEncoder:
         if not texts:
             return []
         if self.table.n > self.limit:
-            self.table = _Table()
+            self.table = self.table.kept(self.limit // 2)
         whole = [n for n, x in enumerate(texts) if self._has_special(x)]
         odd = [] if self.dropped else [n for n, x in enumerate(texts) if _PAIR.search(x)]
         away = {*whole, *odd}
@@ -198,26 +223,26 @@ class ChunkEncoder:
         chunks = self._cut(" ".join(shown), None if self.dropped else last - counts)
         sizes = chunks.sizes
         entries, taken = self.table.find(chunks)
+        self.table.again[entries[entries >= 0]] = True
         lost = np.flatnonzero((entries < 0) & (sizes > 0) if self.dropped else entries < 0)
         extra: dict[int, np.ndarray] = {}
         if len(lost):
             new = lost[(sizes[lost] <= LONGEST) & ~taken[lost]]
             self._learn(chunks, new[np.unique(chunks.hashes[new], return_index=True)[1]])
-            entries, _ = self.table.find(chunks)
+            entries[lost], _ = self.table.find(chunks, lost)
             for n in lost[entries[lost] < 0].tolist():
                 extra[n] = self._ids(self._plain(chunks, n))
         table = self.table
         lengths = np.where(entries >= 0, table.lengths[entries], 0).astype(np.int64)
         upto = np.cumsum(lengths)
-        first = np.where(entries >= 0, table.offsets[entries], 0) - (upto - lengths)
-        ids = table.pool[np.repeat(first, lengths) + np.arange(int(upto[-1]))]
+        ids = table.pool[_spans(np.where(entries >= 0, table.offsets[entries], 0), lengths)]
         if extra:
             places = sorted(extra)
             ids = np.insert(ids, np.repeat([int(upto[n] - lengths[n]) for n in places], [len(extra[n]) for n in places]), np.concatenate([extra[n] for n in places]))
             for n in places:
                 lengths[n] = len(extra[n])
             upto = np.cumsum(lengths)
-        data, cuts = ids.astype("<u4").tobytes(), np.concatenate([[0], upto[last - 1]]).tolist()
+        data, cuts = ids.astype("<u4").tobytes(), np.concatenate([[0], upto[np.append(chunks.words, len(sizes))[last] - 1]]).tolist()
         out = [data[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
         for n in odd:
             first_piece, *rest = _SINGLE_SPACE.split(texts[n])
@@ -231,30 +256,42 @@ class ChunkEncoder:
         """Also if it would have one in lower case, as chunks may be lowered before they are encoded."""
         if self.dropped:
             text = text.lower()
-        return any(x.lower() in text if self.dropped else x in text for x in self.special) or bool(self.special_any_case.search(text))
+        return any(x.lower() in text if self.dropped else x in text for x in self.special) or bool(self.special_any_case and self.special_any_case.search(text))
 
     def _cut(self, text: str, firsts: np.ndarray | None) -> _Chunks:
-        """The space-separated chunks of a text; no hash is 0."""
+        """The chunks of a text; ``firsts`` are those of its space-separated parts that begin one; no hash is 0."""
         raw = text.encode("utf-8", "surrogatepass")
         octets = np.frombuffer(raw, np.uint8)
-        spaces = np.flatnonzero(octets == 0x20)
-        starts, ends = np.concatenate([[0], spaces + 1]), np.append(spaces, len(raw))
+        breaks = octets == _SPACE
+        marks = np.flatnonzero(_MARK[octets])
+        marks = marks[marks > 0]
+        before = octets[marks - 1]
+        breaks[marks[_LETTER[before] | (_LATIN[before] & (octets[marks - 2] == 0xC3))]] = True
+        if firsts is not None:
+            lines = np.flatnonzero(octets == _NEWLINE)
+            breaks[lines[(lines > 0) & (octets[lines - 1] != _SPACE)]] = True
+            breaks[lines[lines + 1 < len(raw)] + 1] = True
+        places = np.flatnonzero(breaks)
+        spaces = octets[places] == _SPACE
+        starts, ends = np.concatenate([[0], places + spaces]), np.append(places, len(raw))
+        words = np.concatenate([[0], np.flatnonzero(spaces) + 1])
         begins = np.zeros(len(starts), bool)
+        if firsts is not None:
+            begins[1:] = ~spaces
+            begins[words[firsts]] = True
         self.powers.reach(len(raw) + 1)
         with np.errstate(over="ignore"):
             sums = np.zeros(len(raw) + 1, np.uint64)
             np.cumsum((octets.astype(np.uint64) + np.uint64(1)) * self.powers.up[: len(raw)], out=sums[1:])
             hashes = (sums[ends] - sums[starts]) * self.powers.down[starts]
             hashes ^= (ends - starts).astype(np.uint64) * np.uint64(_BASE)
-            if firsts is not None:
-                hashes[firsts] ^= np.uint64(_FIRST)
-                begins[firsts] = True
+            hashes[begins] ^= np.uint64(_FIRST)
             hashes ^= hashes >> np.uint64(29)
             hashes *= np.uint64(_MIX)
             hashes ^= hashes >> np.uint64(32)
             hashes *= np.uint64(_MIX)
         hashes[hashes == 0] = 1
-        return _Chunks(raw, starts, ends, hashes, begins)
+        return _Chunks(raw, starts, ends, hashes, begins, words)
 
     # ---- new chunks
 
@@ -267,57 +304,38 @@ class ChunkEncoder:
     def _learn(self, chunks: _Chunks, at: np.ndarray) -> None:
         """Put the ids of the chunks at ``at`` into the table.
 
-        A run of Latin letters is one pre-token whatever punctuation follows,
-        so words are encoded in one long text and told apart by the mark that
-        the vocabulary puts on a word's first or last token.
+        A run of Latin letters is one pre-token, so if spaces are dropped such
+        words are encoded in one long text and told apart by the mark that the
+        vocabulary puts on a word's last token.  Otherwise chunks of visible
+        ASCII and Latin letters are, and told apart by the line ends between
+        them, which no pre-token shares.
         """
-        made: list[bytes] = [b""] * len(at)
-        uses: list[tuple[int, str, str]] = []
-        alone, words, tails, bare = [], {}, {"": b""}, set()
-        for n, place in enumerate(at.tolist()):
-            chunk = chunks.text(place)
-            word = chunk.rstrip(_TAIL)
-            if chunks.firsts[place] or not (word.isalpha() and (word.isascii() or max(word) <= "\xff")):
-                alone.append(n)
-                continue
-            tail = chunk[len(word) :]
-            uses.append((n, word, tail))
-            words[word] = None
-            if not tail:
-                bare.add(word)
-            elif tail not in tails:
-                tails[tail] = self._ids(tail).tobytes()
-        only = None
-        if words:
-            names = list(words)
-            cut = self._cut(" ".join(names), None)
-            entries, taken = self.table.find(cut)
-            fresh = [n for n, e in enumerate(entries.tolist()) if e < 0]
-            for n in np.flatnonzero(entries >= 0).tolist():
-                words[names[n]] = self.table.run(entries[n])
-            for part in _parts([names[n] for n in fresh]):
-                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part) if self.dropped else f" {' '.join(part)}"], add_special_tokens=False)[0].ids, np.uint32)
-                marks = np.flatnonzero(self.marked[ids])
-                edges = 4 * (np.concatenate([[0], marks + 1]) if self.dropped else np.append(marks, len(ids)))
-                assert len(edges) == len(part) + 1
-                raw, edges = ids.tobytes(), edges.tolist()
-                words.update((w, raw[a:b]) for w, a, b in zip(part, edges, edges[1:], strict=False))
-            for n, word, tail in uses:
-                made[n] = words[word] + tails[tail]
-            # Words met only with punctuation so far are kept too.
-            only = np.array([n for n in fresh if names[n] not in bare and not taken[n] and len(names[n]) <= LONGEST // 2], int)
-            only = only[np.unique(cut.hashes[only], return_index=True)[1]]
-        for part in _parts(alone):
-            got = self.tokenizer.encode_batch_fast([self._plain(chunks, at[n]) for n in part], add_special_tokens=False)
-            for n, x in zip(part, got, strict=True):
-                made[n] = np.array(x.ids, np.uint32).tobytes()
-        self.table.add(chunks, at, made)
-        if only is not None:
-            self.table.add(cut, only, [words[names[n]] for n in only.tolist()])
-
-
-def _parts(items: list, size: int = 4096) -> list[list]:
-    return [items[at : at + size] for at in range(0, len(items), size)]
+        sizes, octets = chunks.sizes[at], chunks.bytes_of(at)
+        plain = (_LETTER if self.dropped else _SEEN)[octets]
+        pairs = np.flatnonzero((octets[:-1] == 0xC3) & _LATIN[octets[1:]])
+        plain[pairs] = plain[pairs + 1] = True
+        odd = np.diff(np.concatenate([[0], np.cumsum(~plain)])[np.concatenate([[0], np.cumsum(sizes)])]) > 0
+        fit = (sizes > 0) & ~odd if self.marked.any() else np.zeros(len(at), bool)
+        many, alone = at[fit], at[~fit]
+        lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for part in (many[n : n + PART] for n in range(0, len(many), PART)):
+            ahead = np.zeros(len(part), np.int64) if self.dropped else (~chunks.firsts[part]).astype(np.int64)
+            ends = np.cumsum(ahead + chunks.sizes[part] + 1)
+            text = np.full(int(ends[-1]), _SPACE, np.uint8)
+            text[_spans(ends - 1 - chunks.sizes[part], chunks.sizes[part])] = chunks.bytes_of(part)
+            if not self.dropped:
+                text[ends - 1] = _NEWLINE
+            got = np.array(self.tokenizer.encode_batch_fast([text.tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
+            marked = self.marked[got]
+            edges = np.flatnonzero(marked)
+            assert len(edges) == len(part)
+            lengths.append(np.diff(edges, prepend=-1) - (not self.dropped))
+            ids.append(got if self.dropped else got[~marked])
+        for part in (alone[n : n + PART] for n in range(0, len(alone), PART)):
+            runs = [x.ids for x in self.tokenizer.encode_batch_fast([self._plain(chunks, n) for n in part.tolist()], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, runs), np.int64, len(runs)))
+            ids.append(np.fromiter(chain.from_iterable(runs), np.uint32))
+        self.table.add(chunks, np.concatenate([many, alone]), np.concatenate(lengths), np.concatenate(ids))
 
 
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}

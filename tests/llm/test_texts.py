@@ -61,6 +61,36 @@ def test_colliding_chunks_get_their_own_ids(encoders, dropped):
         assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("abSstREvldm'’.,<=>\u0338\u0301ÉéIİµªß×÷Я中\n\t\x1c\xa0 19_", max_size=50), max_size=6))
+def test_chunks_cut_at_marks_encode_like_the_library(encoders, texts):
+    for mine, whole in encoders.values():
+        assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("dropped", [True, False])
+def test_a_word_is_one_chunk_whatever_follows(encoders, dropped):
+    coder, whole = ChunkEncoder(tokenizer_path(KINDS[dropped]), dropped), encoders[dropped][1]
+    tails = ["", ",", ".", "!)", ";", "'s", "\nAnd"]
+    names = ["".join(chr(97 + n // 26**k % 26) for k in range(3)) + "é" for n in range(300)]
+    text = "\n".join(" ".join(name + tail for name in names) for tail in tails)
+    assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert 300 <= coder.table.n < 330
+
+
+@pytest.mark.parametrize("dropped", [True, False])
+def test_a_full_table_keeps_chunks_that_come_again(encoders, dropped):
+    coder, whole = ChunkEncoder(tokenizer_path(KINDS[dropped]), dropped, limit=300), encoders[dropped][1]
+    spelled = [" " * (not dropped) + "x " + " ".join("".join(chr(97 + n // 26**k % 26) for k in range(4)) for n in range(at, at + 100)) for at in range(0, 1000, 100)]
+    often, rare = spelled[0], spelled[1:]
+    learn, learned = coder._learn, []
+    coder._learn = lambda chunks, at: (learned.extend(map(chunks.text, at)), learn(chunks, at))
+    for text in [often, *(x for y in rare for x in (y, often))]:
+        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert coder.table.n <= 300 + 101
+    assert len(learned) == len(set(learned))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=700))
 def test_dac_round_trip(ids):
