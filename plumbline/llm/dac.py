@@ -22,6 +22,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ from .tokenize import encoder
 MAGIC = b"PDAC1"
 BLOCK = 64  # bytes of bitmap for each entry of a rank directory
 STEP = 1 << 20  # ids between the marks by which a place finds its segment
+RUN = 1 << 16  # ids that are decoded at once, to the end of the document
 
 SEGMENTS = "part int, local_start long, n_ids long, doc_ids array<long>, doc_starts array<long>, doc_lengths array<long>, blob binary"
 
@@ -208,16 +210,26 @@ def lookup(segments: DataFrame, places: DataFrame) -> DataFrame:
     return segments.select("start", "blob").join(wanted, "start").select("start", "places", "blob").mapInArrow(read_some, "place long, id long")
 
 
+def checksums(reader: Reader, starts: list[int], lengths: list[int]) -> list[int]:
+    """crc32 of each document's ids; documents follow each other, and about ``RUN`` ids are decoded at once."""
+    out = []
+    for _, run in groupby(zip(starts, lengths, strict=True), lambda x: x[0] // RUN):
+        held = list(run)
+        begin, end = held[0][0], sum(held[-1])
+        raw = memoryview(reader.slice(begin, end - begin).tobytes())
+        out += [zlib.crc32(raw[4 * (start - begin) : 4 * (start - begin + length)]) for start, length in held]
+    return out
+
+
 def digest(segments: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the blobs."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 1):
             for row in batch.to_pylist():
-                reader, out = Reader(row["blob"]), []
-                for name, start, length in zip(row["doc_ids"], row["doc_starts"], row["doc_lengths"], strict=True):
-                    out.append((name, row["start"] + start, length, zlib.crc32(reader.slice(start, length).tobytes())))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                starts, lengths = row["doc_starts"], row["doc_lengths"]
+                out = [row["doc_ids"], [row["start"] + x for x in starts], lengths, checksums(Reader(row["blob"]), starts, lengths)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     common.ship_package(segments.sparkSession)
     return segments.select("start", "doc_ids", "doc_starts", "doc_lengths", "blob").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -90,14 +90,19 @@ class _Table:
 
     def __init__(self, bits: int = 16):
         self._slots(bits)
-        self.offsets, self.lengths, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
-        self.places, self.sizes, self.firsts, self.octets = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, bool), np.zeros(4096, np.uint8)
-        self.again = np.zeros(1024, bool)
+        self._entries(np.zeros((1024, 4), np.int32))
+        self.pool, self.octets, self.again = np.zeros(4096, np.uint32), np.zeros(4096, np.uint8), np.zeros(1024, bool)
         self.n = self.filled = self.written = 0
 
     def _slots(self, bits: int) -> None:
+        """What is read of one slot, or of one entry, lies side by side."""
         self.bits, self.shift, self.mask = bits, np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        slots = np.zeros((1 << bits, 2), np.uint64)
+        self.keys, self.values = slots[:, 0], slots[:, 1].view(np.int64)
+
+    def _entries(self, rows: np.ndarray) -> None:
+        self.rows = rows
+        self.offsets, self.lengths, self.places, self.shapes = rows.T
 
     def find(self, chunks: _Chunks, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
         """Entry of each chunk at ``at``, or -1; and whether another chunk of its hash is kept."""
@@ -112,7 +117,7 @@ class _Table:
             hit = seen == hashes[open_]
             out[open_[hit]] = self.values[slots[open_[hit]]]
             open_ = open_[~hit & (seen != 0)]
-        same = (out >= 0) & (self.sizes[out] == sizes) & (self.firsts[out] == chunks.firsts[at])
+        same = (out >= 0) & (self.shapes[out] == 2 * sizes + chunks.firsts[at])
         held, given, left = _eights(self.octets), _eights(chunks.octets), np.flatnonzero(same)
         for step in range(0, LONGEST, 8):
             left = left[sizes[left] > step]
@@ -131,27 +136,27 @@ class _Table:
     def kept(self, most: int) -> _Table:
         """A table of the chunks that were met again, the latest if they are more than ``most``."""
         at, made, held = np.flatnonzero(self.again[: self.n])[-most:], _Table(), self.keys != 0
-        hashes = np.zeros(self.n, np.uint64)
+        hashes, sizes = np.zeros(self.n, np.uint64), self.shapes[at] >> 1
         hashes[self.values[held]] = self.keys[held]
-        texts, ids = self.octets[_spans(self.places[at], self.sizes[at])], self.pool[_spans(self.offsets[at], self.lengths[at])]
-        made._put(hashes[at], self.sizes[at], self.firsts[at], texts, self.lengths[at], ids)
+        texts, ids = self.octets[_spans(self.places[at], sizes)], self.pool[_spans(self.offsets[at], self.lengths[at])]
+        made._put(hashes[at], sizes, self.shapes[at] & 1, texts, self.lengths[at], ids)
         return made
 
     def _put(self, hashes: np.ndarray, sizes: np.ndarray, firsts: np.ndarray, texts: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
         n = len(hashes)
-        for names, used, more in ((("offsets", "lengths", "places", "sizes", "firsts", "again"), self.n, n), (("pool",), self.filled, len(ids)), (("octets",), self.written, len(texts) + 8)):
-            for name in names:
-                held = getattr(self, name)
-                if used + more > len(held):
-                    grown = np.zeros(max(2 * len(held), used + more), held.dtype)
-                    grown[:used] = held[:used]
-                    setattr(self, name, grown)
+        for name, used, more in (("rows", self.n, n), ("again", self.n, n), ("pool", self.filled, len(ids)), ("octets", self.written, len(texts) + 8)):
+            held = getattr(self, name)
+            if used + more > len(held):
+                grown = np.zeros((max(2 * len(held), used + more), *held.shape[1:]), held.dtype)
+                grown[:used] = held[:used]
+                setattr(self, name, grown)
+        self._entries(self.rows)
         new = slice(self.n, self.n + n)
         self.offsets[new], self.lengths[new] = self.filled + np.cumsum(lengths) - lengths, lengths
-        self.places[new], self.sizes[new], self.firsts[new] = self.written + np.cumsum(sizes) - sizes, sizes, firsts
+        self.places[new], self.shapes[new] = self.written + np.cumsum(sizes) - sizes, 2 * sizes + firsts
         self.pool[self.filled : self.filled + len(ids)] = ids
         self.octets[self.written : self.written + len(texts)] = texts
-        entries = np.arange(self.n, self.n + n, dtype=np.int32)
+        entries = np.arange(self.n, self.n + n)
         self.n, self.filled, self.written = self.n + n, self.filled + len(ids), self.written + len(texts)
         if 2 * self.n > len(self.keys):
             held = self.keys != 0

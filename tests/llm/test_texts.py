@@ -100,6 +100,18 @@ def test_dac_round_trip(ids):
     assert reader.slice(len(ids) // 3, len(ids) // 2).tolist() == ids[len(ids) // 3 : len(ids) // 3 + len(ids) // 2]
 
 
+def test_documents_are_decoded_in_runs(monkeypatch):
+    rng = np.random.default_rng(3)
+    lengths = [1, 0, 3, 700, 1, 2, *rng.integers(0, 40, 500).tolist()]
+    parts = [rng.integers(0, 60_000, n).astype("<u4") for n in lengths]
+    reader, taken = dac.Reader(dac.encode(np.concatenate(parts))), []
+    monkeypatch.setattr(dac, "RUN", 256)
+    monkeypatch.setattr(reader, "slice", lambda *at: (taken.append(at), dac.Reader.slice(reader, *at))[1])
+    assert dac.checksums(reader, (np.cumsum(lengths) - lengths).tolist(), lengths) == [zlib.crc32(x.tobytes()) for x in parts]
+    assert len(taken) < 50 and sum(n for _, n in taken) == sum(lengths)
+    assert dac.checksums(reader, [0], [0]) == [0] and dac.checksums(reader, [], []) == []
+
+
 def test_token_files(spark, tmp_path, encoders):
     docs, path = odd_documents(spark), f"file://{tmp_path}/ids"
     dac.write(spark, docs, path, tokenizer_path("bytes"), segment_ids=200)
